@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import _shared as S
-from pulsegrid.llm import exact_dedup, language_id, line_dedup, ngram_join, packing, records, shard, tokens, vector_dedup
+from pulsegrid.llm import exact_dedup, language_id, line_dedup, ngram_join, packing, records, segmentations, shard, tokens, vector_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +52,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.cast("long").alias("size"), F.crc32(text_bytes().cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = segmentations.sample_segmentations(documents(spark, sf_dir), k=3)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", "sample", n.alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(documents(spark, sf_dir), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -69,7 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_binary_records, op3_exact_dedup, op4_best_fit_packing, op5_embedding_near_dedup, op6_sharding, op8_ngram_jaccard_join, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_binary_records, op3_exact_dedup, op4_best_fit_packing, op5_embedding_near_dedup, op6_sharding, op7_sampled_segmentations, op8_ngram_jaccard_join, op9_line_dedup, op10_token_counts)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
