@@ -15,7 +15,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 #: Width of the count sketch (2**18 counters, 2 MB).
 SKETCH_BITS = 18
 #: Parts into which the suffix filter divides the hashes.
-PARTS = 16
+PARTS = 64
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -42,9 +42,14 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def parts(grams: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each of PARTS equal ranges."""
+    return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32)
+
+
 def _documents_and_counts(words: int):
-    """Rows of kind 0: id, n, signature; of kind 1, at a task's end: counters of the sketch that aren't 0."""
-    names = ["kind", "id", "n", "lo", "hi"]
+    """Rows of kind 0: id, n, signature, parts; of kind 1, at a task's end: counters of the sketch that aren't 0."""
+    names = ["kind", "id", "n", "lo", "hi", "parts"]
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -55,12 +60,12 @@ def _documents_and_counts(words: int):
                 at = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS) if sets else np.zeros(0, dtype=np.uint64)
                 sketch += np.bincount(at.astype(np.int64), minlength=len(sketch))
                 sig = [signature(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x for x, _ in sig], [x for _, x in sig]))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x for x, _ in sig], [x for _, x in sig])), pa.array([parts(s) for s in sets], pa.list_(pa.int32()))], names)
         full = np.flatnonzero(sketch)
         for i in range(0, len(full), 1 << 16):
             k = full[i : i + (1 << 16)]
             none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k)), pa.int32()), none, pa.array(sketch[k], pa.int64()), pa.array(k, pa.int64()), none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k)), pa.int32()), none, pa.array(sketch[k], pa.int64()), pa.array(k, pa.int64()), none, pa.nulls(len(k), pa.list_(pa.int32()))], names)
 
     return run
 
@@ -97,15 +102,14 @@ def _postings(words: int, percent: int, sketch, hot: int, salts: int):
 
 
 def _sets(words: int):
-    names = ["d", "lo", "grams", "parts"]
+    names = ["d", "lo", "grams"]
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-                parts = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=PARTS).tolist() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([signature(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([signature(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names)
 
     return run
 
@@ -135,7 +139,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    scan = S.written(rows.mapInArrow(_documents_and_counts(words), "kind int, id long, n long, lo long, hi long"), "signatures")
+    scan = S.written(rows.mapInArrow(_documents_and_counts(words), "kind int, id long, n long, lo long, hi long, parts array<int>"), "signatures")
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in scan.where("kind = 1").groupBy("lo").agg(F.sum("n").alias("n")).collect():  # at most 2**18 rows
         counts[r.lo] = r.n
@@ -152,17 +156,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salted = S.with_group(lists.where("salt >= 0").select("gram", "me"), ["gram"], "me", low="pivot", size="c").where("c > 1")
     lists = S.written(lists.where("salt < 0").select("gram", "me", "pivot").unionByName(salted.select("gram", "me", "pivot")), "lists")
 
-    near = _passing(lists.where("me <> pivot").select(F.col("pivot").alias("a"), F.col("me").alias("b")), percent)
+    shares = scan.where("kind = 0 and n > 0").select(F.col("id").alias("d"), "lo", "parts")
+    near = _passing(lists.where("me <> pivot").select(F.col("pivot").alias("a"), F.col("me").alias("b")), shares, percent)
     links = _verified(rows, near, words, percent, broadcast_rows)
-    parts = S.components(links.select("u", "v"))
+    parts = S.components(links)
     known = lists.join(parts.select(F.col("id").alias("__id"), "component_id"), F.col("me.d") == F.col("__id"), "left")
     known = known.select("gram", "me", "pivot", F.coalesce("component_id", "me.d").alias("part"))
     mixed = known.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("gram")
     known = S.written(known.join(mixed, "gram", "left_semi").where("me <> pivot"), "mixed")
     a, b = known.select("gram", F.col("me").alias("a"), F.col("part").alias("pa")), known.select("gram", F.col("me").alias("b"), F.col("part").alias("pb"))
     cross = a.join(b, (a.gram == b.gram) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _filters(percent)).select("a", "b")
-    more = _verified(rows, _passing(cross, percent), words, percent, broadcast_rows)
-    parts = S.components(links.select("u", "v").unionByName(more.select("u", "v")))
+    more = _verified(rows, _passing(cross, shares, percent), words, percent, broadcast_rows)
+    parts = S.components(links.unionByName(more))
 
     found = members.join(parts.select(F.col("id").alias("class_id"), "component_id"), "class_id", "left").select("id", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     alone = scan.where("kind = 0 and n = 0").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
@@ -177,24 +182,28 @@ def _filters(percent: int) -> Column:
     return length & (F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1) >= least_overlap(na, nb, percent))
 
 
-def _passing(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (d1, lo1, d2, lo2) all of whose postings pass."""
-    kept = pairs.groupBy(F.col("a.d").alias("d1"), F.col("a.lo").alias("lo1"), F.col("b.d").alias("d2"), F.col("b.lo").alias("lo2")).agg(F.bool_and(_filters(percent)).alias("ok"))
-    return S.written(kept.where("ok").drop("ok"), "pairs")
+def _passing(pairs: DataFrame, shares: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (d1, lo1, d2, lo2) all of whose postings pass, and then the suffix filter.
+
+    The suffix filter bounds the overlap of two whole sets by their sizes within PARTS ranges of the hash; it reads a few
+    numbers for each text, so that whole sets travel only for pairs that are nearly certain."""
+    kept = pairs.groupBy(F.col("a.d").alias("d1"), F.col("a.lo").alias("lo1"), F.col("b.d").alias("d2"), F.col("b.lo").alias("lo2")).agg(F.bool_and(_filters(percent)).alias("ok"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2"))
+    one = shares.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("parts").alias("p1"))
+    two = shares.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("parts").alias("p2"))
+    both = kept.where("ok").join(one, ["d1", "lo1"]).join(two, ["d2", "lo2"])
+    bound = F.aggregate(F.zip_with("p1", "p2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return S.written(both.where(bound >= least_overlap(F.col("n1"), F.col("n2"), percent)).select("d1", "lo1", "d2", "lo2").distinct(), "pairs")
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """The links (u, v) among pairs, each counted once on the whole sets."""
+    """The links (u, v) among pairs, each decided once on the whole sets."""
     wanted = S.written(pairs.select(F.col("d1").alias("id")).union(pairs.select("d2")).distinct(), "wanted")
     texts = rows.join(S.small(wanted, wanted.count(), broadcast_rows), "id", "left_semi")
-    sets = S.written(texts.select("id", "t").mapInArrow(_sets(words), "d long, lo long, grams array<long>, parts array<int>").dropDuplicates(["d", "lo"]), "sets")
-    one = sets.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("grams").alias("g1"), F.col("parts").alias("p1"))
-    two = sets.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("grams").alias("g2"), F.col("parts").alias("p2"))
-    both = pairs.join(one, ["d1", "lo1"]).join(two, ["d2", "lo2"])
-    need = least_overlap(F.size("g1"), F.size("g2"), percent)
-    suffix = F.aggregate(F.zip_with("p1", "p2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) >= need
+    sets = S.written(texts.select("id", "t").mapInArrow(_sets(words), "d long, lo long, grams array<long>"), "sets")
+    one = sets.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("grams").alias("g1"))
+    two = sets.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("grams").alias("g2"))
     shared = F.size(F.array_intersect("g1", "g2"))
-    links = both.where(F.when(suffix, 100 * shared >= percent * (F.size("g1") + F.size("g2") - shared)).otherwise(False))
-    links = S.written(links.select(F.col("d1").alias("u"), F.col("d2").alias("v")), "verified")
+    links = pairs.join(one, ["d1", "lo1"]).join(two, ["d2", "lo2"]).where(100 * shared >= percent * (F.size("g1") + F.size("g2") - shared))
+    links = S.written(links.select(F.col("d1").alias("u"), F.col("d2").alias("v")).distinct(), "verified")
     S.forget(sets)
     return links
