@@ -43,8 +43,8 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def parts(grams: np.ndarray) -> np.ndarray:
-    """How many hashes fall into each of PARTS equal ranges."""
-    return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32)
+    """How many hashes fall into each of PARTS equal ranges, modulo 256."""
+    return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.uint8).view(np.int8)
 
 
 def _documents_and_counts(words: int):
@@ -60,12 +60,12 @@ def _documents_and_counts(words: int):
                 at = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS) if sets else np.zeros(0, dtype=np.uint64)
                 sketch += np.bincount(at.astype(np.int64), minlength=len(sketch))
                 sig = [signature(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x for x, _ in sig], [x for _, x in sig])), pa.array([parts(s) for s in sets], pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x for x, _ in sig], [x for _, x in sig])), pa.array([parts(s) for s in sets], pa.list_(pa.int8()))], names)
         full = np.flatnonzero(sketch)
         for i in range(0, len(full), 1 << 16):
             k = full[i : i + (1 << 16)]
             none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k)), pa.int32()), none, pa.array(sketch[k], pa.int64()), pa.array(k, pa.int64()), none, pa.nulls(len(k), pa.list_(pa.int32()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k)), pa.int32()), none, pa.array(sketch[k], pa.int64()), pa.array(k, pa.int64()), none, pa.nulls(len(k), pa.list_(pa.int8()))], names)
 
     return run
 
@@ -139,7 +139,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    scan = S.written(rows.mapInArrow(_documents_and_counts(words), "kind int, id long, n long, lo long, hi long, parts array<int>"), "signatures")
+    scan = S.written(rows.mapInArrow(_documents_and_counts(words), "kind int, id long, n long, lo long, hi long, parts array<tinyint>"), "signatures")
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in scan.where("kind = 1").groupBy("lo").agg(F.sum("n").alias("n")).collect():  # at most 2**18 rows
         counts[r.lo] = r.n
@@ -163,10 +163,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = lists.join(parts.select(F.col("id").alias("__id"), "component_id"), F.col("me.d") == F.col("__id"), "left")
     known = known.select("gram", "me", "pivot", F.coalesce("component_id", "me.d").alias("part"))
     mixed = known.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("gram")
-    known = S.written(known.join(mixed, "gram", "left_semi").where("me <> pivot"), "mixed")
-    a, b = known.select("gram", F.col("me").alias("a"), F.col("part").alias("pa")), known.select("gram", F.col("me").alias("b"), F.col("part").alias("pb"))
-    cross = a.join(b, (a.gram == b.gram) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _filters(percent)).select("a", "b")
-    more = _verified(rows, _passing(cross, shares, percent), words, percent, broadcast_rows)
+    known = known.join(mixed, "gram", "left_semi").where("me <> pivot").withColumns({"d": F.col("me.d"), "lo": F.col("me.lo")})
+    known = S.written(known.join(shares, ["d", "lo"]).drop("d", "lo"), "mixed")
+    a, b = ((known.select("gram", F.col("me").alias(x), F.col("part").alias(f"p{x}"), F.col("parts").alias(f"s{x}"))) for x in "ab")
+    cross = a.join(b, (a.gram == b.gram) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _filters(percent) & _suffix(F.col("sa"), F.col("sb"), F.col("a.n"), F.col("b.n"), percent))
+    cross = S.written(cross.select(F.col("a.d").alias("d1"), F.col("a.lo").alias("lo1"), F.col("b.d").alias("d2"), F.col("b.lo").alias("lo2")).distinct(), "pairs")
+    more = _verified(rows, cross, words, percent, broadcast_rows)
     parts = S.components(links.unionByName(more))
 
     found = members.join(parts.select(F.col("id").alias("class_id"), "component_id"), "class_id", "left").select("id", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
@@ -182,17 +184,24 @@ def _filters(percent: int) -> Column:
     return length & (F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1) >= least_overlap(na, nb, percent))
 
 
+def _suffix(p: Column, q: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Suffix filter: sets that overlap enough differ by at most na + nb - 2 * overlap n-grams, in all ranges of the hash together.
+
+    The ranges' sizes are known modulo 256; the distance on that ring is never more than the true one."""
+    ring = F.zip_with(p, q, lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+    far = F.aggregate(ring, F.lit(0), lambda s, d: s + F.least(d, 256 - d))
+    return far <= na + nb - 2 * least_overlap(na, nb, percent)
+
+
 def _passing(pairs: DataFrame, shares: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (d1, lo1, d2, lo2) all of whose postings pass, and then the suffix filter.
 
-    The suffix filter bounds the overlap of two whole sets by their sizes within PARTS ranges of the hash; it reads a few
-    numbers for each text, so that whole sets travel only for pairs that are nearly certain."""
+    That reads a few numbers for each text, so whole sets travel only for pairs that are nearly certain."""
     kept = pairs.groupBy(F.col("a.d").alias("d1"), F.col("a.lo").alias("lo1"), F.col("b.d").alias("d2"), F.col("b.lo").alias("lo2")).agg(F.bool_and(_filters(percent)).alias("ok"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2"))
     one = shares.select(F.col("d").alias("d1"), F.col("lo").alias("lo1"), F.col("parts").alias("p1"))
     two = shares.select(F.col("d").alias("d2"), F.col("lo").alias("lo2"), F.col("parts").alias("p2"))
     both = kept.where("ok").join(one, ["d1", "lo1"]).join(two, ["d2", "lo2"])
-    bound = F.aggregate(F.zip_with("p1", "p2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return S.written(both.where(bound >= least_overlap(F.col("n1"), F.col("n2"), percent)).select("d1", "lo1", "d2", "lo2").distinct(), "pairs")
+    return S.written(both.where(_suffix(F.col("p1"), F.col("p2"), F.col("n1"), F.col("n2"), percent)).select("d1", "lo1", "d2", "lo2").distinct(), "pairs")
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
