@@ -21,7 +21,7 @@ def lexicon_score(tokens: Column, positive: list[str], negative: list[str], inte
 
     total = F.aggregate(F.zip_with(tokens, before, one), F.lit(0.0), lambda s, x: s + x)
     raw = 5.0 * total / F.nullif(F.size(tokens).cast("double"), F.lit(0.0))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(raw, F.lit(0.0))))
 
 
 def label(score: Column, band: float = 0.1) -> Column:

@@ -212,7 +212,7 @@ def oracle_sql() -> dict[str, str]:
         "keyword_counts": v(f", w AS (SELECT unnest({_WORDS.format(n=3)}) AS word FROM posts WHERE lang = 'en') SELECT word, count(*) AS n FROM w WHERE word NOT IN ({', '.join(repr(x) for x in STOP)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50", "posts"),
         "lexicon_sentiment": v(f""", t AS (SELECT id, {_WORDS.format(n=1)} AS w FROM posts WHERE lang = 'en'),
  p AS (SELECT id, len(w) AS n, list_sum(list_transform(list_zip(w, list_concat([''], w[:-2])), lambda x: {_HIT})) AS s FROM t),
- q AS (SELECT id, coalesce(greatest(-1.0e0, least(1.0e0, 5.0e0 * s / nullif(n, 0))), 0) AS raw FROM p)
+ q AS (SELECT id, greatest(-1.0e0, least(1.0e0, coalesce(5.0e0 * s / nullif(n, 0), 0))) AS raw FROM p)
  SELECT id, {_r('raw', 3)} AS score, CASE WHEN raw > 0.1 THEN 'positive' WHEN raw < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM q""", "posts"),
         "ticker_extract": v(""", t AS (SELECT id, upper(regexp_extract(title, '^([A-Za-z]*)', 1)) AS a, upper(regexp_extract(title, '^[A-Za-z]* ([A-Za-z]*)', 1)) AS b FROM posts WHERE lang = 'en'),
  h AS (SELECT id, id % 3 = 0 AND length(a) BETWEEN 1 AND 5 AND a <> 'THE' AS cash, a, b FROM t),
