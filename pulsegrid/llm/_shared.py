@@ -51,8 +51,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate, for a file scan the size of the files; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate, for a file scan the size of the files, and no job runs; where it has none, the texts are measured."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < 1 << 60:
+        return known
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    return int(df.agg(F.sum(sum(sizes, F.lit(16 * len(df.columns))).cast("long"))).first()[0] or 0)
 
 
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:

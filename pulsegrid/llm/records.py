@@ -59,7 +59,8 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     vocabulary = T.vocabulary_path(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    n = max(1, -(-S.input_bytes(docs) // file_bytes), min(S.partitions(docs.sparkSession), S.input_bytes(docs) >> 20))
+    size = S.input_bytes(rows)
+    n = max(1, -(-size // file_bytes), min(S.partitions(docs.sparkSession), size >> 20))
     ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id")
 
     def frames(batches):

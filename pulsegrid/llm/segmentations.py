@@ -307,13 +307,13 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
     """Adds text: what the ids (little-endian u32) stand for; null ids give null."""
     path = model_path(path)
     rows = rows.drop("text")
-    at = rows.columns.index(ids_col)
+    at, names = rows.columns.index(ids_col), [*rows.columns, "text"]
 
     def run(batches):
         sp = vocabulary(path, 1.0).sp
         for b in batches:
             texts = [None if x is None else sp.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*rows.columns, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", text string")
 
