@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 #: A blank that white space or the text's end follows. Where there is none, each blank begins a pre-token that does not
 #: depend on what stands before it, so the text can be cut at its blanks.
 _UNSAFE = re.compile(r" (?=\s|\Z)")
-#: A word and the punctuation after it are separate pre-tokens.
-_WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?|]+)")
+#: Where there is none of these either, commas, full stops and line feeds begin pre-tokens in the same way.
+_JOINED = re.compile(r"[^\w\n][.,]|_[.,]|\n(?=\s|\Z)|\0")
 #: Cached words of one worker; the cache is emptied when it is full.
 CACHED = 1_500_000
 
@@ -41,8 +42,7 @@ class WordCache:
     nothing = None
 
     def __init__(self):
-        self.first: dict = {}
-        self.later: dict = {}
+        self.cache: dict = {}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
     def values(self, words: list[str]) -> list:
@@ -52,52 +52,32 @@ class WordCache:
     def whole(self, text: str):
         raise NotImplementedError
 
-    def total(self, cache: dict, words: list[str], start):
+    def total(self, values: list):
         raise NotImplementedError
 
+    def parts(self, text: str) -> list[str] | None:
+        """The text cut where pre-tokens begin, or None if it can't be cut; a part holds whole pre-tokens."""
+        if not self.cuts or _UNSAFE.search(text) or self.at_special.search(text):
+            return None
+        if not _JOINED.search(text):
+            text = text.replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n")
+        elif "\0" in text:
+            return None
+        return text.replace(" ", "\0 ").split("\0")
+
     def batch(self, texts: list[str | None]) -> list:
-        out = [self.nothing] * len(texts)
-        if len(self.later) + len(self.first) > CACHED:
-            self.later.clear()
-            self.first.clear()
-        parts, new, new_first = [], set(), set()
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.cuts or _UNSAFE.search(t) or self.at_special.search(t):
-                out[i] = self.whole(t)
-            else:
-                head, _, tail = t.partition(" ")
-                rest = tail.split(" ") if _ else []
-                parts.append((i, head, rest))
-                new_first.add(head)
-                new.update(rest)
-        new.difference_update(self.later.keys())
-        new_first.difference_update(self.first.keys())
-        self._learn(self.later, new, " ")
-        self._learn(self.first, new_first, "")
-        for i, head, rest in parts:
-            out[i] = self.total(self.later, rest, self.first[head])
-        return out
-
-    def _learn(self, cache: dict, new: set[str], lead: str) -> None:
-        two, ask = [], set()
-        for w in new:
-            if w.isalpha():
-                ask.add(w)
-            elif m := _WORD_MARKS.fullmatch(w):
-                a, b = m.groups()
-                two.append((w, a, b))
-                ask.add(a)
-            else:
-                ask.add(w)
-        ask.difference_update(cache.keys())
-        asked = list(ask)
-        cache.update(zip(asked, self.values([lead + w for w in asked]), strict=True))
-        marks = list({b for _, _, b in two})
-        ends = dict(zip(marks, self.values(marks), strict=True))
-        for w, a, b in two:
-            cache[w] = cache[a] + ends[b]
+        cache = self.cache
+        if len(cache) > CACHED:
+            cache.clear()
+        cut = [self.parts(t) if t else [] for t in texts]
+        new = set()
+        for p in cut:
+            if p:
+                new.update(p)
+        new.difference_update(cache.keys())
+        words = list(new)
+        cache.update(zip(words, self.values(words), strict=True))
+        return [self.whole(t) if p is None else self.total([cache[w] for w in p]) for t, p in zip(texts, cut, strict=True)]
 
 
 class Encoder(WordCache):
@@ -117,8 +97,7 @@ class Encoder(WordCache):
         self.cuts = pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not spec["normalizer"]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        line = self._ids("\n")
-        self.line = int(line[0]) if len(line) == 1 else None
+        self.letters = dict(enumerate(byte_letters()))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
@@ -127,26 +106,21 @@ class Encoder(WordCache):
         return self._ids(text).tobytes()
 
     def values(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            # Between words that have no white space but a blank in front, a line feed is a pre-token of its own and marks their ends.
-            joined = [j for j, w in enumerate(some) if w.split() == [w.removeprefix(" ")]] if self.line is not None else []
-            got: list[bytes] = [b""] * len(some)
-            if joined:
-                ids = self._ids("\n".join([some[j] for j in joined]))
-                raw, begin = ids.tobytes(), 0
-                for j, end in zip(joined, [*(np.flatnonzero(ids == self.line) * self.width).tolist(), len(raw)], strict=True):
-                    got[j] = raw[begin:end]
-                    begin = end + self.width
-            if rest := sorted(set(range(len(some))) - set(joined)):
-                for j, e in zip(rest, self.tok.encode_batch_fast([some[j] for j in rest], add_special_tokens=False), strict=True):
-                    got[j] = np.array(e.ids, dtype=self.kind).tobytes()
-            out += got
-        return out
-
-    def total(self, cache, words, start):
-        return start + b"".join([cache[w] for w in words])
+        out, odd = {}, []
+        model, letters, kind = self.tok.model.tokenize, self.letters, "H" if self.width == 2 else "I"
+        for w in words:
+            if w.isalpha() or (w[:1] == " " and w[1:].isalpha()):  # one pre-token: straight to the model
+                out[w] = array(kind, [t.id for t in model(w.encode().decode("latin-1").translate(letters))]).tobytes()
+            else:
+                odd.append(w)
+        for i in range(0, len(odd), 4096):
+            some = odd[i : i + 4096]
+            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                out[w] = array(kind, e.ids).tobytes()
+        return [out[w] for w in words]
+
+    def total(self, values):
+        return b"".join(values)
 
 
 class RankMerger(WordCache):
@@ -204,7 +178,7 @@ class RankMerger(WordCache):
         return result
 
     def values(self, words: list[str]) -> list[int]:
-        split = [(w,) if w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) else self.pattern.findall(w) for w in words]
+        split = [(w,) if w.isalpha() or (w[:1] == " " and w[1:].isalpha()) else self.pattern.findall(w) for w in words]
         pieces = list(dict.fromkeys([p for s in split for p in s]))
         n: dict[str, int] = {}
         for i in range(0, len(pieces), 1 << 16):
@@ -216,8 +190,8 @@ class RankMerger(WordCache):
         got = self.at_special.split(text)
         return len(got) - 1 + sum(self.values([x for x in got if x]))
 
-    def total(self, cache, words, start):
-        return start + sum([cache[w] for w in words])
+    def total(self, values):
+        return sum(values)
 
 
 def byte_letters() -> list[str]:
