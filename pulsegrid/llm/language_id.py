@@ -136,11 +136,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 got = [features(t, bits) for t in b.column(1)[i : i + 256].to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array([x.tolist() for x, _ in got], pa.list_(pa.int32())), pa.array([x.tolist() for _, x in got], pa.list_(pa.float32())), b.column(2)[i : i + 256]], ["lang", "at", "share", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary()), b.column(2)[i : i + 256]], ["lang", "at", "share", "key"])
 
     picked = rows.where(dice < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("key"))
-    got = picked.mapInArrow(vectors, "lang string, at array<int>, share array<float>, key long").collect()
-    return [(r.lang, np.array(r["at"], dtype=np.int32), np.array(r["share"], dtype=np.float32)) for r in sorted(got, key=lambda r: (r.lang, r.key))]
+    got = picked.mapInArrow(vectors, "lang string, at binary, share binary, key long").collect()
+    return [(r.lang, np.frombuffer(r["at"], dtype=np.int32), np.frombuffer(r["share"], dtype=np.float32)) for r in sorted(got, key=lambda r: (r.lang, r.key))]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 800, bits: int = 16) -> Model | None:
