@@ -12,13 +12,16 @@ def phrase_search(rows: DataFrame, columns: list[str], phrase: str, id_col: str
     """The rows whose columns hold the whole input as one phrase (letters and digits, any case, quotes ignored), best first.
 
     BM25 with the phrase as its one term; a weight of a phrase in most rows is held at 1e-6. Rows without a token count in the
-    averages. A phrase without a token finds nothing."""
+    averages. Occurrences are counted without overlap; a phrase
+    without a token finds nothing."""
     words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in phrase.lower()).split()]
-    text = F.lower(F.concat_ws(" ", *columns))
-    tokens = F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
-    n = len(words)
-    want = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    seen = rows.select(id_col, tokens.alias("w")).select(id_col, F.size("w").alias("len"), F.size(F.filter(F.transform("w", lambda w, i: F.slice("w", i + 1, n) if n else want), lambda x: (x == want) & F.lit(n > 0))).alias("f"))
+    tokens = F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), "[^a-z0-9]+"), lambda w: w != "")
+    # Two blanks between tokens, so that neighbouring occurrences don't share one.
+    want = " " + "  ".join(words) + " "
+    lined = rows.select(id_col, F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" ")).alias("s"))
+    length = F.when(F.col("s") == "  ", 0).otherwise(F.size(F.split("s", "  ")))
+    found = (F.length("s") - F.length(F.replace("s", F.lit(want), F.lit("")))) / len(want) if words else F.lit(0)
+    seen = lined.select(id_col, length.alias("len"), found.cast("long").alias("f"))
     total = seen.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("f") > 0, 1).otherwise(0)).alias("hits"), F.avg("len").alias("mean"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("hits") + 0.5) / (F.col("hits") + 0.5)))
     score = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("mean")))

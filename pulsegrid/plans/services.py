@@ -163,7 +163,7 @@ def oracle_sql() -> dict[str, str]:
  FROM g a, (SELECT unnest(range(1, 6)) AS lag), g b WHERE b.ord = a.ord + lag AND a.ticker <> b.ticker GROUP BY 1, 2, 3),
  z AS (SELECT a, b, lag, {_r('coalesce((n * pq - p * q) / sqrt(nullif((n * pp - p * p) * (n * qq - q * q), 0)), 0)', 6)} AS corr FROM c)
  SELECT a, b, lag, corr FROM z WHERE corr >= 0.2 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY corr DESC, lag) = 1""", "mentions"),
-        "phrase_search": v(f""", t AS (SELECT id, {toks} AS w FROM posts WHERE lang = 'en'), h AS (SELECT id, len(w) AS l, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS f FROM t),
+        "phrase_search": v(f""", t AS (SELECT id, {toks} AS w FROM posts WHERE lang = 'en'), h AS (SELECT id, len(w) AS l, (length(x) - length(replace(x, ' of  the ', ''))) // 9 AS f FROM (SELECT *, ' ' || array_to_string(w, '  ') || ' ' AS x FROM t)),
  s AS (SELECT count(*) AS n, count(*) FILTER (WHERE f > 0) AS hits, avg(l) AS mean FROM h)
  SELECT id, {_r('greatest(1e-6, ln((n - hits + 0.5e0) / (hits + 0.5e0))) * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * l / mean))', 6)} AS score FROM h, s WHERE f > 0 ORDER BY 2 DESC, 1 LIMIT 50""", "posts"),
         "short_stop_grid": f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS ord FROM ({_BARS})),
