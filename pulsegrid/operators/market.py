@@ -90,10 +90,12 @@ def squeeze(volume: DataFrame, min_days: int) -> DataFrame:
 
 def random_null(events: DataFrame, prices: DataFrame, horizon: int, draws: int) -> DataFrame:
     """Where the events' mean return lies among means of as many random sessions of the same tickers; the draws come from an
-    integer formula of event id and draw, so they repeat anywhere. Work: events times draws, by session number, no gathering."""
+    integer formula of event id and draw, so they repeat anywhere. The formula takes ids modulo the ticker's sessions, so equal
+    remainders are counted first. Work: sessions times draws at most, whatever the number of events."""
     s = sessions(prices, ahead=[horizon]).select("ticker", "ord", (F.col(f"next_{horizon}") / F.col("close") - 1).alias("ret")).where("ret is not null")
     n = s.groupBy("ticker").agg(F.max("ord").alias("n"))
     actual = forward_return(events, prices, horizon).agg(F.avg("ret").alias("actual"))
-    picks = events.join(n, "ticker").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("ticker", "i", (1 + (F.col("id") * 7919 + F.col("i") * 104729 + 12345) % F.col("n")).alias("ord"))
-    means = picks.join(s, ["ticker", "ord"]).groupBy("i").agg(F.avg("ret").alias("m"))
+    alike = events.join(n, "ticker").groupBy("ticker", "n", F.pmod(F.col("id"), F.col("n")).alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    picks = alike.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("ticker", "i", "c", (1 + (F.col("id") * 7919 + F.col("i") * 104729 + 12345) % F.col("n")).alias("ord"))
+    means = picks.join(s, ["ticker", "ord"]).groupBy("i").agg((F.sum(F.col("c") * F.col("ret")) / F.sum("c")).alias("m"))
     return means.crossJoin(F.broadcast(actual)).agg(F.count(F.lit(1)).alias("draws"), r(F.avg(F.when(F.col("m") < F.col("actual"), 1.0).otherwise(0.0)), 4).alias("percentile"), r(F.first("actual"), 6).alias("actual"))

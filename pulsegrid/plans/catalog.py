@@ -30,15 +30,17 @@ def _events(spark, d, every: int):
     return m.where(F.col("source_id").cast("long") % every == 0).select("ticker", F.to_date("created_utc").alias("date"), F.col("source_id").cast("long").alias("id"))
 
 
-def _study(spark, d):
-    p = S.prices(spark, d)
-    e = _events(spark, d, 20)
+def net_study(e, p):
     own = market.forward_return(e, p, 3).withColumnRenamed("ret", "g")
     spy = market.forward_return(e.select(F.lit("SPY").alias("ticker"), "date").distinct(), market.benchmark(p), 3).select("date", F.col("ret").alias("mkt"))
     trades = own.join(spy, "date", "left").withColumn("net", market.net(F.col("g"), F.col("mkt"), -1, 3, 75.0, 5.0))
     return market.study(trades.withColumn("side", F.lit(-1)), "net", 3, ["side"])
 
 
+def _study(spark, d):
+    return net_study(_events(spark, d, 20), S.prices(spark, d))
+
+
 def _short_volume(spark, d):
     li = S.table(spark, d, "lineitem")
     v = li.groupBy(F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("s"), F.sum("l_quantity").alias("t"))
