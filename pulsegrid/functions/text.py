@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, all else as it is, whatever the engine's rules for other letters."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def words(text: Column, shortest: int = 1) -> Column:
     """Lower-case ASCII words: maximal runs of a-z."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: F.length(w) >= shortest)
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: F.length(w) >= shortest)
 
 
 def lexicon_score(tokens: Column, positive: list[str], negative: list[str], intensifiers: list[str], boost: float = 1.5) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.numeric import r
+from pulsegrid.functions.text import ascii_lower
 
 
 def phrase_search(rows: DataFrame, columns: list[str], phrase: str, id_col: str = "id", limit: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -15,7 +16,7 @@ def phrase_search(rows: DataFrame, columns: list[str], phrase: str, id_col: str
     averages. Occurrences are counted without overlap; a phrase
     without a token finds nothing."""
     words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in phrase.lower()).split()]
-    tokens = F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), "[^a-z0-9]+"), lambda w: w != "")
+    tokens = F.filter(F.split(ascii_lower(F.concat_ws(" ", *columns)), "[^a-z0-9]+"), lambda w: w != "")
     # Two blanks between tokens, so that neighbouring occurrences don't share one.
     want = " " + "  ".join(words) + " "
     lined = rows.select(id_col, F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" ")).alias("s"))

@@ -51,12 +51,15 @@ def _symbols():
     return ["IT", "IN", "ON", "OF", "TH", "RE"]
 
 
-def _ticker_rows(spark, d):
-    p = S.posts(spark, d).where("lang = 'en'")
+def ticker_rows(p):
     text = F.concat(F.when(F.col("id") % 3 == 0, F.lit("$")).otherwise(F.lit("")), F.upper(F.regexp_extract("title", "^([A-Za-z]*)", 1)), F.lit(" "), F.upper(F.regexp_extract("title", "^[A-Za-z]* ([A-Za-z]*)", 1)))
     return p.select("id", F.array_join(T.tickers(text, _symbols(), ["THE"], ["IT"]), ",").alias("tickers"))
 
 
+def _ticker_rows(spark, d):
+    return ticker_rows(S.posts(spark, d).where("lang = 'en'"))
+
+
 def _merged(spark, d):
     p = S.posts(spark, d).select("id", "title", "score", "num_comments")
     old = p.where("id % 3 <> 0")

@@ -1,12 +1,12 @@
-"""Queries over all rows, beside those of catalog and services whose SQL holds a sample of the events or orders.
+"""Queries over all rows, beside those of catalog and services whose SQL holds a cut: a sample of the events or orders, or one language.
 
-The SQL of the sampled queries stays as it is, so the whole ones have names of their own, ending in _whole."""
+The SQL of the cut queries stays as it is, so the whole ones have names of their own, ending in _whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import market, trades
+from pulsegrid.operators import fulltext, market, posts, trades
 from pulsegrid.plans import catalog, services
 from pulsegrid.sources import fixtures as S
 
@@ -27,12 +27,21 @@ def _returns(found):
     return found.select("id", "ticker", "session", F.round(F.col("ret") + 1e-9, 6).alias("ret"))
 
 
+def _sentiment(spark, d):
+    return posts.lexicon_sentiment(S.posts(spark, d), catalog.POSITIVE, catalog.NEGATIVE, catalog.INTENSIFIERS)
+
+
 QUERIES = {
     "forward_return_whole": lambda s, d: _returns(market.forward_return(events(s, d), S.prices(s, d), 3)),
     "trailing_return_whole": lambda s, d: _returns(market.trailing_return(events(s, d), S.prices(s, d), 5)),
     "event_study_net_whole": lambda s, d: catalog.net_study(events(s, d), S.prices(s, d)),
     "random_null_percentile_whole": lambda s, d: market.random_null(events(s, d), S.prices(s, d), 3, DRAWS),
     "short_stop_grid_whole": lambda s, d: trades.short_grid(orders(s, d), services.bars(s, d), [0.1, 0.25, 0.5], [3, 5, 10]),
+    "ticker_extract_whole": lambda s, d: catalog.ticker_rows(S.posts(s, d)),
+    "keyword_counts_whole": lambda s, d: posts.keyword_counts(S.posts(s, d), catalog.STOP, 50),
+    "lexicon_sentiment_whole": _sentiment,
+    "sentiment_distribution_whole": lambda s, d: _sentiment(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
+    "phrase_search_whole": lambda s, d: fulltext.phrase_search(S.posts(s, d), ["title", "selftext"], '"of the"'),
 }
 
 
@@ -41,11 +50,20 @@ def queries() -> dict:
 
 
 _E = "e AS (SELECT ticker, CAST(created_utc AS DATE) AS date, CAST(source_id AS BIGINT) AS id FROM mentions)"
+#: Lower case of ASCII letters only: the engines differ on others.
+_ASCII = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def oracle_sql() -> dict[str, str]:
     """The null draws and the stop grid have none: tests hold them against brute force."""
     v, r, ses, fwd = S.with_views, catalog._r, catalog._SES, catalog._FWD
+    words = catalog._WORDS.replace("lower(", "(").replace("coalesce(selftext, '')", _ASCII.format(x="coalesce(selftext, '')"))
+    low = _ASCII.format(x="concat_ws(' ', title, selftext)")
+    toks = f"list_filter(regexp_split_to_array({low}, '[^a-z0-9]+'), lambda w: w <> '')"
+    sentiment = v(f""", t AS (SELECT id, {words.format(n=1)} AS w FROM posts),
+ p AS (SELECT id, len(w) AS n, list_sum(list_transform(list_zip(w, list_concat([''], w[:-2])), lambda x: {catalog._HIT})) AS s FROM t),
+ q AS (SELECT id, greatest(-1.0e0, least(1.0e0, coalesce(5.0e0 * s / nullif(n, 0), 0))) AS raw FROM p)
+ SELECT id, {r('raw', 3)} AS score, CASE WHEN raw > 0.1 THEN 'positive' WHEN raw < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM q""", "posts")
     return {
         "forward_return_whole": v(f", {_E}, ses AS ({ses}) SELECT id, ticker, session, {r('ret', 6)} AS ret FROM ({fwd})", "mentions", "prices"),
         "trailing_return_whole": v(f""", {_E}, ses AS ({ses}) SELECT e.id, e.ticker, s.date AS session, {r('CASE WHEN s.prv > 0 THEN s.close / s.prv - 1 END', 6)} AS ret
@@ -56,4 +74,14 @@ def oracle_sql() -> dict[str, str]:
  t AS (SELECT -1 * (ret - mkt) - (0.015e0 + 0.0015e0) AS net FROM m WHERE ret IS NOT NULL AND mkt IS NOT NULL)
  SELECT -1 AS side, count(*) AS n, {r('avg(net)', 6)} AS mean, {r('avg(CASE WHEN net > 0 THEN 1.0e0 ELSE 0.0e0 END)', 4)} AS win,
  {r('avg(net) / (stddev_pop(net) / sqrt(count(*)))', 4)} AS t, {r('avg(net) / stddev_pop(net) * sqrt(84)', 4)} AS sharpe FROM t""", "mentions", "prices"),
+        "ticker_extract_whole": v(""", t AS (SELECT id, upper(regexp_extract(title, '^([A-Za-z]*)', 1)) AS a, upper(regexp_extract(title, '^[A-Za-z]* ([A-Za-z]*)', 1)) AS b FROM posts),
+ h AS (SELECT id, id % 3 = 0 AND length(a) BETWEEN 1 AND 5 AND a <> 'THE' AS cash, a, b FROM t),
+ l AS (SELECT id, list_distinct(list_concat(CASE WHEN cash THEN [a] ELSE [] END, list_filter([a, b], lambda x: x IN ('IN', 'ON', 'OF', 'TH', 'RE')))) AS l FROM h)
+ SELECT id, array_to_string(list_sort(l), ',') AS tickers FROM l""", "posts"),
+        "keyword_counts_whole": v(f", w AS (SELECT unnest({words.format(n=3)}) AS word FROM posts) SELECT word, count(*) AS n FROM w WHERE word NOT IN ({', '.join(repr(x) for x in catalog.STOP)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50", "posts"),
+        "lexicon_sentiment_whole": sentiment,
+        "sentiment_distribution_whole": f"SELECT label, count(*) AS n FROM ({sentiment}) GROUP BY 1",
+        "phrase_search_whole": v(f""", t AS (SELECT id, {toks} AS w FROM posts), h AS (SELECT id, len(w) AS l, (length(x) - length(replace(x, ' of  the ', ''))) // 9 AS f FROM (SELECT *, ' ' || array_to_string(w, '  ') || ' ' AS x FROM t)),
+ s AS (SELECT count(*) AS n, count(*) FILTER (WHERE f > 0) AS hits, avg(l) AS mean FROM h)
+ SELECT id, {r('greatest(1e-6, ln((n - hits + 0.5e0) / (hits + 0.5e0))) * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * l / mean))', 6)} AS score FROM h, s WHERE f > 0 ORDER BY 2 DESC, 1 LIMIT 50""", "posts"),
     }

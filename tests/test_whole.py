@@ -5,7 +5,10 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pulsegrid.functions import text as T
+from pulsegrid.operators import fulltext
 from pulsegrid.plans import whole
 from pulsegrid.sources import fixtures as S
 from tests.parity import differences
@@ -59,3 +62,16 @@ def test_stop_grid(spark):
     assert {k: r.n for k, r in got.items()} == {k: len(x) for k, x in want.items()} and min(map(len, want.values())) > 1000
     for k, x in want.items():
         assert abs(got[k]["mean"] - np.mean(x)) < 2e-6 and abs(got[k].win - np.mean([y > 0 for y in x])) < 2e-4
+
+
+def test_documents_of_all_languages_are_there(spark):
+    docs = S.table(spark, SF, "documents").count()
+    assert whole.queries()["lexicon_sentiment_whole"](spark, SF).count() == docs
+    assert whole.queries()["ticker_extract_whole"](spark, SF).count() == docs
+    assert sum(r.n for r in whole.queries()["sentiment_distribution_whole"](spark, SF).collect()) == docs
+
+
+def test_only_ascii_letters_are_folded(spark):
+    df = spark.createDataFrame([(1, "The \u212aey of THE"), (2, None), (3, "\u0130t OF tHe")], "id int, t string")
+    assert [r[0] for r in df.select(T.words(F.col("t"))).collect()] == [["the", "ey", "of", "the"], [], ["t", "of", "the"]]
+    assert sorted(r.id for r in fulltext.phrase_search(df, ["t"], "of the").collect()) == [1, 3]
