@@ -10,22 +10,34 @@ from pulsegrid.functions.numeric import r
 from pulsegrid.operators.steps import cut
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
     """(src, dst, weight) -> node, rank, repliers (distinct src). Rank flows in proportion to weight; the rank of nodes without
     out-edges is spread over all. Every fifth round is checkpointed. Edges are hashed by source once a round; nothing is collected
-    but the number of nodes and the rank that dangles."""
+    but the number of nodes, the rank that dangles and a round's change.
+
+    Without a tolerance, exactly `rounds` rounds. With one, until the ranks change by less than nodes * tolerance in sum, every
+    round checkpointed; an error if `rounds` rounds don't suffice."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangles")), "node", "left").withColumn("dangles", F.coalesce("dangles", F.lit(True))))
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    settled = tolerance is None or not n
     for i in range(rounds):
+        if tolerance is not None and settled:
+            break
+        before = ranks
         sent = share.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangles"), F.col("rank"))), F.lit(0.0)).alias("loose"))
         new = nodes.join(sent.withColumnRenamed("dst", "node"), "node", "left").crossJoin(F.broadcast(loose))
         ranks = new.select("node", "dangles", ((1 - damping) / max(n, 1) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(n, 1))).alias("rank"))
-        if i % 5 == 4:
+        if i % 5 == 4 or tolerance is not None:
             ranks = cut(ranks)
+        if tolerance is not None:
+            change = ranks.join(before.select("node", F.col("rank").alias("was")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            settled = change < n * tolerance
+    if not settled:
+        raise RuntimeError(f"PageRank did not settle in {rounds} rounds")
     repliers = edges.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("repliers"))
     return ranks.join(repliers, "node", "left").select("node", r(F.col("rank"), 5).alias("rank"), F.coalesce("repliers", F.lit(0)).cast("long").alias("repliers"))
 

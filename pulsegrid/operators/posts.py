@@ -106,10 +106,14 @@ def stamped_status(target: DataFrame, source: DataFrame, now) -> DataFrame:
     return j.select("username", F.coalesce("s.status", "t.status").alias("status"), F.when(seen, now).otherwise(F.col("t.checked_at")).alias("checked_at"), F.when(seen & differs, now).otherwise(F.col("t.changed_at")).alias("changed_at"))
 
 
-def reply_edges(comments: DataFrame) -> DataFrame:
-    """Who replies to whom: (src, dst, weight); replies to oneself, to deleted authors and to missing parents are dropped."""
+def reply_edges(comments: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """Who replies to whom: (src, dst, weight); replies to oneself, to deleted authors and to missing parents are dropped.
+
+    A parent t1_ is a comment, t3_ a post; without posts, replies to posts give no edge."""
     parent = comments.select(F.concat(F.lit("t1_"), "comment_id").alias("parent_id"), F.col("author").alias("dst"))
-    e = comments.select("parent_id", F.col("author").alias("src")).where(F.startswith("parent_id", F.lit("t1_"))).join(parent, "parent_id")
+    if posts is not None:
+        parent = parent.unionByName(posts.select(F.concat(F.lit("t3_"), F.col("id").cast("string")).alias("parent_id"), F.col("author").alias("dst")))
+    e = comments.select("parent_id", F.col("author").alias("src")).join(parent, "parent_id")
     return e.where("src <> dst and src <> '[deleted]' and dst <> '[deleted]'").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 

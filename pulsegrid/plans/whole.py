@@ -1,4 +1,5 @@
-"""Queries over all rows, beside those of catalog and services whose SQL holds a cut: a sample of the events or orders, or one language.
+"""Queries over all rows, beside those of catalog and services whose SQL holds a cut: a sample of the events or orders, one
+language, part of the reply graph.
 
 The SQL of the cut queries stays as it is, so the whole ones have names of their own, ending in _whole."""
 
@@ -6,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import fulltext, market, posts, trades
+from pulsegrid.operators import fulltext, graph, market, posts, trades
 from pulsegrid.plans import catalog, services
 from pulsegrid.sources import fixtures as S
 
@@ -42,6 +43,8 @@ QUERIES = {
     "lexicon_sentiment_whole": _sentiment,
     "sentiment_distribution_whole": lambda s, d: _sentiment(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
     "phrase_search_whole": lambda s, d: fulltext.phrase_search(S.posts(s, d), ["title", "selftext"], '"of the"'),
+    "reply_edges_whole": lambda s, d: posts.reply_edges(S.comments(s, d), S.posts(s, d)),
+    "reply_pagerank_whole": lambda s, d: graph.pagerank(posts.reply_edges(S.comments(s, d), S.posts(s, d)), rounds=100, tolerance=1e-6),
 }
 
 
@@ -55,7 +58,7 @@ _ASCII = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 
 def oracle_sql() -> dict[str, str]:
-    """The null draws and the stop grid have none: tests hold them against brute force."""
+    """The null draws, the stop grid and PageRank have none: tests hold them against brute force."""
     v, r, ses, fwd = S.with_views, catalog._r, catalog._SES, catalog._FWD
     words = catalog._WORDS.replace("lower(", "(").replace("coalesce(selftext, '')", _ASCII.format(x="coalesce(selftext, '')"))
     low = _ASCII.format(x="concat_ws(' ', title, selftext)")
@@ -84,4 +87,6 @@ def oracle_sql() -> dict[str, str]:
         "phrase_search_whole": v(f""", t AS (SELECT id, {toks} AS w FROM posts), h AS (SELECT id, len(w) AS l, (length(x) - length(replace(x, ' of  the ', ''))) // 9 AS f FROM (SELECT *, ' ' || array_to_string(w, '  ') || ' ' AS x FROM t)),
  s AS (SELECT count(*) AS n, count(*) FILTER (WHERE f > 0) AS hits, avg(l) AS mean FROM h)
  SELECT id, {r('greatest(1e-6, ln((n - hits + 0.5e0) / (hits + 0.5e0))) * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * l / mean))', 6)} AS score FROM h, s WHERE f > 0 ORDER BY 2 DESC, 1 LIMIT 50""", "posts"),
+        "reply_edges_whole": v(""", a AS (SELECT 't1_' || comment_id AS parent_id, author FROM comments UNION ALL SELECT 't3_' || id, author FROM posts)
+ SELECT c.author AS src, a.author AS dst, count(*) AS weight FROM comments c JOIN a USING (parent_id) WHERE c.author <> a.author GROUP BY 1, 2""", "comments", "posts"),
     }

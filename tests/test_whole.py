@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text as T
-from pulsegrid.operators import fulltext
+from pulsegrid.operators import fulltext, graph, posts
 from pulsegrid.plans import whole
 from pulsegrid.sources import fixtures as S
 from tests.parity import differences
@@ -75,3 +75,33 @@ def test_only_ascii_letters_are_folded(spark):
     df = spark.createDataFrame([(1, "The \u212aey of THE"), (2, None), (3, "\u0130t OF tHe")], "id int, t string")
     assert [r[0] for r in df.select(T.words(F.col("t"))).collect()] == [["the", "ey", "of", "the"], [], ["t", "of", "the"]]
     assert sorted(r.id for r in fulltext.phrase_search(df, ["t"], "of the").collect()) == [1, 3]
+
+
+def test_replies_to_posts(spark):
+    c = spark.createDataFrame([("1", "t3_7", "a"), ("2", "t1_1", "b"), ("3", "t3_8", "a"), ("4", "t3_9", "b"), ("5", "t3_7", "[deleted]")], "comment_id string, parent_id string, author string")
+    p = spark.createDataFrame([(7, "x"), (8, "a"), (9, "[deleted]")], "id long, author string")
+    assert sorted(map(tuple, posts.reply_edges(c, p).collect())) == [("a", "x", 1), ("b", "a", 1)]
+    assert [tuple(r) for r in posts.reply_edges(c).collect()] == [("b", "a", 1)]
+
+
+def test_pagerank_settles(spark):
+    edges = [("a", "b", 3), ("b", "a", 1), ("b", "c", 1), ("c", "d", 2), ("d", "e", 1), ("e", "c", 1), ("f", "a", 5), ("g", "h", 1)]
+    nodes = sorted({x for e in edges for x in e[:2]})
+    n, at = len(nodes), {x: i for i, x in enumerate(nodes)}
+    m = np.zeros((n, n))
+    for s, d, w in edges:
+        m[at[d], at[s]] += w
+    out = m.sum(axis=0)
+    m = np.where(out > 0, m / np.where(out > 0, out, 1), 1 / n)
+    exact = np.linalg.solve(np.eye(n) - 0.85 * m, np.full(n, 0.15 / n))
+    x, rounds, change = np.full(n, 1 / n), 0, 1.0
+    while change >= n * 1e-6:
+        new = 0.15 / n + 0.85 * m @ x
+        x, change, rounds = new, np.abs(new - x).sum(), rounds + 1
+    assert rounds > 12
+    df = spark.createDataFrame(edges, "src string, dst string, weight long")
+    got = {r.node: r["rank"] for r in graph.pagerank(df, rounds=100, tolerance=1e-6).collect()}
+    assert all(abs(got[v] - x[at[v]]) < 6e-6 and abs(got[v] - exact[at[v]]) < 1e-4 for v in nodes)
+    with pytest.raises(RuntimeError):
+        graph.pagerank(df, rounds=12, tolerance=1e-6)
+    assert graph.pagerank(df.limit(0), tolerance=1e-6).count() == 0
