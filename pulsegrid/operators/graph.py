@@ -42,13 +42,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
     return ranks.join(repliers, "node", "left").select("node", r(F.col("rank"), 5).alias("rank"), F.coalesce("repliers", F.lit(0)).cast("long").alias("repliers"))
 
 
-def lead_lag(mentions: DataFrame, top: int = 20, lags: int = 5, least: float = 0.5) -> DataFrame:
-    """Which of the `top` tickers precede which others: the lag (in observed dates) of greatest correlation, the smallest of equal ones.
+def lead_lag(mentions: DataFrame, top: int = 20, lags: int = 5, least: float = 0.5, min_mentions: int | None = None) -> DataFrame:
+    """Which tickers precede which others: the lag (in observed dates) of greatest correlation, the smallest of equal ones.
 
-    Days without a mention count 0; a constant series has correlation 0. The series are at most top x dates rows.
+    The tickers are those with at least `min_mentions` mentions, however many; if that is None, the `top` most mentioned only.
+    Days without a mention count 0; a constant series has correlation 0. The series are tickers x dates rows.
     """
     daily = mentions.groupBy("ticker", F.to_date("created_utc").alias("date")).agg(F.count(F.lit(1)).alias("x"))
-    chosen = daily.groupBy("ticker").agg(F.sum("x").alias("n")).orderBy(F.desc("n"), "ticker").limit(top).select("ticker")
+    total = daily.groupBy("ticker").agg(F.sum("x").alias("n"))
+    chosen = (total.orderBy(F.desc("n"), "ticker").limit(top) if min_mentions is None else total.where(F.col("n") >= min_mentions)).select("ticker")
     dates = daily.select("date").distinct().select("date", F.row_number().over(W.orderBy("date")).alias("ord"))
     grid = F.broadcast(chosen).crossJoin(dates).join(daily, ["ticker", "date"], "left").select("ticker", "ord", F.coalesce("x", F.lit(0)).cast("double").alias("x"))
     a = grid.select(F.col("ticker").alias("a"), F.col("x").alias("p"), "ord", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).withColumn("to", F.col("ord") + F.col("lag"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text as T
-from pulsegrid.operators import fulltext, graph, posts
+from pulsegrid.operators import fulltext, graph, mentions, posts
 from pulsegrid.plans import whole
 from pulsegrid.sources import fixtures as S
 from tests.parity import differences
@@ -105,3 +105,17 @@ def test_pagerank_settles(spark):
     with pytest.raises(RuntimeError):
         graph.pagerank(df, rounds=12, tolerance=1e-6)
     assert graph.pagerank(df.limit(0), tolerance=1e-6).count() == 0
+
+
+def test_threads_of_up_to_fifteen_tickers_count(spark):
+    m = S.mentions(spark, SF).select("author", "created_utc", "ticker")
+    sizes = m.groupBy("author", F.to_date("created_utc")).agg(F.countDistinct("ticker").alias("k"))
+    assert sizes.where("k between 7 and 15").count() > 0
+    rows = [(f"u{i}", "2024-01-01 00:00:00", f"T{k}") for i in range(3) for k in range(15)] + [("v", "2024-01-01 00:00:00", f"X{k}") for k in range(16)]
+    df = spark.createDataFrame(rows, "author string, at string, ticker string").select("author", F.col("at").cast("timestamp").alias("created_utc"), "ticker")
+    assert mentions.cooccurrence(df, 15, 3, 1.0).count() == 15 * 14 // 2
+
+
+def test_lead_lag_takes_every_ticker_with_enough_mentions(spark):
+    got = whole.queries()["lead_lag_whole"](spark, SF).collect()
+    assert len({r.a for r in got} | {r.b for r in got}) > 20
