@@ -24,16 +24,27 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """Keeps the document with the smallest doc_id of each group of equal texts, and one row of those that share it.
+
+    Rows without a doc_id are in no group; of those with equal texts one is kept."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(exact_dedup.row_key(digest=F.col("text_sha256")).alias("row_key"))
+    rows = docs.select(*COLUMNS, exact_dedup.row_key().alias("row_key"))
+    return rows.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group linked by five-word n-grams at a Jaccard similarity of 0.8 or more."""
-    classes = ngram_join.jaccard_classes(docs, words=5, percent=80)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """Keeps the document with the smallest doc_id of each group linked by five-word n-grams at a Jaccard similarity of 0.8 or more.
+
+    If a doc_id is null or repeated, one row of equal doc_id and text is taken and the rows are numbered in the order of their
+    doc_id, nulls last; the numbers then stand for the ids."""
+    rows, key = docs.select(*COLUMNS), "doc_id"
+    if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        one = rows.withColumn("row_key", exact_dedup.row_key()).dropDuplicates(["row_key"])
+        # After a global sort these numbers rise with it; written, they stay as they are.
+        rows, key = S.written(one.orderBy(F.col("doc_id").asc_nulls_last(), "row_key").withColumn("row", F.monotonically_increasing_id()), "rows"), "row"
+    classes = ngram_join.jaccard_classes(rows, id_col=key, words=5, percent=80)
+    kept = classes.where(F.col(key) == F.col("component_id")).select(key)
+    return rows.join(kept, key, "left_semi").select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

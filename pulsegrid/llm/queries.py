@@ -32,9 +32,7 @@ def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    digests = docs.select("doc_id", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
-    return exact_dedup.exact_dedup(docs).join(digests, "doc_id")
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
