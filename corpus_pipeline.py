@@ -18,8 +18,12 @@ UNKNOWN = "und"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the classifier can tell; it is learned from the labelled documents of this input."""
+    """Keeps documents whose language the classifier can tell; it is learned from the labelled documents of this input.
+
+    If none can be learned from, no language is told and documents with a letter stay."""
     model = language_id.fit(docs)
+    if model is None:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     return language_id.predict(docs.select(*COLUMNS), model).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
