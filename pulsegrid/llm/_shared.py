@@ -38,12 +38,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by written()."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written()."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -87,15 +88,16 @@ def lowest_neighbour(edges: DataFrame) -> DataFrame:
     return salted.join(total, ["u", "__salt"]).drop("__salt")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, v) links between ids -> (id, component_id) for each id with a link; component_id is the smallest id reached.
 
-    Large-star and small-star steps in turn until nothing changes; each step is a written table, so neither links nor
-    components ever meet in one place. No link gives an empty result.
+    Large-star and small-star steps in turn until nothing changes, which is after some multiple of the logarithm of the largest
+    component; each step is a written table, so neither links nor components ever meet in one place. No link gives an empty
+    result.
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = lowest_neighbour(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = lowest_neighbour(large)
@@ -107,7 +109,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == before or not mark.n:
             break
         before = mark
-    else:
-        raise RuntimeError("components did not settle")
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return ends.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

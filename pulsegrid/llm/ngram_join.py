@@ -6,16 +6,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pulsegrid.llm import _shared as S
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-#: Width of the count sketch (2**18 counters, 2 MB).
-SKETCH_BITS = 18
 #: Parts into which the suffix filter divides the hashes.
 PARTS = 64
+#: N-grams that a task holds at once, and bytes of text whose n-grams make one range of hashes.
+CHUNK_GRAMS, RANGE_BYTES = 2_000_000, 16 << 20
+#: An n-gram in more texts of a chunk than this is common: it is ordered last and not counted.
+COMMON_IN_CHUNK = 64
+COMMON = 255
+
+#: Rows that travel between the passes; what the columns hold depends on the kind.
+_PACKED = "part int, kind int, los binary, sizes binary, at binary, grams binary, codes binary"
+_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
+DOCS, GRAMS, MARKS, ECHO = range(4)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -47,56 +54,164 @@ def parts(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.uint8).view(np.int8)
 
 
-def _documents_and_counts(words: int):
-    """Rows of kind 0: id, n, signature, parts; of kind 1, at a task's end: counters of the sketch that aren't 0."""
-    names = ["kind", "id", "n", "lo", "hi", "parts"]
+def _row(part: int, kind: int, *columns: np.ndarray | None) -> tuple:
+    return (part, kind, *(None if c is None else c.tobytes() for c in columns))
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
+
+
+class Ranges:
+    """Equal ranges of the n-grams' hashes. An n-gram's key is its hash's leading bits: so many that a key's place in its range has
+    32 bits; two n-grams with one key are counted and listed together, which only adds candidates."""
+
+    def __init__(self, count: int):
+        self.bits = 32 + max(0, count.bit_length() - 1)
+        self.first = np.array([-(-(i << self.bits) // count) for i in range(count)], dtype=np.int64)
+
+    def keys(self, grams: np.ndarray) -> np.ndarray:
+        return (grams >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+def _dealt(part: np.ndarray, kind: int, lo: np.ndarray, size: np.ndarray, gram: np.ndarray, code: np.ndarray) -> list[tuple]:
+    """Entries packed by part: the distinct signatures with their sizes, and for each entry its signature's place, gram and code."""
+    order = np.lexsort((gram, lo, part))
+    cut = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+    out = []
+    for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+        at = order[a:b]
+        los, first, place = np.unique(lo[at], return_index=True, return_inverse=True)
+        out.append(_row(int(part[at[0]]), kind, los, size[at[first]], place.astype(np.uint32 if len(los) > 1 << 16 else np.uint16), gram[at], code[at].astype(np.uint8)))
+    return out
+
+
+def _entries(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The inverse: lo, size, gram, code of all entries."""
+    lo, size, gram, code = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for r in rows:
+        los = np.frombuffer(r["los"], np.int64)
+        at = np.frombuffer(r["at"], np.uint32 if len(los) > 1 << 16 else np.uint16)
+        lo.append(los[at])
+        size.append(np.frombuffer(r["sizes"], np.int32).reshape(-1, 2)[at])
+        gram.append(np.frombuffer(r["grams"], np.int64))
+        code.append(np.frombuffer(r["codes"], np.uint8))
+    return tuple(map(np.concatenate, (lo, size, gram, code)))
+
+
+def _requests(words: int, ranges: Ranges):
+    """A chunk of texts -> its documents (DOCS), its n-grams by range (GRAMS; copies in a chunk go out once), and of n-grams that
+    are common in it: a mark to their range (MARKS), and the texts that hold them to any range, which only hands them on (ECHO)."""
+
+    def chunk(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        sig = np.array([signature(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+        low = {x: i for i, x in reversed(list(enumerate(sig[:, 0].tolist()))) if len(sets[i])}
+        one = sorted(low.values())
+        keys = [ranges.keys(sets[i]) for i in one]
+        distinct = [k[np.append(True, k[1:] != k[:-1])] for k in keys]
+        size = np.array([(len(k), len(k) - len(d)) for k, d in zip(keys, distinct, strict=True)], dtype=np.int32).reshape(-1, 2)
+        any_range = int(sig[0, 1]) % len(ranges.first)
+        share = np.concatenate([parts(s) for s in sets])
+        out = [_row(any_range, DOCS, sig[:, 0], np.array(list(map(len, sets)), np.int32), sig[:, 1], np.array(ids, np.int64), share)]
+        if one:
+            flat, who = np.concatenate(distinct), np.repeat(np.arange(len(one)), list(map(len, distinct)))
+            lo = sig[one, 0]
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            often = np.repeat(np.diff(np.append(start, len(flat))) > COMMON_IN_CHUNK, np.diff(np.append(start, len(flat))))
+            marks = np.unique(flat[often])
+            home = np.searchsorted(ranges.first, marks, side="right") - 1
+            for r in np.unique(home):
+                out.append(_row(int(r), MARKS, None, None, None, marks[home == r], None))
+            if often.any():
+                out += _dealt(np.full(int(often.sum()), any_range), ECHO, lo[who[often]], size[who[often]], flat[often], np.full(int(often.sum()), COMMON))
+            flat, who = flat[~often], who[~often]
+            cut = np.searchsorted(flat, np.append(ranges.first, 1 << ranges.bits))
+            for r in np.flatnonzero(np.diff(cut)):
+                mine = slice(cut[r], cut[r + 1])
+                docs, at = np.unique(who[mine], return_inverse=True)
+                out.append(_row(int(r), GRAMS, lo[docs], size[docs], at.astype(np.uint32 if len(docs) > 1 << 16 else np.uint16), (flat[mine] - ranges.first[r]).astype(np.uint32), None))
+        return _packed(out)
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        ids, sets, held = [], [], 0
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-                at = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS) if sets else np.zeros(0, dtype=np.uint64)
-                sketch += np.bincount(at.astype(np.int64), minlength=len(sketch))
-                sig = [signature(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x for x, _ in sig], [x for _, x in sig])), pa.array([parts(s) for s in sets], pa.list_(pa.int8()))], names)
-        full = np.flatnonzero(sketch)
-        for i in range(0, len(full), 1 << 16):
-            k = full[i : i + (1 << 16)]
-            none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k)), pa.int32()), none, pa.array(sketch[k], pa.int64()), pa.array(k, pa.int64()), none, pa.nulls(len(k), pa.list_(pa.int8()))], names)
+            for i in range(b.num_rows):
+                ids.append(b.column(0)[i].as_py())
+                sets.append(shingles(b.column(1)[i].as_py(), words))
+                held += len(sets[-1])
+                if held > CHUNK_GRAMS or len(ids) >= 1 << 15:
+                    yield chunk(ids, sets)
+                    ids, sets, held = [], [], 0
+        if ids:
+            yield chunk(ids, sets)
 
     return run
 
 
-def _postings(words: int, percent: int, sketch, hot: int, salts: int):
-    """The prefix of each text's n-grams, rarest first by the sketch: gram, salt, lo, id, n, pos. Copies within a batch go out once."""
-    names = ["gram", "salt", "lo", "id", "n", "pos"]
+def _answers(ranges: Ranges):
+    """All rows of a range -> for each text that holds a repeated n-gram of it, the n-gram and the code of its count, dealt by signature."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        out = [tuple(r[c] for c in _NAMES) for r in rows if r["kind"] == DOCS]
+        lo, size, gram, code = _entries([r for r in rows if r["kind"] == ECHO])
+        marks = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["grams"], np.int64) for r in rows if r["kind"] == MARKS)]))
+        asked = [r for r in rows if r["kind"] == GRAMS]
+        if asked:
+            base = ranges.first[asked[0]["part"]]
+            plain = [r | {"grams": (np.frombuffer(r["grams"], np.uint32) + base).astype(np.int64), "codes": b""} for r in asked]
+            del rows, asked
+            l, s, g, _ = _entries(plain)
+            order = np.lexsort((l, g))
+            l, s, g = l[order], s[order], g[order]
+            new = np.append(True, g[1:] != g[:-1])
+            once = new | np.append(True, l[1:] != l[:-1])  # a text's copies in other chunks count once
+            start = np.flatnonzero(new)
+            count = np.add.reduceat(once.astype(np.int64), start)
+            mark = np.where(np.isin(g[start], marks), COMMON, np.minimum(np.floor(16 * np.log2(count)), COMMON - 1)).astype(np.uint8)
+            keep = once & np.repeat((count > 1) | (mark == COMMON), np.diff(np.append(start, len(g))))
+            mark = np.repeat(mark, np.diff(np.append(start, len(g))))
+            lo, size, gram, code = np.concatenate([lo, l[keep]]), np.concatenate([size, s[keep]]), np.concatenate([gram, g[keep]]), np.concatenate([code, mark[keep]])
+        if len(lo):
+            out += _dealt((lo.view(np.uint64) % np.uint64(len(ranges.first))).astype(np.int64), GRAMS, lo, size, gram, code)
+        return pa.Table.from_batches([_packed(out)]) if out else table.slice(0, 0)
+
+    return run
+
+
+def _prefixes(percent: int):
+    """All answers of some texts -> the repeated part of each text's prefix: gram, lo, n, m (its repeated n-grams), pos among them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lo, size, gram, code = _entries(table.to_pylist())
+        order = np.lexsort((gram, code, lo))
+        lo, size, gram = lo[order], size[order], gram[order]
+        fresh = np.append(True, (lo[1:] != lo[:-1]) | (gram[1:] != gram[:-1]))
+        lo, size, gram = lo[fresh], size[fresh], gram[fresh]
+        start = np.flatnonzero(np.append(True, lo[1:] != lo[:-1]))
+        held = np.diff(np.append(start, len(lo)))
+        pos = np.arange(len(lo)) - np.repeat(start, held)
+        n = size[:, 0].astype(np.int64)
+        m = np.repeat(held, held) + size[:, 1]  # n-grams of a text with one key may all be repeated
+        alone = n - m
+        keep = pos < n - -(-percent * n // 100) + 1 - alone
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.table([pa.array(c[keep]).cast(k) for c, k in zip((gram, lo, n, m, pos), kinds, strict=True)], names=["gram", "lo", "n", "m", "pos"])
+
+    return run
+
 
+def _documents():
     def run(batches):
-        counts = sketch.value
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                low: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
-                for key, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = shingles(t, words)
-                    if len(s):
-                        sig = signature(s)
-                        low[sig] = (min(key, low[sig][0]), s) if sig in low else (key, s)
-                cols: list[list] = [[] for _ in names]
-                for (lo, _), (key, s) in low.items():
-                    n = len(s)
-                    size = n - -(-percent * n // 100) + 1
-                    seen = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    order = np.lexsort((s, seen))[:size]
-                    salt = np.where(seen[order] > hot, lo % salts, -1)
-                    for c, v in zip(cols, (s[order].view(np.int64), salt, np.full(size, lo), np.full(size, key), np.full(size, n), np.arange(size)), strict=True):
-                        c.append(v)
-                if cols[0]:
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(cols, kinds, strict=True)], names)
+            for r in b.to_pylist():
+                share = np.frombuffer(r["codes"], np.int8)
+                cols = [np.frombuffer(r["grams"], np.int64), np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["los"], np.int64), np.frombuffer(r["at"], np.int64)]
+                lists = pa.ListArray.from_arrays(np.arange(0, len(share) + 1, PARTS, dtype=np.int32), pa.array(share))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], ["id", "n", "lo", "hi", "parts"])
 
     return run
 
@@ -106,8 +221,8 @@ def _sets(words: int):
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([signature(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names)
 
@@ -125,38 +240,39 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts link when 100 * |intersection| >= percent * |union| of their sets of word n-grams (A-Z lower-cased, words parted by
     white space; a text of fewer words is one n-gram); component_id is the smallest id reachable by links.
 
-    1. One pass takes each text's set size and signature, and counts all n-grams of all texts in a sketch of fixed width; rows
-    with equal sets become one class. 2. The sketch orders n-grams, rarest first, the same way for all texts; each class posts
-    the n-grams of its prefix. Lists of n-grams that the sketch bounds are whole in one task; more frequent ones are salted.
-    3. In each list all members are paired with its smallest member, pairs that pass the length, positional and suffix
-    filters are verified on the whole sets, and links are joined to components. 4. Lists that still hold several components
-    give the remaining pairs across components, filtered and verified the same way. So links within a component need not
-    be expanded, and no link that would join two components is lost.
+    1. One pass over the texts takes each text's set size and signature and deals its n-grams, packed, to ranges of their hashes,
+    about RANGE_BYTES of text to a range. There n-grams are counted over distinct sets, and each text gets back the n-grams
+    that other sets hold too, with their counts (in steps of a sixteenth of an octave). An n-gram that is common within a chunk
+    of texts does not go to its range: a mark does, and it is last in the order. So no range holds a common n-gram's texts.
+    2. N-grams that no other set holds come first in the order, then the rarest. A text's prefix is short of its whole by the
+    overlap it needs; where n-grams of its own fill the prefix, the text links with nothing and is done. The others post what is
+    left of their prefix. 3. In the list of an n-gram (salted, so of any length) all members are paired with the smallest;
+    pairs that pass the length, positional and suffix filters are verified on the whole sets, and links are joined to
+    components. The positional filter knows how many n-grams of each text are shared at all. 4. Lists that still hold several
+    components give the remaining pairs across components, filtered and verified the same way. So links within a
+    component need not be expanded, and no link that would join two components is lost.
 
     Null and empty texts, and texts of white space, have no n-gram and link with nothing. Null ids link with nothing and
     have a null component. Rows with equal ids are one vertex. Other columns are not read.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    scan = S.written(rows.mapInArrow(_documents_and_counts(words), "kind int, id long, n long, lo long, hi long, parts array<tinyint>"), "signatures")
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in scan.where("kind = 1").groupBy("lo").agg(F.sum("n").alias("n")).collect():  # at most 2**18 rows
-        counts[r.lo] = r.n
-    sketch = sc.broadcast(counts)
-    # A cold n-gram occurs at most `hot` times; a hot one is dealt into salts.
-    hot = 2000 + 4 * int(counts.mean())
-    members = S.written(S.with_group(scan.where("kind = 0 and n > 0").select("id", "n", "lo", "hi"), ["lo", "hi"], "id", low="class_id", size="copies"), "classes")
-
-    post = rows.mapInArrow(_postings(words, percent, sketch, hot, 4 * S.partitions(spark)), "gram long, salt int, lo long, id long, n int, pos int")
-    w = W.partitionBy("gram", "salt")
-    lists = post.repartition("gram", "salt").groupBy("gram", "salt", "lo").agg(F.struct(F.min("id").alias("d"), F.col("lo"), F.min("n").alias("n"), F.min("pos").alias("pos")).alias("me"))
-    lists = lists.select("gram", "salt", "me", F.count(F.lit(1)).over(w).alias("c"), F.min("me").over(w).alias("pivot"))
-    lists = S.written(lists.where("c > 1 or salt >= 0"), "postings")
-    salted = S.with_group(lists.where("salt >= 0").select("gram", "me"), ["gram"], "me", low="pivot", size="c").where("c > 1")
-    lists = S.written(lists.where("salt < 0").select("gram", "me", "pivot").unionByName(salted.select("gram", "me", "pivot")), "lists")
-
-    shares = scan.where("kind = 0 and n > 0").select(F.col("id").alias("d"), "lo", "parts")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    ranges = Ranges(max(1, -(-int(size) // RANGE_BYTES)))
+    asked = rows.mapInArrow(_requests(words, ranges), _PACKED).repartition(max(len(ranges.first), 1), "part")
+    packed = S.written(asked.groupBy("part").applyInArrow(_answers(ranges), _PACKED), "answers")
+    scan = S.written(packed.where(F.col("kind") == DOCS).mapInArrow(_documents(), "id long, n long, lo long, hi long, parts array<tinyint>"), "signatures")
+    post = S.written(packed.where(F.col("kind") == GRAMS).groupBy("part").applyInArrow(_prefixes(percent), "gram long, lo long, n int, m int, pos int"), "prefixes")
+    S.forget(packed)
+
+    members = S.written(S.with_group(scan.where("n > 0").select("id", "n", "lo", "hi"), ["lo", "hi"], "id", low="class_id", size="copies"), "classes")
+    firsts = members.where("id = class_id").select("lo", F.col("id").alias("d")).distinct()
+    lists = post.join(firsts, "lo").select("gram", F.struct("d", "lo", "n", "m", "pos").alias("me"))
+    lists = S.written(S.with_group(lists, ["gram"], "me", low="pivot", size="c").where("c > 1").select("gram", "me", "pivot"), "lists")
+    S.forget(post)
+
+    posted = lists.select(F.col("me.d").alias("d")).distinct()
+    shares = S.written(scan.select(F.col("id").alias("d"), "lo", "parts").join(posted, "d", "left_semi"), "shares")
     near = _passing(lists.where("me <> pivot").select(F.col("pivot").alias("a"), F.col("me").alias("b")), shares, percent)
     links = _verified(rows, near, words, percent, broadcast_rows)
     parts = S.components(links)
@@ -169,19 +285,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = a.join(b, (a.gram == b.gram) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _filters(percent) & _suffix(F.col("sa"), F.col("sb"), F.col("a.n"), F.col("b.n"), percent))
     cross = S.written(cross.select(F.col("a.d").alias("d1"), F.col("a.lo").alias("lo1"), F.col("b.d").alias("d2"), F.col("b.lo").alias("lo2")).distinct(), "pairs")
     more = _verified(rows, cross, words, percent, broadcast_rows)
+    S.forget(known, lists, shares)
     parts = S.components(links.unionByName(more))
 
     found = members.join(parts.select(F.col("id").alias("class_id"), "component_id"), "class_id", "left").select("id", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
-    alone = scan.where("kind = 0 and n = 0").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    alone = scan.where("n = 0").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     none = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component_id"))
     return found.unionByName(alone).unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
 def _filters(percent: int) -> Column:
-    """Length and positional filter on postings a and b of one n-gram."""
+    """Length and positional filter on postings a and b of one n-gram: of what comes before it in both texts, at most the smaller
+    number is shared, and likewise of what comes after; n-grams of a text alone are not among these."""
     na, nb, i, j = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
     length = (100 * na >= percent * nb) & (100 * nb >= percent * na)
-    return length & (F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1) >= least_overlap(na, nb, percent))
+    return length & (F.least(i, j) + 1 + F.least(F.col("a.m") - i - 1, F.col("b.m") - j - 1) >= least_overlap(na, nb, percent))
 
 
 def _suffix(p: Column, q: Column, na: Column, nb: Column, percent: int) -> Column:
