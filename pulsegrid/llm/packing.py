@@ -28,7 +28,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     def cut(batches):
         enc = T.made(T.Encoder, vocabulary)
         end = np.array([end_id], dtype=enc.kind).tobytes()
-        for b in T.chunks(batches):
+        for b in T.by_chars(batches, 1, T.BATCH_BYTES, 512):
             out = []
             for row, raw in enumerate(enc.batch(b.column(1).to_pylist())):
                 ids = np.frombuffer(raw + end, dtype=enc.kind).astype("<u4")

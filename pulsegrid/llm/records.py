@@ -66,7 +66,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def frames(batches):
         enc = T.made(T.Encoder, vocabulary)
         end = np.array([end_id], dtype=enc.kind).tobytes()
-        for b in T.chunks(batches):
+        for b in T.by_chars(batches, 1, T.BATCH_BYTES, 512):
             ids = enc.batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([frame(k, x + end, enc.width) for k, x in zip(b.column(0).to_pylist(), ids, strict=True)], pa.binary())], ["value"])
 

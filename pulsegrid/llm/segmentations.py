@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -15,24 +14,37 @@ from pulsegrid.llm import tokens as T
 MARK = "▁"
 #: A word of the normalised text: white space marks, then the rest. No piece reaches over the end of a word.
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: A table of 2**18 slots by the leading bits finds a hash among sorted ones.
+_SLOT = np.uint64(46)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def mixed(*parts) -> np.ndarray:
-    """Uniform numbers in (0, 1) from whole-number keys: a counter-based generator, the same for a row in any batch."""
-    h = np.uint64(0)
+#: Characters of text that a worker samples at once, and edges of word lattices that it keeps for later batches.
+BATCH_CHARS, KEPT_EDGES = 1_000_000, 6_000_000
+
+
+def state(*parts, h=np.uint64(0)) -> np.ndarray:
+    """A counter-based generator's state from whole-number keys; it goes on from h."""
     with np.errstate(over="ignore"):
         for p in parts:
             h = (h ^ np.asarray(p).astype(np.uint64)) * _MIX[1] + _MIX[0]
             h = (h ^ (h >> np.uint64(31))) * _MIX[2]
             h ^= h >> np.uint64(29)
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return h
+
+
+def mixed(*parts, h=np.uint64(0)) -> np.ndarray:
+    """Uniform numbers in (0, 1) from whole-number keys, the same for a row in any batch."""
+    return ((state(*parts, h=h) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
 class Lattices:
-    """The lattices of the distinct words of a batch, as one: edges sorted by their first place, with conditional probabilities."""
+    """The lattices of distinct words, as one: edges sorted by their first place, with conditional probabilities.
+
+    A worker keeps them, so a word's lattice is made once; with over KEPT_EDGES edges they are dropped before the next batch."""
 
     def __init__(self, words: list[str], vocab: Vocabulary):
+        self.number = {w: i for i, w in enumerate(words)}
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         # A place for each character and one after each word.
@@ -40,8 +52,8 @@ class Lattices:
         self.first, self.last = ends - sizes, ends
         places = np.ones(len(codes) + len(words), dtype=bool)
         places[ends] = False
-        at = np.flatnonzero(places)
-        room = np.repeat(ends, sizes) - at
+        at = np.flatnonzero(places).astype(np.int32)
+        room = (np.repeat(ends, sizes) - at).astype(np.int32)
         start, end, piece = [], [], []
         h = np.zeros(len(codes), dtype=np.uint64)
         alone = np.zeros(len(codes), dtype=bool)
@@ -51,9 +63,14 @@ class Lattices:
             if not len(live):
                 break
             now = h[live] * _MIX[2] + codes[live + size - 1] + np.uint64(1)
-            keys, ids = vocab.by_size[size]
-            k = np.minimum(np.searchsorted(keys, now), len(keys) - 1)
-            hit = keys[k] == now
+            keys, ids, slots = vocab.by_size[size]
+            spread = now * _MIX[1]
+            k = slots[(spread >> _SLOT).astype(np.int32)]
+            short = np.flatnonzero(keys[k] < spread)
+            while len(short):  # few hashes share a slot
+                k[short] += 1
+                short = short[keys[k[short]] < spread[short]]
+            hit = keys[k] == spread
             live, k = live[hit], k[hit]  # the others begin no piece
             h[live] = now[hit]
             whole = ids[k] >= 0
@@ -64,19 +81,19 @@ class Lattices:
             if size == 1:
                 alone[live[whole]] = True
         other = np.flatnonzero(~alone)  # a character without a piece: its bytes
-        start.append(at[other])
-        end.append(at[other] + 1)
         code = codes[other].astype(np.int64)
-        piece.append(np.where(code < 128, vocab.ascii[np.minimum(code, 127)], -code - 1))
+        start = [at[other], *start]
+        end = [at[other] + 1, *end]
+        piece = [np.where(code < 128, vocab.ascii[np.minimum(code, 127)], -code - 1).astype(np.int32), *piece]
         s, e, p = np.concatenate(start), np.concatenate(end), np.concatenate(piece)
-        order = np.lexsort((e, s))
-        self.start, self.end, self.piece = s[order], e[order], p[order]
+        order = np.argsort(s, kind="stable")  # each place's edges are in the order of their length already
+        self.start, self.end, self.piece = (x[order].astype(np.int32) for x in (s, e, p))
         weight = np.where(self.piece >= 0, vocab.weight[np.maximum(self.piece, 0)], vocab.byte_weight)
         n_places = len(places)
         self.row = np.searchsorted(self.start, np.arange(n_places + 1))
         # Log of the weight of all ways from a place to its word's end, from the last places back.
         beta = np.zeros(n_places)
-        to_end = (np.repeat(ends, sizes + 1) - np.arange(n_places))[self.start]
+        to_end = (np.repeat(ends, sizes + 1) - np.arange(n_places))[self.start].astype(np.int16 if sizes.max(initial=0) < 1 << 15 else np.int64)
         group = np.argsort(to_end, kind="stable")
         bounds = np.searchsorted(to_end[group], np.arange(1, int(to_end.max(initial=0)) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -87,14 +104,25 @@ class Lattices:
                 top = np.maximum.reduceat(x, cut)
                 beta[self.start[g][cut]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(cut, len(g))))), cut))
         self.logp = weight + beta[self.end] - beta[self.start]
-        self.p = np.exp(self.logp)
-        self.single = np.diff(self.row)[self.start] == 1
-        self.logp[self.single], self.p[self.single] = 0.0, 1.0
-        # Shares summed within each place; its last edge takes what rounding leaves.
-        cum = np.append(0.0, np.cumsum(self.p))
-        self.upto = cum[1:] - cum[self.row[self.start]]
+        self.logp[np.diff(self.row)[self.start] == 1] = 0.0
+        # Shares summed within each place, from its first edge on; its last edge takes what rounding leaves.
+        self.upto = np.exp(self.logp)
+        rank = (np.arange(len(self.start)) - self.row[self.start]).astype(np.int16)
+        by_rank = np.argsort(rank, kind="stable")
+        bounds = np.searchsorted(rank[by_rank], np.arange(1, int(rank.max(initial=0)) + 2))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            self.upto[by_rank[a:b]] += self.upto[by_rank[a:b] - 1]
         self.upto[self.row[1:][np.diff(self.row) > 0] - 1] = 2.0
 
+    def extend(self, more: Lattices) -> None:
+        """Takes in the lattices of other words."""
+        places, edges, words = len(self.row) - 1, len(self.start), len(self.number)
+        self.number |= {w: i + words for w, i in more.number.items()}
+        self.row = np.append(self.row[:-1], more.row + edges)
+        for name, shift in (("first", places), ("last", places), ("start", places), ("end", places), ("piece", 0), ("logp", 0), ("upto", 0)):
+            old, new = getattr(self, name), getattr(more, name)
+            setattr(self, name, np.concatenate([old, (new + shift).astype(old.dtype) if shift else new]))
+
     def choose(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by its probability; a place has at most as many edges as the longest piece has characters."""
         e = self.row[place]
@@ -104,19 +132,20 @@ class Lattices:
             more = more[self.upto[e[more]] <= u[more]]
         return e
 
-    def walk(self, word: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """From a place in each word to its end: (occurrence, edge), ordered by occurrence and step."""
+    def walk(self, word: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From a place in each word to its end, h the state of its numbers: (occurrence, edge), ordered by occurrence and step."""
         who, edges, steps = [], [], []
-        live = np.flatnonzero(place < self.last[word])
-        now = place.copy()
+        live = np.flatnonzero(place < self.last[word]).astype(np.int32)
+        now, begin, end, h = place[live], self.first[word[live]], self.last[word[live]], h[live]
         step = 0
         while len(live):
-            e = self.choose(now[live], mixed(*[k[live] for k in keys], now[live] - self.first[word[live]]))
+            e = self.choose(now, mixed(now - begin, h=h))
             who.append(live)
             edges.append(e)
-            steps.append(np.full(len(live), step, dtype=np.int32))
-            now[live] = self.end[e]
-            live = live[now[live] < self.last[word[live]]]
+            steps.append(np.full(len(live), step, dtype=np.int16 if step < 1 << 15 else np.int32))
+            now = self.end[e]
+            on = now < end
+            live, now, begin, end, h = live[on], now[on], begin[on], end[on], h[on]
             step += 1
         if not who:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -142,6 +171,11 @@ class Vocabulary:
         self.weight = alpha * np.array([self.sp.get_score(i) for i in range(n)])
         self.byte_weight = 0.0  # such a character has one way only, so its weight changes nothing
         self.longest = max(len(pieces[i]) for i in normal)
+        self.kept: Lattices | None = None
+        self.plain = np.zeros(n, dtype=bool)
+        self.plain[normal] = True
+        self.blank = [x.replace(MARK, " ") for x in pieces]
+        self.dummy = self.sp.decode(self.sp.encode("a")) == "a" and self.sp.normalize("a") == MARK + "a"
         #: By length: hashes of all beginnings of pieces, and the piece's id where it ends there (else -1).
         self.by_size = {}
         for size in range(1, self.longest + 1):
@@ -149,8 +183,27 @@ class Vocabulary:
             h = np.zeros(len(known), dtype=np.uint64)
             for k in range(size):
                 h = h * _MIX[2] + np.array([ord(x[k]) for x in known], dtype=np.uint64) + np.uint64(1)
+            h *= _MIX[1]
             order = np.argsort(h)
-            self.by_size[size] = (h[order], np.array(list(known.values()), dtype=np.int64)[order])
+            keys = np.append(h[order], np.uint64(2**64 - 1))
+            slots = np.searchsorted(keys, np.arange(1 << 18, dtype=np.uint64) << _SLOT).astype(np.int32)
+            self.by_size[size] = (keys, np.append(np.array(list(known.values()), dtype=np.int32)[order], -1), slots)
+
+    def lattices(self, words: list[list[str]]) -> Lattices:
+        """Lattices that hold these words, and others that the worker has met."""
+        if self.kept is None or len(self.kept.start) > KEPT_EDGES:
+            self.kept = Lattices([], self)
+        new = set().union(*words).difference(self.kept.number)
+        if new:
+            self.kept.extend(Lattices(sorted(new), self))
+        return self.kept
+
+    def text(self, ids: np.ndarray) -> str:
+        """What SentencePiece decodes the ids to; texts with ids of other than plain pieces are left to the library."""
+        if not len(ids) or ids.max() >= len(self.plain) or not self.plain[ids].all():
+            return self.sp.decode(ids.tolist())
+        text = "".join([self.blank[i] for i in ids.tolist()])
+        return text.removeprefix(" ") if self.dummy else text
 
     def ids(self, marks: np.ndarray) -> np.ndarray:
         """Piece ids; a character without a piece (-code - 1) becomes the pieces of its bytes."""
@@ -180,10 +233,9 @@ def top_k(texts: list[str | None], keys: list[int], vocab: Vocabulary, k: int, s
     a Gumbel of their mass truncated at the value of the set. The walks of all texts of a batch run together.
     """
     words = [_WORD.findall(vocab.sp.normalize(t)) if t else [] for t in texts]
-    index = {w: i for i, w in enumerate(dict.fromkeys([w for ws in words for w in ws]))}
-    lat = Lattices(list(index), vocab) if index else None
+    lat = vocab.lattices(words)
     out: list[list] = [[] for _ in texts]
-    word_of = [np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in words]
+    word_of = [np.fromiter(map(lat.number.__getitem__, ws), dtype=np.int32, count=len(ws)) for ws in words]
     row_key = np.array([x & ((1 << 64) - 1) for x in keys], dtype=np.uint64)
     value = -np.log(-np.log(mixed(np.uint64(seed), row_key, np.uint64(1 << 40))))
     # Of each text: the walked segmentations, as (edges, words, value, log-probabilities before each step, frontier).
@@ -202,9 +254,8 @@ def top_k(texts: list[str | None], keys: list[int], vocab: Vocabulary, k: int, s
             else:
                 edges, at_word = paths[t][path][0], paths[t][path][1]
                 place = int(lat.start[edges[step]])
-                options = np.arange(lat.row[place], lat.row[place + 1])
-                options = options[~np.isin(options, excluded)]
-                share = np.cumsum(lat.p[options])
+                options = np.array([o for o in range(lat.row[place], lat.row[place + 1]) if o not in excluded])
+                share = np.cumsum(np.exp(lat.logp[options]))
                 u = float(mixed(np.uint64(seed), row_key[t], np.uint64(draw), np.uint64(1 << 41)))
                 e = int(options[min(int(np.searchsorted(share, u * share[-1], side="right")), len(options) - 1)])
                 heads.append(np.append(edges[:step], e))
@@ -215,28 +266,29 @@ def top_k(texts: list[str | None], keys: list[int], vocab: Vocabulary, k: int, s
                 start[0] = place0
             tails.append(rest)
             first_place.append(start)
-            own.append(np.full(len(rest), t))
-            nth.append(np.arange(w0, len(ws)))
+            own.append(np.full(len(rest), t, dtype=np.int32))
+            nth.append(np.arange(w0, len(ws), dtype=np.int32))
         word, place, text, number = map(np.concatenate, (tails, first_place, own, nth))
-        who, got = lat.walk(word, place, [np.full(len(word), seed, dtype=np.uint64), row_key[text], np.full(len(word), draw), number])
+        drawn = state(np.uint64(draw), h=state(np.uint64(seed), row_key))
+        who, got = lat.walk(word, place, state(number, h=drawn[text]))
         cuts = np.searchsorted(who, np.cumsum([0, *map(len, tails)]))
         following = []
         for j, (t, path, step, val, excluded) in enumerate(jobs):
             mine = slice(cuts[j], cuts[j + 1])
             edges = np.concatenate([heads[j], got[mine]])
-            old_words = paths[t][path][1][: step + 1] if path is not None else np.zeros(0, dtype=np.int64)
+            old_words = paths[t][path][1][: step + 1] if path is not None else np.zeros(0, dtype=np.int32)
             at_word = np.concatenate([old_words, number[who[mine]]])
             lp = lat.logp[edges]
             total = np.cumsum(lp)
             # Sets left at each new step: all edges there but the one taken.
             new = np.arange(step if path is not None else 0, len(edges))
-            taken = lat.p[edges[new]].copy()
+            taken = np.exp(lp[new])
             if path is not None:
-                taken[0] += lat.p[list(excluded)].sum()
+                taken[0] += np.exp(lat.logp[list(excluded)]).sum()
                 taken[0] = 1.0 if len(excluded) + 1 >= lat.row[lat.start[edges[step]] + 1] - lat.row[lat.start[edges[step]]] else taken[0]
             with np.errstate(divide="ignore", over="ignore"):
-                mass = (total - lp)[new] + np.log(np.where(lat.single[edges[new]], 0.0, np.maximum(1.0 - taken, 0.0)))
-                u = mixed(np.uint64(seed), row_key[t], np.uint64(draw), np.uint64(1 << 42), new)
+                mass = (total - lp)[new] + np.log(np.where(taken == 1.0, 0.0, np.maximum(1.0 - taken, 0.0)))
+                u = mixed(np.uint64(1 << 42), new, h=drawn[t])
                 front = -np.logaddexp(-val, np.log(-np.log(u)) - mass)
             front[np.isneginf(mass)] = -np.inf
             frontier = np.full(len(edges), -np.inf)
@@ -279,13 +331,17 @@ def model_path(path: str | None) -> str:
 def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, alpha: float = 0.0005, seed: int = 17, path: str | None = None) -> DataFrame:
     """Up to k distinct segmentations of each whole text: id, sample (0 first), ids (little-endian u32), log_prob, perturbed, inclusion.
 
-    A segmentation's probability is proportional to exp(alpha * sum of piece scores). Samples are the k of the greatest
+    A segmentation's probability is proportional to exp(alpha * sum of piece scores). In a unigram model the scores are log
+    probabilities; in a BPE model, as the one at hand, they are the negative ranks of the merges, so alpha (small, for ranks go
+    up to the vocabulary's size) sets how much more likely pieces made by early merges are. Samples are the k of the greatest
     Gumbel-perturbed log-probability, in that order, that is k draws without replacement; inclusion is the probability
     that the segmentation exceeds the threshold, the perturbed value of the k+1st. They depend on the row's key (id and text)
     and the seed only. Texts with fewer than k segmentations give all of them, with inclusion 1.
 
     Null texts, and texts that normalise to nothing, give one empty segmentation. Null ids are carried through. Characters without a
-    piece become the pieces of their bytes. Other columns are not read; no shuffle.
+    piece become the pieces of their bytes. Other columns are not read; no shuffle. Texts are sampled in batches of about
+    BATCH_CHARS characters, one longer text alone, and a worker keeps at most KEPT_EDGES edges of lattices besides those of
+    its batch; so memory grows with the longest text only. Equal rows get equal samples.
     """
     path = model_path(path)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
@@ -293,7 +349,7 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         vocab = vocabulary(path, alpha)
-        for b in T.chunks(batches, 1024):
+        for b in T.by_chars(batches, 1, BATCH_CHARS):
             got = top_k(b.column(1).to_pylist(), b.column(2).to_pylist(), vocab, k, seed)
             row = [i for i, g in enumerate(got) for _ in g]
             flat = [x for g in got for x in g]
@@ -303,20 +359,31 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"id {kind}, sample int, ids binary, log_prob double, perturbed double, inclusion double").withColumnRenamed("id", id_col)
 
 
-def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """Adds text: what the ids (little-endian u32) stand for; null ids give null."""
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """docs with the library's own segmentation of each whole text: ids (little-endian u32; a column of that name is replaced); null gives null."""
     path = model_path(path)
-    rows = rows.drop("text")
-    at, names = rows.columns.index(ids_col), [*rows.columns, "text"]
+    rows = docs.drop(ids_col)
+    at, names = rows.columns.index(text_col), [*rows.columns, ids_col]
 
     def run(batches):
         sp = vocabulary(path, 1.0).sp
-        for b in batches:
-            texts = [None if x is None else sp.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
+        for b in T.by_chars(batches, at, BATCH_CHARS):
+            ids = [None if x is None else np.array(sp.encode(x), dtype="<u4").tobytes() for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{ids_col}` binary")
+
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", text string")
+def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """rows with text: what the ids (little-endian u32) stand for; null ids give null. A column of that name is replaced."""
+    path = model_path(path)
+    rows = rows.drop(text_col)
+    at, names = rows.columns.index(ids_col), [*rows.columns, text_col]
 
+    def run(batches):
+        vocab = vocabulary(path, 1.0)
+        for b in T.chunks(batches, 64):
+            texts = [None if x is None else vocab.text(np.frombuffer(x, dtype="<u4")) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{text_col}` string")

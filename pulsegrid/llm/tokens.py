@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 #: Where there is none of these either, commas, full stops and line feeds begin pre-tokens in the same way.
 _JOINED = re.compile(r"[^\w\n][.,]|_[.,]|\n(?=\s|\Z)|\0")
-#: Cached words of one worker; the cache is emptied when it is full.
-CACHED = 1_500_000
+#: Cached words of one worker; the cache is emptied when it is full. Words over LONG_WORD characters are not kept.
+CACHED, LONG_WORD = 1_500_000, 200
+#: Bytes of text that a worker cuts at once; a longer text comes alone.
+BATCH_BYTES = 8 << 20
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -39,8 +41,6 @@ class WordCache:
 
     special: list[str] = []
     cuts = True
-    nothing = None
-
     def __init__(self):
         self.cache: dict = {}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
@@ -77,14 +77,16 @@ class WordCache:
         new.difference_update(cache.keys())
         words = list(new)
         cache.update(zip(words, self.values(words), strict=True))
-        return [self.whole(t) if p is None else self.total([cache[w] for w in p]) for t, p in zip(texts, cut, strict=True)]
+        out = [self.whole(t) if p is None else self.total([cache[w] for w in p]) for t, p in zip(texts, cut, strict=True)]
+        for w in words:
+            if len(w) > LONG_WORD:
+                del cache[w]
+        return out
 
 
 class Encoder(WordCache):
     """ids of whole texts as the tokenizers library gives them, without added special tokens; little-endian unsigned integers of `width` bytes."""
 
-    nothing = b""
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -126,8 +128,6 @@ class Encoder(WordCache):
 class RankMerger(WordCache):
     """Counts the symbols that byte-pair merging leaves of each pre-token, for all pre-tokens of a batch at once."""
 
-    nothing = 0
-
     def __init__(self, path: str):
         import regex
 
@@ -217,6 +217,18 @@ def chunks(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterable[pa.Re
             yield b.slice(i, rows)
 
 
+def by_chars(batches: Iterable[pa.RecordBatch], column: int, most: int, rows: int = 1024) -> Iterable[pa.RecordBatch]:
+    """Slices of at most `rows` rows whose texts (or bytes) in a column are at most `most` bytes together; a longer one comes alone."""
+    for b in batches:
+        sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in b.column(column)], dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            upto = np.cumsum(sizes[start : start + rows])
+            n = max(1, int(np.searchsorted(upto, most, side="right")))
+            yield b.slice(start, n)
+            start += n
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, path: str | None = None) -> DataFrame:
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -229,7 +241,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches):
         merger = made(RankMerger, path)
-        for b in chunks(batches):
+        for b in by_chars(batches, 2, BATCH_BYTES, 512):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(merger.batch(b.column(2).to_pylist()), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("t"))
