@@ -6,6 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pulsegrid.llm import _shared as S
 
@@ -22,62 +23,67 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
-    """Per document with lines to drop: id, n_dropped, keep (run lengths: kept, dropped, kept, ... lines in order).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """Per document with lines to drop: id, text_hash, n_dropped, keep (the compressed bitmap: the lines at which it turns, see flips).
 
     A key of at least `min_chars` code points in at least `min_docs` documents keeps its lines in the largest id that holds it
-    and loses all others. Each document gives one row for each of its distinct keys: the key's 128-bit hash, the id, the
-    positions. These rows are range-partitioned and sorted by (hash, id, position): equal lines stand together, and as the id is
-    part of the range, one very frequent line spans as many partitions as it needs. A stream over them counts the documents
-    of each hash and meets its largest id; the counts of a partition are summed before they are shuffled. The rows of hashes
-    that repeat too often then give each document its bitmap. Texts are never shuffled.
-
-    The few repeated hashes are broadcast if they were counted to be at most `broadcast_rows`, else joined by shuffle, where
+    and loses all others. 1. One pass over the texts writes a row for each line with such a key: the key's 128-bit hash, the id,
+    the position; the id's hash gives it one of a few salts. 2. The rows are range-partitioned by (hash, salt) and sorted by
+    (hash, salt, id, position), largest id first: a window streams over each run without another exchange, marks each
+    document's first occurrence of the line, and so numbers the run's documents and meets its largest id in its first row. A very frequent
+    line spans as many runs, in as many tasks, as there are salts; the runs' counts are summed per partition before
+    they are shuffled. 3. The rows of lines that repeat too often give each document its bitmap. Texts are never shuffled.
+
+    The repeated hashes are broadcast if their counted size is at most `broadcast_bytes`, else joined by shuffle, where
     adaptive execution splits a frequent hash. Null ids hold no key: their lines stay. Rows with one id are one document as to
-    counting, and each of them loses its lines at the positions of its own; a bitmap belongs to (id, hash of text).
+    counting, and each of them loses its lines at the positions of its own; a bitmap belongs to (id, hash of text). All
+    steps are linear in the lines, but for the sort.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase).alias("t"))
     long_lines = rows.where(F.length("t") >= min_chars).select("id", "text_hash", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).where(F.length("line") >= min_chars)
     keys = long_lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= min_chars)
-    hashed = keys.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "id", "text_hash", "pos")
     n = S.partitions(docs.sparkSession)
-    ranged = S.written(hashed.repartitionByRange(n, "h", "h2", "id", "pos").sortWithinPartitions("h", "h2", "id", "pos"), "lines")
-    often = ranged.groupBy("h", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h", "h2").agg(F.count("one").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
+    salt = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2 * n)).cast("int")
+    hashed = S.written(keys.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), salt.alias("salt"), "id", "text_hash", "pos"), "lines")
+
+    run = ["h", "h2", "salt"]
+    stream = W.partitionBy(*run).orderBy(F.col("id").desc(), "text_hash", "pos")
+    first = F.coalesce(F.lag("id").over(stream) != F.col("id"), F.lit(True))
+    ranged = hashed.select(*run, "id", "text_hash", "pos").repartitionByRange(n, *run).withColumn("first", first)
+    often = ranged.where("first").groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
     often = S.written(often.select("h", "h2", "last"), "often")
-    drops = ranged.join(S.small(often, often.count(), broadcast_rows), ["h", "h2"]).where("id < last")
-    return drops.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped")).select("id", "text_hash", F.size("dropped").cast("long").alias("n_dropped"), run_lengths(F.col("dropped")).alias("keep"))
-
+    drops = hashed.join(S.small(often, 32 * often.count(), broadcast_bytes), ["h", "h2"]).where("id < last").select("id", "text_hash", "pos").distinct()
+    # Neighbours in one run of dropped lines have the same difference of position and rank.
+    own = W.partitionBy("id", "text_hash").orderBy("pos")
+    islands = drops.withColumn("island", F.col("pos") - F.row_number().over(own)).groupBy("id", "text_hash", "island").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b"))
+    ends = islands.groupBy("id", "text_hash").agg(F.sum(F.col("b") - F.col("a")).cast("long").alias("n_dropped"), F.array_sort(F.collect_list(F.array("a", "b"))).alias("runs"))
+    return ends.select("id", "text_hash", "n_dropped", flips(F.col("runs")).alias("keep"))
 
-def run_lengths(dropped: Column) -> Column:
-    """[2, 3, 7] -> [2, 2, 3, 1]: two kept, two dropped, three kept, one dropped; all lines after stay."""
-    start = F.struct(F.array().cast("array<int>").alias("runs"), F.lit(-1).alias("last"))
 
-    def step(acc: Column, p: Column) -> Column:
-        runs = acc["runs"]
-        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.element_at(runs, -1) + 1))
-        more = F.when((p == acc["last"] + 1) & (F.size(runs) > 0), longer).otherwise(F.concat(runs, F.array(p - acc["last"] - 1, F.lit(1))))
-        return F.struct(more.alias("runs"), p.alias("last"))
+def flips(runs: Column) -> Column:
+    """[[2, 4], [7, 8]] -> [2, 4, 7, 8]: the bitmap begins with kept lines and turns at these positions; an empty one keeps all."""
+    return F.flatten(runs)
 
-    return F.aggregate(dropped, start, step, lambda acc: acc["runs"])
 
+def kept_slices(keep: Column, lines: Column) -> Column:
+    """The kept stretches of an array of lines, joined; linear in the lines, for each stretch is copied once."""
+    starts = F.sequence(F.lit(0), F.size(keep), F.lit(2))
 
-def dropped_positions(keep: Column) -> Column:
-    """The inverse of run_lengths."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(keep) - 1, F.lit(2)), lambda i: F.struct(keep[i].alias("skip"), keep[i + 1].alias("n")))
+    def stretch(i: Column) -> Column:
+        a = F.when(i == 0, F.lit(0)).otherwise(F.get(keep, i - 1))
+        b = F.coalesce(F.get(keep, i), F.size(lines))
+        return F.slice(lines, a + 1, b - a)
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["skip"]
-        return F.struct((at + x["n"]).alias("at"), F.concat(acc["out"], F.sequence(at, at + x["n"] - 1)).alias("out"))
+    return F.flatten(F.transform(starts, stretch))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """docs with text replaced by what its bitmap keeps, and n_lines, n_dropped (columns of these names are replaced).
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
-    """docs with text replaced by what its bitmap keeps, and n_lines, n_dropped; bitmaps are broadcast if counted to be few."""
+    Bitmaps are broadcast if their counted size is at most `broadcast_bytes`, else joined by shuffle."""
     bitmaps = bitmaps.select(F.col("id").alias("__id"), F.col("text_hash").alias("__h"), F.col("n_dropped").alias("__n"), F.col("keep").alias("__keep"))
-    own = lines(F.col(text_col))
-    joined = docs.drop("n_lines", "n_dropped").join(S.small(bitmaps, bitmaps.count(), broadcast_rows), (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__h")), "left")
-    gone = F.when(F.col("__keep").isNotNull(), dropped_positions(F.col("__keep")))
-    kept = F.when(F.col("__keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.filter(own, lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    return joined.withColumns({"n_lines": F.size(own).cast("long"), "n_dropped": F.coalesce("__n", F.lit(0)).cast("long"), text_col: kept}).drop("__id", "__h", "__n", "__keep")
+    size = bitmaps.agg(F.sum(40 + 4 * F.size("__keep"))).first()[0] or 0
+    rows = docs.drop("n_lines", "n_dropped").withColumn("__lines", lines(F.col(text_col)))
+    joined = rows.join(S.small(bitmaps, size, broadcast_bytes), (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__h")), "left")
+    kept = F.when(F.col("__keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept_slices(F.col("__keep"), F.col("__lines")), "\n"))
+    return joined.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dropped": F.coalesce("__n", F.lit(0)).cast("long"), text_col: kept}).drop("__id", "__h", "__n", "__keep", "__lines")

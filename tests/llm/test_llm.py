@@ -168,8 +168,18 @@ def test_line_dedup(spark):
     assert (got[20].n_lines, got[20].text, got[21].n_lines) == (1, "", 1)
     assert got[22].n_dropped == 0 and got[None].n_dropped == 0
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
-    r = spark.createDataFrame([([2, 3, 7],), ([0],), ([0, 1, 2, 5],)], "d array<int>").select("d", line_dedup.dropped_positions(line_dedup.run_lengths(F.col("d"))).alias("b"))
-    assert all(x.d == x.b for x in r.collect())
+    r = spark.createDataFrame([([2, 4, 7, 8],), ([0, 1],), ([],), ([0, 9],)], "k array<int>").withColumn("l", F.array(*map(F.lit, "abcdefghi")))
+    assert [x[0] for x in r.select(F.array_join(line_dedup.kept_slices(F.col("k"), F.col("l")), "")).collect()] == ["abefgi", "bcdefghi", "abcdefghi", ""]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    """Linear: 100,000 lines, every second one dropped."""
+    shared = [f"line {i} that several documents hold, of forty characters or more" for i in range(50_000)]
+    long = "\n".join(x for i, s in enumerate(shared) for x in (s, f"own {i}"))
+    df = spark.createDataFrame([(0, long, 5, "x"), *((i, "\n".join(shared), 5, "x") for i in range(1, 6))], "doc_id long, text string, n_lines int, keep string")
+    got = {r.doc_id: r for r in line_dedup.apply_bitmaps(df, line_dedup.line_dedup(df)).collect()}
+    assert (got[0].n_lines, got[0].n_dropped, got[0].keep) == (100_000, 50_000, "x")
+    assert got[0].text == "\n".join(f"own {i}" for i in range(50_000)) and got[1].text == "" and got[5].n_dropped == 0
 
 
 def test_language_id(spark, docs, empty):
