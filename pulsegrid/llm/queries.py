@@ -52,9 +52,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sampled segmentations of each whole text; text_crc32 is of what their ids decode to."""
-    out = segmentations.decode(segmentations.sample_segmentations(documents(spark, sf_dir), k=3))
+    out = segmentations.sample_segmentations(documents(spark, sf_dir), k=3)
     n = (F.octet_length("ids") / 4).cast("long")
-    return out.select("doc_id", "sample", n.alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "log_prob", "perturbed", "inclusion")
+    return out.select("doc_id", "sample", n.alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "text_crc32", "log_prob", "perturbed", "inclusion")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 
 
 #: Characters of text that a worker samples at once, and edges of word lattices that it keeps for later batches.
-BATCH_CHARS, KEPT_EDGES = 1_000_000, 6_000_000
+BATCH_CHARS, KEPT_EDGES = 1_000_000, 4_000_000
 
 
 def state(*parts, h=np.uint64(0)) -> np.ndarray:
@@ -45,6 +46,7 @@ class Lattices:
 
     def __init__(self, words: list[str], vocab: Vocabulary):
         self.number = {w: i for i, w in enumerate(words)}
+        self.rooms: dict[str, np.ndarray] = {}
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         # A place for each character and one after each word.
@@ -90,7 +92,7 @@ class Lattices:
         self.start, self.end, self.piece = (x[order].astype(np.int32) for x in (s, e, p))
         weight = np.where(self.piece >= 0, vocab.weight[np.maximum(self.piece, 0)], vocab.byte_weight)
         n_places = len(places)
-        self.row = np.searchsorted(self.start, np.arange(n_places + 1))
+        self.row = np.append(0, np.cumsum(np.bincount(self.start, minlength=n_places))).astype(np.int32)
         # Log of the weight of all ways from a place to its word's end, from the last places back.
         beta = np.zeros(n_places)
         to_end = (np.repeat(ends, sizes + 1) - np.arange(n_places))[self.start].astype(np.int16 if sizes.max(initial=0) < 1 << 15 else np.int64)
@@ -106,7 +108,7 @@ class Lattices:
         self.logp = weight + beta[self.end] - beta[self.start]
         self.logp[np.diff(self.row)[self.start] == 1] = 0.0
         # Shares summed within each place, from its first edge on; its last edge takes what rounding leaves.
-        self.upto = np.exp(self.logp)
+        self.upto = np.exp(self.logp).astype(np.float32)
         rank = (np.arange(len(self.start)) - self.row[self.start]).astype(np.int16)
         by_rank = np.argsort(rank, kind="stable")
         bounds = np.searchsorted(rank[by_rank], np.arange(1, int(rank.max(initial=0)) + 2))
@@ -115,13 +117,21 @@ class Lattices:
         self.upto[self.row[1:][np.diff(self.row) > 0] - 1] = 2.0
 
     def extend(self, more: Lattices) -> None:
-        """Takes in the lattices of other words."""
+        """Takes in the lattices of other words; the arrays are views of longer ones that leave room for more."""
         places, edges, words = len(self.row) - 1, len(self.start), len(self.number)
-        self.number |= {w: i + words for w, i in more.number.items()}
-        self.row = np.append(self.row[:-1], more.row + edges)
-        for name, shift in (("first", places), ("last", places), ("start", places), ("end", places), ("piece", 0), ("logp", 0), ("upto", 0)):
-            old, new = getattr(self, name), getattr(more, name)
-            setattr(self, name, np.concatenate([old, (new + shift).astype(old.dtype) if shift else new]))
+        self.number.update((w, i + words) for w, i in more.number.items())
+        more.row += edges
+        for x in (more.first, more.last, more.start, more.end):
+            x += places
+        for name in ("row", "first", "last", "start", "end", "piece", "logp", "upto"):
+            new, now = getattr(more, name), len(getattr(self, name)) - (name == "row")
+            room = self.rooms.get(name)
+            if room is None or len(room) < now + len(new):
+                room = np.empty(2 * (now + len(new)), dtype=new.dtype)
+                room[:now] = getattr(self, name)[:now]
+                self.rooms[name] = room
+            room[now : now + len(new)] = new
+            setattr(self, name, room[: now + len(new)])
 
     def choose(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by its probability; a place has at most as many edges as the longest piece has characters."""
@@ -134,24 +144,21 @@ class Lattices:
 
     def walk(self, word: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From a place in each word to its end, h the state of its numbers: (occurrence, edge), ordered by occurrence and step."""
-        who, edges, steps = [], [], []
+        taken, steps = [], np.zeros(len(word), dtype=np.int32)
         live = np.flatnonzero(place < self.last[word]).astype(np.int32)
         now, begin, end, h = place[live], self.first[word[live]], self.last[word[live]], h[live]
-        step = 0
         while len(live):
             e = self.choose(now, mixed(now - begin, h=h))
-            who.append(live)
-            edges.append(e)
-            steps.append(np.full(len(live), step, dtype=np.int16 if step < 1 << 15 else np.int32))
+            taken.append((live, e))
             now = self.end[e]
             on = now < end
+            steps[live] += 1
             live, now, begin, end, h = live[on], now[on], begin[on], end[on], h[on]
-            step += 1
-        if not who:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        w, e, s = np.concatenate(who), np.concatenate(edges), np.concatenate(steps)
-        order = np.lexsort((s, w))
-        return w[order], e[order]
+        offset = np.cumsum(steps) - steps
+        edges = np.empty(int(steps.sum()), dtype=np.int32)
+        for step, (live, e) in enumerate(taken):
+            edges[offset[live] + step] = e
+        return np.repeat(np.arange(len(word), dtype=np.int32), steps), edges
 
 
 class Vocabulary:
@@ -329,7 +336,8 @@ def model_path(path: str | None) -> str:
 
 
 def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, alpha: float = 0.0005, seed: int = 17, path: str | None = None) -> DataFrame:
-    """Up to k distinct segmentations of each whole text: id, sample (0 first), ids (little-endian u32), log_prob, perturbed, inclusion.
+    """Up to k distinct segmentations of each whole text: id, sample (0 first), ids (little-endian u32), log_prob, perturbed, inclusion,
+    text_crc32 (of what the ids decode to).
 
     A segmentation's probability is proportional to exp(alpha * sum of piece scores). In a unigram model the scores are log
     probabilities; in a BPE model, as the one at hand, they are the negative ranks of the merges, so alpha (small, for ranks go
@@ -354,9 +362,10 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
             row = [i for i, g in enumerate(got) for _ in g]
             flat = [x for g in got for x in g]
             cols = [b.column(0).take(pa.array(row, pa.int32())), pa.array([s for g in got for s in range(len(g))], pa.int32()), pa.array([x[0].tobytes() for x in flat], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3))], ["id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+            check = pa.array([zlib.crc32(vocab.text(x[0]).encode()) for x in flat], pa.int64())
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3)), check], ["id", "sample", "ids", "log_prob", "perturbed", "inclusion", "text_crc32"])
 
-    return rows.mapInArrow(run, f"id {kind}, sample int, ids binary, log_prob double, perturbed double, inclusion double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, sample int, ids binary, log_prob double, perturbed double, inclusion double, text_crc32 long").withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:

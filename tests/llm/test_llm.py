@@ -201,7 +201,7 @@ def test_segmentations(docs, empty):
     for i, t in enumerate(texts()):
         rows = sorted(by[i], key=lambda r: r["sample"])
         assert len({bytes(r.ids) for r in rows}) == len(rows) >= 1
-        assert all(r.text == (t or "") for r in rows)
+        assert all(r.text == (t or "") and r.text_crc32 == zlib.crc32((t or "").encode()) for r in rows)
         assert [r.perturbed for r in rows] == sorted([r.perturbed for r in rows], reverse=True)
         assert all(0 <= r.inclusion <= 1 for r in rows)
     again = segmentations.sample_segmentations(docs.repartition(2), k=3)
@@ -234,6 +234,25 @@ def test_segmentations_follow_the_lattice():
     for (a, b), count in pairs.items():
         want = p[a] * p[b] / (1 - p[a])
         assert abs(count / n - want) < 5 * math.sqrt(want / n) + 1e-3
+    # A segmentation's share of the samples, each weighed by its inclusion, is its own: the mean of 1 / inclusion over rows is 1.
+    weight = collections.Counter()
+    for r in rows:
+        for x in r:
+            weight[x[0].tobytes()] += 1 / x[3]
+    for x in (x for x in p if p[x] > 0.01):
+        assert abs(weight[x] / n - 1) < 0.15
+
+
+def test_plain_encoding(docs, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=segmentations.model_path(None))
+    got = {r.doc_id: r for r in segmentations.decode(segmentations.encode(docs.withColumn("ids", F.lit(1))), text_col="back").collect()}
+    for i, t in enumerate(texts()):
+        assert got[i].back == t and (t is None) == (got[i].ids is None)
+        if t is not None:
+            assert np.frombuffer(got[i].ids, "<u4").tolist() == sp.encode(t)
+    assert segmentations.encode(empty).count() == 0
 
 
 def test_pipeline(spark):
