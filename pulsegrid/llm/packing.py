@@ -43,64 +43,97 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_pattern(worth: np.ndarray, limit: int, lengths: np.ndarray) -> dict[int, int]:
-    """The multiset of lengths within `limit` of the greatest worth: an unbounded knapsack by dynamic programming over the capacity."""
-    best = np.zeros(limit + 1)
-    last = np.zeros(limit + 1, dtype=np.int64)
-    for room in range(1, limit + 1):
-        k = np.searchsorted(lengths, room, side="right")
-        if k:
-            gain = best[room - lengths[:k]] + worth[:k]
-            i = int(np.argmax(gain))
-            if gain[i] > best[room - 1]:
-                best[room], last[room] = gain[i], lengths[i]
+class Knapsack:
+    """The multisets of lengths within `limit` of the greatest price: an unbounded knapsack by dynamic programming over the capacity."""
+
+    def __init__(self, price: np.ndarray, limit: int, lengths: np.ndarray):
+        self.price, self.limit, self.lengths = price, limit, lengths
+        self.upto = np.searchsorted(lengths, np.arange(limit + 1), side="right")
+        self.best = np.zeros(limit + 1)
+        for room in range(int(lengths[0]), limit + 1):
+            k = self.upto[room]
+            self.best[room] = max(self.best[room - 1], float((self.best[room - lengths[:k]] + price[:k]).max()))
+
+    def pattern(self, share: np.ndarray, rng: np.random.Generator, slack: float = 1e-4) -> dict[int, int]:
+        """A random one of the best patterns (to within slack a step), {index: times}: each step takes a length in proportion to its share."""
+        room, out = self.limit, {}
+        while room >= self.lengths[0]:
+            k = self.upto[room]
+            gain = self.best[room - self.lengths[:k]] + self.price[:k]
+            upto = np.cumsum(np.where(gain >= self.best[room] - slack, share[:k], 0.0))
+            if upto[-1] > 0:
+                i = int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
+            elif self.best[room - 1] >= self.best[room] - slack:
+                room -= 1
                 continue
-        best[room] = best[room - 1]
-    out: dict[int, int] = {}
-    room = limit
-    while room > 0:
-        if size := int(last[room]):
-            out[size] = out.get(size, 0) + 1
-            room -= size
-        else:
-            room -= 1
-    return out
-
-
-def plan(counts: dict[int, int], limit: int, rounds: int = 250, eta: float = 0.25) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: times}, copies) that hold exactly `counts` items of each length.
-
-    The configuration program asks for the fewest patterns that cover all counts. Multiplicative weights give each length a
-    price that falls with the share of it that is covered; the knapsack finds the pattern of greatest price, which is taken
-    for a share of what it still can cover. Taking whole copies only, and never more than is left, rounds the solution
-    down; the rest, and what no round chose, is packed best-fit decreasing over the histogram. The work depends on the
-    number of lengths, not of items.
+            else:
+                i = int(np.argmax(gain))
+            out[i] = out.get(i, 0) + 1
+            room -= int(self.lengths[i])
+        return out
+
+
+def fractional(counts: dict[int, int], limit: int, rounds: int = 160, draws: int = 64, step: float = 0.7, eps: float = 0.002, rest: float = 0.005, seed: int = 0) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A fractional solution of the configuration program, as ({length: times}, weight), and a lower bound on the number of sequences.
+
+    The program asks for the least total weight of patterns that cover the count of every length. Each round prices a length by its
+    size, times a weight that falls by the factor exp(-eps * share covered); the knapsack finds the best patterns at these prices,
+    and `draws` of them get `step` of the weight that the scarcest of their lengths can still take (a whole copy, if there is
+    one). By duality the counts at the round's prices, over the best pattern's price, are a lower bound. It ends when less than
+    `rest` of the tokens is uncovered, when the best patterns would leave 3 % of a sequence empty, or after `rounds`; what is
+    uncovered then is left to the rounding. The work depends on the number of lengths, not of items.
     """
-    lengths = np.array(sorted(counts), dtype=np.int64)
+    lengths = np.array(sorted(x for x, n in counts.items() if n), dtype=np.int64)
+    if not len(lengths):
+        return [], 0.0
     asked = np.array([counts[int(x)] for x in lengths], dtype=np.float64)
-    left = dict(counts)
-    out: list[tuple[dict[int, int], int]] = []
-    total = float((lengths * asked).sum())
-    place = {int(x): i for i, x in enumerate(lengths)}
-    for _ in range(rounds if total > 4 * limit else 0):
-        rest = np.array([left[int(x)] for x in lengths], dtype=np.float64)
-        live = rest > 0
-        if not live.any() or (lengths * rest).sum() < 0.002 * total:
+    rng = np.random.default_rng(seed)
+    total, left, low, out = float(lengths @ asked), asked.copy(), 0.0, []
+    for _ in range(rounds):
+        live = np.flatnonzero(left > 1e-9)
+        if lengths @ left <= rest * total:
             break
-        # A length is worth its tokens, times the weight that its uncovered share has grown to.
-        worth = lengths[live] * np.exp(eta * rest[live] / asked[live]) / limit
-        pattern = best_pattern(worth * (1 + 1e-6 * lengths[live]), limit, lengths[live])
-        most = min(left[x] // t for x, t in pattern.items())
-        if most == 0:  # the pattern asks for more of a length than is left: it is cut to what there is
-            pattern = {x: min(t, left[x]) for x, t in pattern.items()}
-            most = 1
-            if sum(x * t for x, t in pattern.items()) < 0.98 * limit:
-                break
-        copies = most if most <= 8 else max(1, most // 2)
-        out.append((pattern, int(copies)))
-        for x, t in pattern.items():
-            left[x] -= t * int(copies)
-    assert all(x in place and n >= 0 for x, n in left.items())
+        prices = lengths / limit * np.exp(eps * (left / asked - 1))
+        size, need = lengths[live], left[live]
+        sack = Knapsack(prices[live], limit, size)
+        if len(live) == len(lengths):
+            low = max(low, float(prices @ asked) / sack.best[limit])
+        before = len(out)
+        for _ in range(draws):
+            pattern = sack.pattern(need * (size / limit) ** 30, rng)  # long pieces first, they fit in the fewest patterns
+            at, times = np.fromiter(pattern, dtype=np.int64), np.fromiter(pattern.values(), dtype=np.float64)
+            most = float((need[at] / times).min())
+            weight = max(step * most, min(1.0, most))
+            if weight <= 1e-9 or size[at] @ times < 0.97 * limit:
+                continue
+            need[at] -= times * weight
+            out.append(({int(size[i]): int(t) for i, t in zip(at, times, strict=True)}, weight))
+        left[live] = need
+        if len(out) == before:
+            break
+    return out, max(low, total / limit)
+
+
+def plan(counts: dict[int, int], limit: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns ({length: times}, copies) that hold exactly `counts` items of each length.
+
+    The fractional solution is rounded: the weights of equal patterns add up, each pattern gets the whole copies in its weight and in what
+    rounding has lost so far, but never more than the lengths have left. What no pattern took is packed best-fit decreasing
+    over the histogram."""
+    weights: dict[tuple, float] = {}
+    for pattern, weight in fractional(counts, limit)[0]:
+        key = tuple(sorted(pattern.items()))
+        weights[key] = weights.get(key, 0.0) + weight
+    left, out, lost = dict(counts), [], 0.0
+    for key, weight in weights.items():
+        copies = min(int(weight + lost + 1e-9), *(left[x] // t for x, t in key))
+        lost += weight - copies
+        if copies:
+            out.append((dict(key), copies))
+            for x, t in key:
+                left[x] -= t * copies
+    if min(left.values(), default=0) < 0:
+        raise ValueError("more pieces were packed than there are")
     return out + best_fit(left, limit)
 
 
@@ -151,12 +184,13 @@ def runs(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 def pack(cut: DataFrame, limit: int = 2048, buckets: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (id, piece, length, ...) with lengths 1 to `limit`; cut is read several times, so give a written table.
+    Columns of these two names are replaced.
 
     The histogram (at most `limit` rows) and the plan are on the driver. Pieces of one length are numbered without gathering
     them: a hash of id and piece deals them into buckets, a window numbers each bucket, and the buckets' counts add up.
     Repeated ids are items of their own. An empty table gives an empty result.
     """
-    spark = cut.sparkSession
+    spark, cut = cut.sparkSession, cut.drop("sequence_id", "offset")
     counts = {int(r.length): int(r.n) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not 1 <= x <= limit for x in counts):
         raise ValueError("a piece is longer than a sequence, or empty")

@@ -105,9 +105,51 @@ def test_packing(docs, empty):
         assert at <= 256
     total = sum(r.length for r in rows)
     assert len(rows) == cut.count() and len(bins) <= -(-total // 256) * 1.05 + 1
+    again = packing.pack(S.written(cut.withColumns({"sequence_id": F.lit("x"), "offset": F.lit(1)}), "clash"), limit=256)
+    assert sorted(again.columns) == sorted(packing.pack(cut, limit=256).columns) and again.count() == len(rows)
     assert packing.pack(S.written(packing.pieces(empty), "none")).count() == 0
 
 
+def test_pieces_against_the_tokenizer(docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.vocabulary_path())
+    got = collections.defaultdict(list)
+    for r in packing.pieces(docs, limit=256).collect():
+        got[r.id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, t in enumerate(texts()):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        first = (len(ids) - 1) % 256 + 1
+        cuts = [0, *range(first, len(ids), 256), len(ids)]
+        want = [(p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        assert sorted(got[i]) == want
+
+
+@pytest.mark.parametrize("kind", ["uniform", "log-normal", "few", "one"])
+def test_configuration_program(kind):
+    rng = np.random.default_rng(4)
+    sizes = {"uniform": rng.integers(1, 513, 40_000), "log-normal": np.clip(rng.lognormal(4, 1, 40_000), 1, 512).astype(int), "few": rng.choice([200, 150, 313, 512], 999), "one": [7]}[kind]
+    counts = dict(collections.Counter(int(x) for x in sizes))
+    solution, low = packing.fractional(counts, 512)
+    covered = collections.Counter()
+    for pattern, weight in solution:
+        assert sum(x * t for x, t in pattern.items()) <= 512
+        for x, t in pattern.items():
+            covered[x] += t * weight
+    assert all(covered[x] <= n + 1e-6 for x, n in counts.items())
+    plan = packing.plan(counts, 512)
+    held = collections.Counter()
+    for pattern, copies in plan:
+        assert sum(x * t for x, t in pattern.items()) <= 512
+        for x, t in pattern.items():
+            held[x] += t * copies
+    assert held == counts
+    if kind in ("uniform", "log-normal"):
+        share, gap = (0.85, 1.025) if kind == "uniform" else (0.95, 1.001)
+        assert sum(x * n for x, n in covered.items()) > share * sum(sizes)
+        assert sum(n for _, n in plan) <= gap * low + 1
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
