@@ -45,7 +45,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard.two_pass_shuffle(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", 16)
+    mixed = shard.two_pass_shuffle(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", 16)
+    path = S.scratch(spark, "shards")
+    shard.write_shards(mixed, path)
+    out = shard.read_shards(spark, path, mixed)
     size = F.octet_length(text_bytes()) + 1
     return out.select("doc_id", size.cast("long").alias("size"), F.crc32(text_bytes().cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

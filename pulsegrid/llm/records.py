@@ -75,7 +75,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(f"{path}/data").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), "content")
+    return spark.read.format("binaryFile").load(f"{path}/data").select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("part"), "content")
 
 
 def _scan(part: int, data: memoryview) -> Iterator[tuple]:

@@ -72,6 +72,40 @@ def test_shards(docs, empty):
     assert shard.two_pass_shuffle(empty, "doc_id", 4).count() == 0
 
 
+def test_shards_follow_from_rows_and_seed_alone(spark, docs, tmp_path):
+    def order(df, n):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out = shard.two_pass_shuffle(df, "doc_id", 4, bucket_bytes=1 << 12)
+        shard.write_shards(out, str(tmp_path / f"{n}"))
+        got = shard.read_shards(spark, str(tmp_path / f"{n}"), out)
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        return got, {(r.doc_id, r.text, r["shard"], r.slot, r.grown_shard) for r in got.collect()}
+
+    (written, a), (_, b) = order(docs, 3), order(docs.repartition(9), 40)
+    assert a == b and len(a) == docs.count()
+    rows = written.select(F.input_file_name().alias("f"), "shard", "slot", F.monotonically_increasing_id().alias("n")).collect()
+    for s in range(4):
+        mine = sorted((r.f, r.n, r.slot) for r in rows if r["shard"] == s)
+        assert [x for _, _, x in mine] == list(range(len(mine)))
+
+
+def test_shards_of_equal_rows(spark):
+    same = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("x" * 40).alias("text")).repartition(4).unionByName(spark.createDataFrame([(i, f"row {i}") for i in range(2, 50)], "doc_id int, text string"))
+    got = shard.two_pass_shuffle(same, "doc_id", 3, bucket_bytes=1 << 13, twins=100).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, "x" * 40)] * 3000 + [(i, f"row {i}") for i in range(2, 50)])
+    for s in range(3):
+        assert sorted(r.slot for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_op6_as_registered(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op6_sharding(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows) and {r.law for r in got} == {"key"}
+    for r in got:
+        data = (rows[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data)) and r.grown_shard in (r["shard"], 16)
+
+
 def test_records_round_trip(spark, docs, empty):
     path = S.scratch(spark, "test-records")
     records.write_records(docs, path, file_bytes=1 << 14)
