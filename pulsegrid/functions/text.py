@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is, whatever the engine's rules for other letters."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(text, UPPER, LOWER)
 
 
 def words(text: Column, shortest: int = 1) -> Column:
-    """Lower-case ASCII words: maximal runs of a-z."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: F.length(w) >= shortest)
+    """Words of a-z only, in lower case: a run that touches another letter, a digit or an underscore is none."""
+    found = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])([a-z]+)(?![\p{L}\p{N}_])"), F.lit(1))
+    return F.filter(found, lambda w: F.length(w) >= shortest)
 
 
 def lexicon_score(tokens: Column, positive: list[str], negative: list[str], intensifiers: list[str], boost: float = 1.5) -> Column:
@@ -35,8 +38,8 @@ def label(score: Column, band: float = 0.1) -> Column:
 
 def tickers(text: Column, symbols: list[str], stop: list[str], ambiguous: list[str]) -> Column:
     """Cashtags in any case that aren't stop words, and bare upper-case symbols of the universe that are neither stop words nor ambiguous; sorted, distinct."""
-    cash = F.transform(F.regexp_extract_all(text, F.lit(r"\$([A-Za-z]{1,5})\b"), 1), F.upper)
-    bare = F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,5})\b"), 1)
+    cash = F.transform(F.regexp_extract_all(text, F.lit(r"\$([A-Za-z]{1,5})(?![\p{L}\p{N}_])"), 1), F.upper)
+    bare = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([A-Z]{2,5})(?![\p{L}\p{N}_])"), 1)
     cash = F.filter(cash, lambda t: ~t.isin(stop))
     bare = F.filter(bare, lambda t: t.isin(symbols) & ~t.isin(stop + ambiguous))
     return F.array_sort(F.array_union(cash, bare))

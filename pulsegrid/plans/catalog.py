@@ -25,11 +25,6 @@ def _jobs(spark, d):
     return o.select(F.col("o_orderpriority").alias("target"), status.alias("status"))
 
 
-def _events(spark, d, every: int):
-    m = S.mentions(spark, d)
-    return m.where(F.col("source_id").cast("long") % every == 0).select("ticker", F.to_date("created_utc").alias("date"), F.col("source_id").cast("long").alias("id"))
-
-
 def net_study(e, p):
     own = market.forward_return(e, p, 3).withColumnRenamed("ret", "g")
     spy = market.forward_return(e.select(F.lit("SPY").alias("ticker"), "date").distinct(), market.benchmark(p), 3).select("date", F.col("ret").alias("mkt"))
@@ -37,10 +32,6 @@ def net_study(e, p):
     return market.study(trades.withColumn("side", F.lit(-1)), "net", 3, ["side"])
 
 
-def _study(spark, d):
-    return net_study(_events(spark, d, 20), S.prices(spark, d))
-
-
 def _short_volume(spark, d):
     li = S.table(spark, d, "lineitem")
     v = li.groupBy(F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("s"), F.sum("l_quantity").alias("t"))
@@ -52,14 +43,11 @@ def _symbols():
 
 
 def ticker_rows(p):
-    text = F.concat(F.when(F.col("id") % 3 == 0, F.lit("$")).otherwise(F.lit("")), F.upper(F.regexp_extract("title", "^([A-Za-z]*)", 1)), F.lit(" "), F.upper(F.regexp_extract("title", "^[A-Za-z]* ([A-Za-z]*)", 1)))
+    """The whole text in capitals, every third with a cash mark in front."""
+    text = F.concat(F.when(F.col("id") % 3 == 0, F.lit("$")).otherwise(F.lit("")), F.translate(F.coalesce("selftext", F.lit("")), T.LOWER, T.UPPER))
     return p.select("id", F.array_join(T.tickers(text, _symbols(), ["THE"], ["IT"]), ",").alias("tickers"))
 
 
-def _ticker_rows(spark, d):
-    return ticker_rows(S.posts(spark, d).where("lang = 'en'"))
-
-
 def _merged(spark, d):
     p = S.posts(spark, d).select("id", "title", "score", "num_comments")
     old = p.where("id % 3 <> 0")
@@ -85,7 +73,6 @@ QUERIES = {
     "propagation": lambda s, d: mentions.propagation(S.mentions(s, d)),
     "tracked_tickers": lambda s, d: mentions.tracked(S.mentions(s, d), 100),
     "prescience_rank": lambda s, d: mentions.prescience(S.mentions(s, d)),
-    "cooccurrence_lift": lambda s, d: mentions.cooccurrence(S.mentions(s, d), 6, 3, 1.0),
     "search_posts": lambda s, d: posts.search(S.posts(s, d), "the", min_score=10, post_type="link").select("id", "subreddit", "score"),
     "search_comments": lambda s, d: posts.search_comments(S.comments(s, d), "the", 20).select("comment_id", "score"),
     "group_stats": lambda s, d: posts.group_stats(S.posts(s, d)),
@@ -97,20 +84,12 @@ QUERIES = {
     "posting_times": lambda s, d: posts.posting_times(S.posts(s, d)),
     "keyword_alerts": lambda s, d: posts.keyword_alerts(S.posts(s, d), ["tion of", "zzz", "The "]),
     "dedupe_keep_first": lambda s, d: posts.keep_first(S.posts(s, d), "selftext", ["id"]).select("id"),
-    "keyword_counts": lambda s, d: posts.keyword_counts(S.posts(s, d).where("lang = 'en'"), STOP, 50),
-    "lexicon_sentiment": lambda s, d: posts.lexicon_sentiment(S.posts(s, d).where("lang = 'en'"), POSITIVE, NEGATIVE, INTENSIFIERS),
-    "ticker_extract": _ticker_rows,
     "job_stats": lambda s, d: posts.job_stats(_jobs(s, d)),
     "merge_upsert": _merged,
-    "reply_edges": lambda s, d: posts.reply_edges(S.comments(s, d)),
     "cosine_topk": lambda s, d: posts.top_similar(S.table(s, d, "embeddings"), 0, 10),
-    "forward_return": lambda s, d: market.forward_return(_events(s, d, 20), S.prices(s, d), 3).select("id", "ticker", "session", F.round(F.col("ret") + 1e-9, 6).alias("ret")),
-    "trailing_return": lambda s, d: market.trailing_return(_events(s, d, 20), S.prices(s, d), 5).select("id", "ticker", "session", F.round(F.col("ret") + 1e-9, 6).alias("ret")),
-    "event_study_net": _study,
     "sma_trend": lambda s, d: market.trend_state(S.prices_long(s, d), 200, 50),
     "equity_drawdown": lambda s, d: market.drawdown(S.prices_long(s, d)),
     "squeeze_screen": lambda s, d: market.squeeze(_short_volume(s, d), 20),
-    "random_null_percentile": lambda s, d: market.random_null(_events(s, d, 50), S.prices(s, d), 3, 100),
 }
 
 
@@ -147,9 +126,7 @@ _AGG = f"""SELECT CAST(created_utc AS DATE) AS date, count(*) AS total_mentions,
 _SENT = f"""count(*) AS mentions, {_r('avg(sentiment_score)', 4)} AS avg_sentiment, count(*) FILTER (WHERE sentiment_score > 0.05) AS positive,
  count(*) FILTER (WHERE sentiment_score < -0.05) AS negative, count(DISTINCT author) AS authors FROM mentions"""
 _T = f"TIMESTAMP '{AS_OF}'"
-_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(selftext, '')), '[^a-z]+'), lambda w: length(w) >= {n})"
 _HIT = "CASE WHEN x[1] IN ('the', 'of') THEN 1.0e0 WHEN x[1] IN ('and', 'to') THEN -1.0e0 ELSE 0.0e0 END * CASE WHEN x[2] IN ('in', 'is') THEN 1.5e0 ELSE 1.0e0 END"
-_EVENTS = "SELECT ticker, CAST(created_utc AS DATE) AS date, CAST(source_id AS BIGINT) AS id FROM mentions WHERE CAST(source_id AS BIGINT) % {n} = 0"
 _FWD = """SELECT e.id, e.ticker, e.date, s.date AS session, CASE WHEN s.close > 0 THEN s.nxt / s.close - 1 END AS ret
  FROM e LEFT JOIN LATERAL (SELECT min(p.date) AS d FROM ses p WHERE p.ticker = e.ticker AND p.date > e.date) q ON true LEFT JOIN ses s ON s.ticker = e.ticker AND s.date = q.d"""
 _SES = "SELECT *, lead(close, 3) OVER (PARTITION BY ticker ORDER BY date) AS nxt, lag(close, 5) OVER (PARTITION BY ticker ORDER BY date) AS prv, row_number() OVER (PARTITION BY ticker ORDER BY date) AS ord FROM prices"
@@ -197,11 +174,6 @@ def oracle_sql() -> dict[str, str]:
         "tracked_tickers": v("SELECT ticker, count(*) AS n FROM mentions GROUP BY 1 HAVING count(*) >= 100", "mentions"),
         "prescience_rank": v(f""", k AS (SELECT ticker, author, rank() OVER (PARTITION BY ticker ORDER BY created_utc) - 1 AS b, count(*) OVER (PARTITION BY ticker) AS n FROM mentions),
  f AS (SELECT ticker, author, 1 - min(b) / any_value(n) AS early FROM k WHERE n >= 5 GROUP BY 1, 2) SELECT author, {_r('avg(early)', 4)} AS earliness, count(*) AS tickers FROM f GROUP BY 1""", "mentions"),
-        "cooccurrence_lift": v(f""", t AS (SELECT DISTINCT author, CAST(created_utc AS DATE) AS d, ticker FROM mentions),
- c AS (SELECT * FROM t WHERE (author, d) IN (SELECT (author, d) FROM t GROUP BY author, d HAVING count(*) <= 6)),
- q AS (SELECT ticker, count(*) AS f FROM c GROUP BY 1), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT author, d FROM c)),
- p AS (SELECT a.ticker AS a, b.ticker AS b, count(*) AS c FROM c a JOIN c b ON a.author = b.author AND a.d = b.d AND a.ticker < b.ticker GROUP BY 1, 2 HAVING count(*) >= 3)
- SELECT a, b, c, {_r('c * n / CAST(x.f * y.f AS DOUBLE)', 3)} AS lift FROM p JOIN q x ON a = x.ticker JOIN q y ON b = y.ticker, n WHERE c * n / CAST(x.f * y.f AS DOUBLE) >= 1.0""", "mentions"),
         "search_posts": v("SELECT id, subreddit, score FROM posts WHERE (contains(lower(title), 'the') OR contains(lower(selftext), 'the')) AND score >= 10 AND post_type = 'link' ORDER BY created_utc DESC, id LIMIT 100", "posts"),
         "search_comments": v("SELECT comment_id, score FROM comments WHERE contains(lower(body), 'the') AND score >= 20 ORDER BY score DESC, comment_id LIMIT 100", "comments"),
         "group_stats": v(f"SELECT subreddit, count(*) AS posts, {_r('avg(score)', 4)} AS avg_score, max(score) AS max_score, CAST(sum(num_comments) AS BIGINT) AS comments FROM posts GROUP BY 1", "posts"),
@@ -214,29 +186,10 @@ def oracle_sql() -> dict[str, str]:
         "posting_times": v(f"SELECT dayname(created_utc) AS weekday, hour(created_utc) AS hour, count(*) AS n, CAST(sum(score) AS BIGINT) AS total, {_r('avg(score)', 3)} AS avg_score FROM posts GROUP BY 1, 2", "posts"),
         "keyword_alerts": v("""SELECT * FROM (SELECT id, array_to_string(list_filter(['tion of', 'zzz', 'the '], lambda k: contains(lower(title || ' ' || selftext), k)), ',') AS matched FROM posts) WHERE matched <> ''""", "posts"),
         "dedupe_keep_first": v("SELECT min(id) AS id FROM posts WHERE selftext IS NOT NULL GROUP BY selftext", "posts"),
-        "keyword_counts": v(f", w AS (SELECT unnest({_WORDS.format(n=3)}) AS word FROM posts WHERE lang = 'en') SELECT word, count(*) AS n FROM w WHERE word NOT IN ({', '.join(repr(x) for x in STOP)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50", "posts"),
-        "lexicon_sentiment": v(f""", t AS (SELECT id, {_WORDS.format(n=1)} AS w FROM posts WHERE lang = 'en'),
- p AS (SELECT id, len(w) AS n, list_sum(list_transform(list_zip(w, list_concat([''], w[:-2])), lambda x: {_HIT})) AS s FROM t),
- q AS (SELECT id, greatest(-1.0e0, least(1.0e0, coalesce(5.0e0 * s / nullif(n, 0), 0))) AS raw FROM p)
- SELECT id, {_r('raw', 3)} AS score, CASE WHEN raw > 0.1 THEN 'positive' WHEN raw < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM q""", "posts"),
-        "ticker_extract": v(""", t AS (SELECT id, upper(regexp_extract(title, '^([A-Za-z]*)', 1)) AS a, upper(regexp_extract(title, '^[A-Za-z]* ([A-Za-z]*)', 1)) AS b FROM posts WHERE lang = 'en'),
- h AS (SELECT id, id % 3 = 0 AND length(a) BETWEEN 1 AND 5 AND a <> 'THE' AS cash, a, b FROM t),
- l AS (SELECT id, list_distinct(list_concat(CASE WHEN cash THEN [a] ELSE [] END, list_filter([a, b], lambda x: x IN ('IN', 'ON', 'OF', 'TH', 'RE')))) AS l FROM h)
- SELECT id, array_to_string(list_sort(l), ',') AS tickers FROM l""", "posts"),
         "job_stats": """SELECT o_orderpriority AS target, count(*) AS jobs, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed, count(*) FILTER (WHERE o_orderstatus = 'O') AS running,
  count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS failed FROM orders GROUP BY 1""",
         "merge_upsert": v("SELECT id, CASE WHEN id % 3 = 0 THEN 'changed' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN score + 1000 ELSE score END AS score, num_comments FROM posts WHERE id % 3 <> 0 OR id % 2 = 0", "posts"),
-        "reply_edges": v("SELECT c.author AS src, p.author AS dst, count(*) AS weight FROM comments c JOIN comments p ON c.parent_id = 't1_' || p.comment_id WHERE c.author <> p.author GROUP BY 1, 2", "comments"),
         "cosine_topk": f"SELECT vec_id, {_r('list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))', 6)} AS similarity FROM embeddings WHERE vec_id <> 0 ORDER BY 2 DESC, 1 LIMIT 10",
-        "forward_return": v(f", e AS ({_EVENTS.format(n=20)}), ses AS ({_SES}) SELECT id, ticker, session, {_r('ret', 6)} AS ret FROM ({_FWD})", "mentions", "prices"),
-        "trailing_return": v(f""", e AS ({_EVENTS.format(n=20)}), ses AS ({_SES}) SELECT e.id, e.ticker, s.date AS session, {_r('CASE WHEN s.prv > 0 THEN s.close / s.prv - 1 END', 6)} AS ret
- FROM e LEFT JOIN LATERAL (SELECT max(p.date) AS d FROM ses p WHERE p.ticker = e.ticker AND p.date <= e.date) q ON true LEFT JOIN ses s ON s.ticker = e.ticker AND s.date = q.d""", "mentions", "prices"),
-        "event_study_net": v(f""", e AS ({_EVENTS.format(n=20)}), ses AS ({_SES}), spy AS (SELECT date, avg(close) AS close FROM prices GROUP BY 1),
- sp AS (SELECT date, close, lead(close, 3) OVER (ORDER BY date) AS nxt FROM spy),
- f AS ({_FWD}), m AS (SELECT f.*, (SELECT nxt / close - 1 FROM sp WHERE sp.date > f.date ORDER BY sp.date LIMIT 1) AS mkt FROM f),
- t AS (SELECT -1 * (ret - mkt) - (0.015e0 + 0.0015e0) AS net FROM m WHERE ret IS NOT NULL AND mkt IS NOT NULL)
- SELECT -1 AS side, count(*) AS n, {_r('avg(net)', 6)} AS mean, {_r('avg(CASE WHEN net > 0 THEN 1.0e0 ELSE 0.0e0 END)', 4)} AS win,
- {_r('avg(net) / (stddev_pop(net) / sqrt(count(*)))', 4)} AS t, {_r('avg(net) / stddev_pop(net) * sqrt(84)', 4)} AS sharpe FROM t""", "mentions", "prices"),
         "sma_trend": v(f""", w AS (SELECT ticker, date, {_r('close', 6)} AS c, row_number() OVER o AS n, {_r('avg(close) OVER (o ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)', 6)} AS slow, {_r('avg(close) OVER (o ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)', 6)} AS fast FROM prices_long WINDOW o AS (PARTITION BY ticker ORDER BY date))
  SELECT ticker, date, CASE WHEN n < 200 THEN 0 WHEN c > slow AND fast >= slow THEN 1 WHEN c < slow AND fast <= slow THEN -1 ELSE 0 END AS state FROM w""", "prices_long"),
         "equity_drawdown": v(f""", w AS (SELECT *, max(close) OVER (PARTITION BY ticker ORDER BY date) AS peak FROM prices_long)
@@ -244,9 +197,4 @@ def oracle_sql() -> dict[str, str]:
         "squeeze_screen": f"""WITH v AS (SELECT 'P' || (l_partkey % 50) AS ticker, CAST(l_shipdate AS DATE) AS date, {_r("sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity)", 4)} AS x FROM lineitem GROUP BY 1, 2),
  n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM v)
  SELECT ticker, count(*) AS days, {_r('max(x) FILTER (WHERE n = 1)', 4)} AS latest, {_r('(max(x) FILTER (WHERE n = 1) - avg(x) FILTER (WHERE n > 1)) / nullif(round(stddev_pop(x) FILTER (WHERE n > 1), 9), 0)', 3)} AS z FROM n GROUP BY 1 HAVING count(*) >= 20""",
-        "random_null_percentile": v(f""", e AS ({_EVENTS.format(n=50)}), ses AS ({_SES}), r AS (SELECT ticker, ord, nxt / close - 1 AS ret FROM ses WHERE nxt IS NOT NULL),
- k AS (SELECT ticker, max(ord) AS n FROM r GROUP BY 1), a AS (SELECT avg(ret) AS actual FROM ({_FWD})),
- p AS (SELECT ticker, i, 1 + (id * 7919 + i * 104729 + 12345) % n AS ord FROM e JOIN k USING (ticker), (SELECT unnest(range(100)) AS i)),
- m AS (SELECT i, avg(ret) AS m FROM p JOIN r USING (ticker, ord) GROUP BY 1)
- SELECT count(*) AS draws, {_r('avg(CASE WHEN m < actual THEN 1.0e0 ELSE 0.0e0 END)', 4)} AS percentile, {_r('any_value(actual)', 6)} AS actual FROM m, a""", "mentions", "prices"),
     }

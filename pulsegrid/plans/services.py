@@ -10,9 +10,6 @@ from pulsegrid.plans import catalog
 from pulsegrid.sources import feeds
 from pulsegrid.sources import fixtures as S
 
-ROUNDS = 12
-
-
 def bars(spark, d):
     """Open and close of a ticker-day are the prices of its first and last line, low and high the extremes."""
     li = S.table(spark, d, "lineitem").select(F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("ticker"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), F.struct("l_orderkey", "l_linenumber").alias("at"))
@@ -23,11 +20,6 @@ _BARS = """SELECT 'P' || (l_partkey % 50) AS ticker, CAST(l_shipdate AS DATE) AS
  max(l_extendedprice / l_quantity) AS high, arg_max(l_extendedprice / l_quantity, l_orderkey * 10 + l_linenumber) AS close FROM lineitem GROUP BY 1, 2"""
 
 
-def _grid(spark, d):
-    e = S.table(spark, d, "orders").where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("P"), (F.col("o_custkey") % 50).cast("string")).alias("ticker"), F.to_date("o_orderdate").alias("date"))
-    return trades.short_grid(e, bars(spark, d), [0.1, 0.25, 0.5], [3, 5, 10])
-
-
 def _json_posts(spark, d):
     p = S.posts(spark, d)
     url = F.when(F.col("id") % 4 == 0, "https://i.redd.it/x").when(F.col("id") % 4 == 1, "https://h/x.PNG").otherwise("https://h/x")
@@ -88,11 +80,6 @@ def _spec(spark, d):
     return trades.distribution_short(f, back, ["C03"], 0.1)
 
 
-def _labels(spark, d):
-    s = posts.lexicon_sentiment(S.posts(spark, d).where("lang = 'en'"), catalog.POSITIVE, catalog.NEGATIVE, catalog.INTENSIFIERS)
-    return s.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _lines(spark, d):
     s = trades.conviction(_features(spark, d)).where("tier = 1")
     return trades.signal_lines(s, ["ticker", "date", "mentions", "tier"])
@@ -107,15 +94,10 @@ QUERIES = {
     "cascade_delete_counts": _deleted,
     "window_replace": _window,
     "guarded_close": _closed,
-    "reply_pagerank": lambda s, d: graph.pagerank(posts.reply_edges(S.comments(s, d)), rounds=ROUNDS),
-    "lead_lag": lambda s, d: graph.lead_lag(S.mentions(s, d), 20, 5, 0.2),
-    "phrase_search": lambda s, d: fulltext.phrase_search(S.posts(s, d).where("lang = 'en'"), ["title", "selftext"], '"of the"'),
-    "short_stop_grid": _grid,
     "conviction_tiers": lambda s, d: trades.conviction(_features(s, d)),
     "distribution_short": _spec,
     "froth_count": lambda s, d: trades.froth(_features(s, d)),
     "universe_by_share": lambda s, d: trades.universe(S.mentions(s, d), ["click", "view"], 0.4, 50),
-    "sentiment_distribution": _labels,
     "signal_lines": _lines,
 }
 
@@ -128,21 +110,12 @@ def _r(x: str, d: int) -> str:
     return f"round({x} + 1e-9, {d})"
 
 
-def _pagerank_sql() -> str:
-    ctes = ["e AS (SELECT c.author AS src, p.author AS dst, count(*) AS weight FROM comments c JOIN comments p ON c.parent_id = 't1_' || p.comment_id WHERE c.author <> p.author GROUP BY 1, 2)"]
-    ctes += ["s AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e)", "v AS MATERIALIZED (SELECT node, node NOT IN (SELECT src FROM e) AS dangles FROM (SELECT src AS node FROM e UNION SELECT dst FROM e))", "k AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM v)", "r0 AS (SELECT node, dangles, 1 / n AS rank FROM v, k)"]
-    for i in range(ROUNDS):
-        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT v.node, v.dangles, 0.15e0 / n + 0.85e0 * (coalesce(got, 0) + (SELECT coalesce(sum(rank) FILTER (WHERE dangles), 0) FROM r{i}) / n) AS rank FROM v CROSS JOIN k LEFT JOIN (SELECT dst, sum(share * rank) AS got FROM s JOIN r{i} ON src = node GROUP BY 1) g ON g.dst = v.node)")
-    return S.with_views(", " + ", ".join(ctes) + f" SELECT node, {_r('rank', 5)} AS rank, (SELECT count(DISTINCT src) FROM e WHERE dst = node) AS repliers FROM r{ROUNDS}", "comments")
-
-
 def oracle_sql() -> dict[str, str]:
     v = S.with_views
     known = catalog.oracle_sql()
     f = known["feature_daily_concentrated"]
     tier = "CASE WHEN per_author >= 3 AND mentions >= 10 THEN 1 WHEN mentions >= 10 THEN 2 ELSE 3 END"
     kind = "CASE WHEN id % 11 = 0 THEN 'video' WHEN id % 7 = 0 THEN 'gallery' WHEN id % 4 < 2 THEN 'image' WHEN id % 3 = 0 THEN 'text' ELSE 'link' END"
-    toks = "list_filter(regexp_split_to_array(lower(concat_ws(' ', title, selftext)), '[^a-z0-9]+'), lambda w: w <> '')"
     return {
         "json_posts": v(f", t AS (SELECT id, score, {kind} AS post_type FROM posts) SELECT CAST(id AS VARCHAR) AS id, score, post_type, post_type IN ('image', 'video', 'gallery') AS has_media FROM t", "posts"),
         "pipe_short_volume": f"""WITH t AS (SELECT 'P' || (l_partkey % 50) AS ticker, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS short_volume, sum(l_quantity) AS total_volume FROM lineitem GROUP BY 1, 2)
@@ -155,30 +128,11 @@ def oracle_sql() -> dict[str, str]:
         "window_replace": v("SELECT CAST(created_utc AS DATE) AS date, count(*) AS n FROM mentions WHERE CAST(created_utc AS DATE) < DATE '2024-01-15' OR score >= 20 GROUP BY 1", "mentions"),
         "guarded_close": """SELECT o_orderkey AS id, CASE WHEN hit OR o_orderstatus <> 'O' THEN 'closed' ELSE 'open' END AS status, CASE WHEN hit THEN 0 ELSE o_totalprice END AS net
  FROM (SELECT *, o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderstatus = 'O') AS hit FROM orders WHERE o_orderkey % 3 > 0 OR o_orderkey % 2 = 0)""",
-        "reply_pagerank": _pagerank_sql(),
-        "lead_lag": v(f""", d AS (SELECT ticker, CAST(created_utc AS DATE) AS date, count(*) AS x FROM mentions GROUP BY 1, 2), k AS (SELECT ticker FROM d GROUP BY 1 ORDER BY sum(x) DESC, 1 LIMIT 20),
- o AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM d)),
- g AS (SELECT k.ticker, ord, CAST(coalesce(x, 0) AS DOUBLE) AS x FROM k CROSS JOIN o LEFT JOIN d ON d.ticker = k.ticker AND d.date = o.date),
- c AS (SELECT a.ticker AS a, b.ticker AS b, lag, count(*) AS n, sum(a.x) AS p, sum(b.x) AS q, sum(a.x * a.x) AS pp, sum(b.x * b.x) AS qq, sum(a.x * b.x) AS pq
- FROM g a, (SELECT unnest(range(1, 6)) AS lag), g b WHERE b.ord = a.ord + lag AND a.ticker <> b.ticker GROUP BY 1, 2, 3),
- z AS (SELECT a, b, lag, {_r('coalesce((n * pq - p * q) / sqrt(nullif((n * pp - p * p) * (n * qq - q * q), 0)), 0)', 6)} AS corr FROM c)
- SELECT a, b, lag, corr FROM z WHERE corr >= 0.2 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY corr DESC, lag) = 1""", "mentions"),
-        "phrase_search": v(f""", t AS (SELECT id, {toks} AS w FROM posts WHERE lang = 'en'), h AS (SELECT id, len(w) AS l, (length(x) - length(replace(x, ' of  the ', ''))) // 9 AS f FROM (SELECT *, ' ' || array_to_string(w, '  ') || ' ' AS x FROM t)),
- s AS (SELECT count(*) AS n, count(*) FILTER (WHERE f > 0) AS hits, avg(l) AS mean FROM h)
- SELECT id, {_r('greatest(1e-6, ln((n - hits + 0.5e0) / (hits + 0.5e0))) * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * l / mean))', 6)} AS score FROM h, s WHERE f > 0 ORDER BY 2 DESC, 1 LIMIT 50""", "posts"),
-        "short_stop_grid": f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS ord FROM ({_BARS})),
- e AS (SELECT o_orderkey AS id, 'P' || (o_custkey % 50) AS ticker, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 25 = 0),
- t AS (SELECT id, e.ticker, min(ord) AS entry, max(ord) AS last FROM e JOIN b ON b.ticker = e.ticker AND b.date > e.date GROUP BY 1, 2),
- p AS (SELECT id, hold, arg_min(open, ord) AS price, max(high) AS high, arg_max(close, ord) AS out FROM t, (SELECT unnest([3, 5, 10]) AS hold) h, b
- WHERE b.ticker = t.ticker AND ord BETWEEN entry AND entry + hold - 1 AND entry + hold - 1 <= last GROUP BY 1, 2),
- x AS (SELECT stop, hold, CASE WHEN high >= price * (1 + stop) THEN -stop ELSE (price - out) / price END AS ret FROM p, (SELECT unnest([0.1e0, 0.25e0, 0.5e0]) AS stop))
- SELECT stop, hold, count(*) AS n, {_r('avg(ret)', 6)} AS mean, {_r('avg(CASE WHEN ret > 0 THEN 1.0e0 ELSE 0.0e0 END)', 4)} AS win FROM x GROUP BY 1, 2""",
         "conviction_tiers": f"SELECT ticker, date, mentions, per_author, {tier} AS tier FROM ({f}) WHERE per_author >= 2 AND mentions >= 5",
         "distribution_short": v(f""", ses AS (SELECT ticker, date, close, lag(close, 5) OVER (PARTITION BY ticker ORDER BY date) AS prv FROM prices), f AS ({f}),
  j AS (SELECT f.*, (SELECT arg_max(CASE WHEN prv > 0 THEN close / prv - 1 END, s.date) FROM ses s WHERE s.ticker = 'T' || substr(f.ticker, 2, 2) AND s.date <= f.date AND prv IS NOT NULL) AS ret FROM f WHERE per_author >= 2 AND mentions >= 10 AND sentiment >= 0.1 AND ticker <> 'C03')
  SELECT ticker, date, mentions, sentiment, {_r('ret', 6)} AS ret FROM j WHERE ret < 0""", "prices"),
         "froth_count": f"SELECT date, count(*) FILTER (WHERE per_author >= 2 AND mentions >= 5) AS froth FROM ({f}) GROUP BY 1",
         "universe_by_share": v(f", t AS (SELECT ticker, count(*) AS n, avg(CASE WHEN subreddit IN ('click', 'view') THEN 1.0e0 ELSE 0.0e0 END) AS x FROM mentions GROUP BY 1) SELECT ticker, n, {_r('x', 4)} AS share FROM t WHERE x >= 0.4 AND n >= 50", "mentions"),
-        "sentiment_distribution": f"SELECT label, count(*) AS n FROM ({known['lexicon_sentiment']}) GROUP BY 1",
         "signal_lines": f"SELECT ticker || ',' || date || ',' || mentions || ',1' AS line FROM ({f}) WHERE per_author >= 3 AND mentions >= 10",
     }

@@ -22,8 +22,8 @@ def test_matches_sql(spark, name):
 
 
 def test_every_event_and_order_is_there(spark):
-    assert whole.queries()["forward_return_whole"](spark, SF).count() == S.table(spark, SF, "events").count()
-    assert whole.queries()["trailing_return_whole"](spark, SF).count() == S.table(spark, SF, "events").count()
+    assert whole.queries()["forward_return"](spark, SF).count() == S.table(spark, SF, "events").count()
+    assert whole.queries()["trailing_return"](spark, SF).count() == S.table(spark, SF, "events").count()
     assert whole.orders(spark, SF).count() == S.table(spark, SF, "orders").count()
 
 
@@ -37,7 +37,7 @@ def test_null_draws(spark):
     actual = np.mean([rets[t][i] for i, t in at if i < len(rets[t])])
     live = [e for e in events if rets[e.ticker]]
     means = [np.mean([rets[e.ticker][(e.id * 7919 + i * 104729 + 12345) % len(rets[e.ticker])] for e in live]) for i in range(whole.DRAWS)]
-    got = whole.queries()["random_null_percentile_whole"](spark, SMALL).first()
+    got = whole.queries()["random_null_percentile"](spark, SMALL).first()
     assert got.draws == whole.DRAWS and abs(got.actual - actual) < 2e-6
     assert abs(got.percentile - np.mean([m < actual for m in means])) < 1e-4
 
@@ -58,7 +58,7 @@ def test_stop_grid(spark):
                 high = max(b.high for b in path)
                 for stop in (0.1, 0.25, 0.5):
                     want[stop, hold].append(-stop if high >= path[0].open * (1 + stop) else (path[0].open - path[-1].close) / path[0].open)
-    got = {(r.stop, r.hold): r for r in whole.queries()["short_stop_grid_whole"](spark, SMALL).collect()}
+    got = {(r.stop, r.hold): r for r in whole.queries()["short_stop_grid"](spark, SMALL).collect()}
     assert {k: r.n for k, r in got.items()} == {k: len(x) for k, x in want.items()} and min(map(len, want.values())) > 1000
     for k, x in want.items():
         assert abs(got[k]["mean"] - np.mean(x)) < 2e-6 and abs(got[k].win - np.mean([y > 0 for y in x])) < 2e-4
@@ -66,17 +66,22 @@ def test_stop_grid(spark):
 
 def test_documents_of_all_languages_are_there(spark):
     docs = S.table(spark, SF, "documents").count()
-    assert whole.queries()["lexicon_sentiment_whole"](spark, SF).count() == docs
-    assert whole.queries()["ticker_extract_whole"](spark, SF).count() == docs
-    assert sum(r.n for r in whole.queries()["sentiment_distribution_whole"](spark, SF).collect()) == docs
+    assert whole.queries()["lexicon_sentiment"](spark, SF).count() == docs
+    assert whole.queries()["ticker_extract"](spark, SF).count() == docs
+    assert sum(r.n for r in whole.queries()["sentiment_distribution"](spark, SF).collect()) == docs
 
 
 def test_only_ascii_letters_are_folded(spark):
     df = spark.createDataFrame([(1, "The \u212aey of THE"), (2, None), (3, "\u0130t OF tHe")], "id int, t string")
-    assert [r[0] for r in df.select(T.words(F.col("t"))).collect()] == [["the", "ey", "of", "the"], [], ["t", "of", "the"]]
+    assert [r[0] for r in df.select(T.words(F.col("t"))).collect()] == [["the", "of", "the"], [], ["of", "the"]]
     assert sorted(r.id for r in fulltext.phrase_search(df, ["t"], "of the").collect()) == [1, 3]
 
 
+def test_words_stand_alone(spark):
+    df = spark.createDataFrame([("covid19 snake_case great2 good \u00fcber na\u00efve Day-one",)], "t string")
+    assert df.select(T.words(F.col("t"))).first()[0] == ["good", "day", "one"]
+
+
 def test_replies_to_posts(spark):
     c = spark.createDataFrame([("1", "t3_7", "a"), ("2", "t1_1", "b"), ("3", "t3_8", "a"), ("4", "t3_9", "b"), ("5", "t3_7", "[deleted]")], "comment_id string, parent_id string, author string")
     p = spark.createDataFrame([(7, "x"), (8, "a"), (9, "[deleted]")], "id long, author string")
@@ -117,5 +122,5 @@ def test_threads_of_up_to_fifteen_tickers_count(spark):
 
 
 def test_lead_lag_takes_every_ticker_with_enough_mentions(spark):
-    got = whole.queries()["lead_lag_whole"](spark, SF).collect()
+    got = whole.queries()["lead_lag"](spark, SF).collect()
     assert len({r.a for r in got} | {r.b for r in got}) > 20
