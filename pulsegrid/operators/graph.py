@@ -59,3 +59,18 @@ def lead_lag(mentions: DataFrame, top: int = 20, lags: int = 5, least: float = 0
     corr = F.coalesce(F.expr("(n * pq - p * q) / sqrt(nullif((n * pp - p * p) * (n * qq - q * q), 0))"), F.lit(0.0))
     best = s.withColumn("corr", r(corr, 6)).groupBy("a", "b").agg(F.max(F.struct("corr", (-F.col("lag")).alias("minus"))).alias("m"))
     return best.select("a", "b", (-F.col("m.minus")).cast("long").alias("lag"), F.col("m.corr").alias("corr")).where(F.col("corr") >= least)
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    """(ticker, author, part) for links (ticker, a, b): part is the smallest author reachable. Labels fall to the smallest neighbour's and
+    its label's label until nothing changes; each round is a checkpoint."""
+    both = cut(pairs.unionByName(pairs.select("ticker", F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(both.groupBy("ticker", F.col("a").alias("author")).agg(F.least(F.min("b"), F.first("a")).alias("part")))
+    while True:
+        near = both.join(labels.select("ticker", F.col("author").alias("b"), F.col("part").alias("theirs")), ["ticker", "b"]).groupBy("ticker", F.col("a").alias("author")).agg(F.min("theirs").alias("theirs"))
+        step = labels.join(near, ["ticker", "author"]).select("ticker", "author", "part", F.least("part", "theirs").alias("low"))
+        jump = step.join(labels.select("ticker", F.col("author").alias("low"), F.col("part").alias("further")), ["ticker", "low"], "left")
+        after = cut(jump.select("ticker", "author", "part", F.least("low", F.coalesce("further", "low")).alias("new")))
+        if after.where("new <> part").isEmpty():
+            return labels
+        labels = after.select("ticker", "author", F.col("new").alias("part"))

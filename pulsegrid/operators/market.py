@@ -88,6 +88,19 @@ def squeeze(volume: DataFrame, min_days: int) -> DataFrame:
     return out.select("ticker", "days", r(F.col("latest"), 4).alias("latest"), r(ratio(F.col("latest") - F.col("m"), F.round("sd", 9)), 3).alias("z"))
 
 
+def squeeze_ranked(volume: DataFrame, min_days: int, min_z: float, min_volume: float, fresh_days: int, limit: int) -> DataFrame:
+    """Tickers whose latest short ratio is at least `min_z` above their own past, with enough volume that day, not older than `fresh_days`
+    before the last day of all; a spread of 0 counts as 1e-9. Greatest z first."""
+    w = W.partitionBy("ticker").orderBy(F.desc("date"))
+    v = volume.withColumn("n", F.row_number().over(w))
+    first, rest = F.col("n") == 1, F.when(F.col("n") > 1, F.col("short_ratio"))
+    g = v.groupBy("ticker").agg(F.count(F.lit(1)).alias("days"), F.max("date").alias("last"), F.max(F.when(first, F.col("short_ratio"))).alias("latest"), F.max(F.when(first, F.col("volume"))).alias("vol"), F.avg(rest).alias("m"), F.stddev_pop(rest).alias("sd")).where(F.col("days") >= min_days)
+    sd = F.when(F.round("sd", 9) == 0, F.lit(1e-9)).otherwise(F.round("sd", 9))
+    g = g.withColumn("x", (F.col("latest") - F.col("m")) / sd).crossJoin(F.broadcast(volume.agg(F.max("date").alias("end"))))
+    g = g.where((F.col("x") >= min_z) & (F.col("vol") >= min_volume) & (F.col("last") >= F.date_sub("end", fresh_days)))
+    return g.select("ticker", "days", r(F.col("latest"), 4).alias("latest"), r(F.col("x"), 3).alias("z")).orderBy(F.desc("z"), "ticker").limit(limit)
+
+
 def random_null(events: DataFrame, prices: DataFrame, horizon: int, draws: int) -> DataFrame:
     """Where the events' mean return lies among means of as many random sessions of the same tickers; the draws come from an
     integer formula of event id and draw, so they repeat anywhere. The formula takes ids modulo the ticker's sessions, so equal

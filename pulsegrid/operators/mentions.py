@@ -85,6 +85,23 @@ def momentum(m: DataFrame) -> DataFrame:
     return out.select("ticker", "total", r(F.col("mean"), 3).alias("mean"), r(F.col("sd"), 3).alias("sd"), "latest", r(ratio(F.col("latest") - F.col("mean"), F.col("sd")), 3).alias("z"))
 
 
+def momentum_ranked(m: DataFrame, min_total: int, limit: int) -> DataFrame:
+    """momentum of tickers with at least `min_total` mentions that were mentioned on the last day of all, with their mean sentiment; greatest z first."""
+    sent = m.groupBy("ticker").agg(r(F.avg("sentiment_score"), 4).alias("avg_sentiment"))
+    out = momentum(m).where((F.col("total") >= min_total) & F.col("latest").isNotNull()).join(sent, "ticker")
+    return out.select("ticker", "total", "mean", "latest", "z", "avg_sentiment").orderBy(F.col("z").desc_nulls_last(), F.desc("total"), "ticker").limit(limit)
+
+
+def fresh_pumps(m: DataFrame, authors: DataFrame, as_of: str, hours: int, baseline_days: int, min_mentions: int, min_per_author: float, multiple: float, limit: int) -> DataFrame:
+    """fresh_burst without bots, for tickers with at least `min_per_author` mentions an author, with the shares of gone and young authors; fresh ones
+    first, then by mentions per author times mentions."""
+    own = m.where(~F.col("author").isin(*BOTS))
+    rows = since(own, as_of, hours).join(authors, F.col("author") == F.col("username"), "left")
+    more = rows.groupBy("ticker").agg(r(share(F.col("account_status").isin(*GONE)), 3).alias("gone_frac"), r(share(F.col("account_age_days") <= 365), 3).alias("young_frac"), r(F.avg("sentiment_score"), 4).alias("avg_sentiment"))
+    out = fresh_burst(own, as_of, hours, baseline_days, min_mentions, multiple).where(F.col("rc") >= min_per_author * F.col("authors")).join(more, "ticker")
+    return out.orderBy(F.desc("fresh"), F.desc(F.col("per_author") * F.col("rc")), "ticker").limit(limit)
+
+
 def coordination_scan(m: DataFrame, per_author: float, few: int, few_share: float) -> DataFrame:
     out = m.groupBy("ticker", "subreddit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("author").alias("a"))
     return out.where((F.col("n") >= per_author * F.col("a")) & (F.col("a") <= F.greatest(F.lit(float(few)), few_share * F.col("n"))))
