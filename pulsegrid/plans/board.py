@@ -37,12 +37,12 @@ def _threaded(s, d):
     """Mentions whose sources are posts and comments of the tables."""
     m = S.mentions(s, d)
     n = F.col("source_id").cast("long")
-    where = F.when(F.col("source_type") == "post", (n % 120).cast("string")).otherwise(F.concat_ws("_", (n % 60).cast("string"), (n % 7).cast("string")))
+    where = F.when(F.col("source_type") == "post", (n % 900).cast("string")).otherwise(F.concat_ws("_", (n % 150).cast("string"), (n % 7).cast("string")))
     return m.withColumn("source_id", where)
 
 
-_THREADED = """SELECT * REPLACE (CASE WHEN source_type = 'post' THEN CAST(CAST(source_id AS BIGINT) % 120 AS VARCHAR)
- ELSE (CAST(source_id AS BIGINT) % 60) || '_' || (CAST(source_id AS BIGINT) % 7) END AS source_id) FROM mentions"""
+_THREADED = """SELECT * REPLACE (CASE WHEN source_type = 'post' THEN CAST(CAST(source_id AS BIGINT) % 900 AS VARCHAR)
+ ELSE (CAST(source_id AS BIGINT) % 150) || '_' || (CAST(source_id AS BIGINT) % 7) END AS source_id) FROM mentions"""
 _THREADS = f"""SELECT m.*, CASE WHEN source_type = 'post' THEN source_id ELSE CAST(post_id AS VARCHAR) END AS thread FROM ({_THREADED}) m
  LEFT JOIN comments ON source_type = 'comment' AND comment_id = source_id"""
 
@@ -133,7 +133,7 @@ QUERIES = {
     "candidate_texts": lambda s, d: S.posts(s, d).select(F.lit("post").alias("kind"), F.col("id").cast("string").alias("id"), F.length(F.concat_ws(" ", "title", "selftext")).alias("n")).unionByName(S.comments(s, d).select(F.lit("comment").alias("kind"), F.col("comment_id").alias("id"), F.length("body").alias("n"))),
     "silent_authors": lambda s, d: S.authors(s, d).select("username").exceptAll(S.mentions(s, d).select(F.col("author").alias("username")).distinct()),
     "thirds_by_price": lambda s, d: L.hot_and_old(S.table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").groupBy("third").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low")),
-    "same_texts": lambda s, d: S.comments(s, d).groupBy(T.normalised_key(F.col("body")).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("texts")),
+    "same_texts": lambda s, d: S.posts(s, d).groupBy(T.normalised_key(F.col("selftext")).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("texts")),
 }
 
 
@@ -188,5 +188,5 @@ def oracle_sql() -> dict[str, str]:
         "silent_authors": v("SELECT username FROM authors EXCEPT SELECT author FROM mentions", "mentions", "authors"),
         "thirds_by_price": """WITH t AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () // 3 AS k FROM orders)
  SELECT CASE WHEN i < k THEN 1 WHEN i < 2 * k THEN 2 ELSE 3 END AS third, count(*) AS n, min(o_totalprice) AS low FROM t GROUP BY 1""",
-        "same_texts": v(r", k AS (SELECT substr(regexp_replace(trim(lower(body)), '\s+', ' ', 'g'), 1, 300) AS key, count(*) AS n FROM comments GROUP BY 1 HAVING count(*) > 1) SELECT n, count(*) AS texts FROM k GROUP BY 1", "comments"),
+        "same_texts": v(r", k AS (SELECT substr(regexp_replace(trim(lower(selftext)), '\s+', ' ', 'g'), 1, 300) AS key, count(*) AS n FROM posts GROUP BY 1 HAVING count(*) > 1) SELECT n, count(*) AS texts FROM k GROUP BY 1", "posts"),
     }

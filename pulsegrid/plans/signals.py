@@ -21,7 +21,7 @@ def _vix(s, d):
 
 
 def state(s, d):
-    return signals.capitulation(_percentiles(s, d), _vix(s, d), low=0.95, least_vix=17.0)
+    return signals.capitulation(_percentiles(s, d), _vix(s, d), low=1.0, least_vix=10.0)
 
 
 def fear_attention(s, d):
@@ -123,7 +123,7 @@ def oracle_sql() -> dict[str, str]:
     f, pct = known["feature_daily_concentrated"], known["rrai_percentile"]
     state_sql = v(f""", p AS (SELECT date, rrai_pct AS pct FROM ({pct}) WHERE rrai_pct IS NOT NULL), x AS (SELECT arg_max(close / 8, date) AS vix FROM prices WHERE ticker = 'T00'),
  l AS (SELECT max(date) AS as_of, arg_max(pct, date) AS p FROM p)
- SELECT as_of, round(p + 1e-9, 4) AS pct, round(vix + 1e-9, 2) AS vix, vix >= 17 AS vix_gate, p <= 0.95e0 AND vix >= 17 AS active, round(greatest(0.0e0, least(1.0e0, (0.2e0 - p) / 0.2e0)) + 1e-9, 2) AS strength,
+ SELECT as_of, round(p + 1e-9, 4) AS pct, round(vix + 1e-9, 2) AS vix, vix >= 10 AS vix_gate, p <= 1.0e0 AND vix >= 10 AS active, round(greatest(0.0e0, least(1.0e0, (0.2e0 - p) / 0.2e0)) + 1e-9, 2) AS strength,
  p >= 0.85e0 AS euphoria, round(greatest(0.0e0, least(1.0e0, (p - 0.8e0) / 0.2e0)) + 1e-9, 2) AS strength_e FROM l, x""", "prices")
     fear = "SELECT CAST(created_utc AS DATE) AS date, count(*) AS volume FROM mentions WHERE ticker LIKE 'T0%' GROUP BY 1"
     uni = """SELECT 'smallcap' AS universe, t AS ticker FROM (SELECT DISTINCT ticker AS t FROM mentions_conc) WHERE CAST(substr(t, 2) AS INT) % 2 = 0
