@@ -15,8 +15,8 @@ from pulsegrid.llm import tokens as T
 MARK = "▁"
 #: A word of the normalised text: white space marks, then the rest. No piece reaches over the end of a word.
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: A table of 2**18 slots by the leading bits finds a hash among sorted ones.
-_SLOT = np.uint64(46)
+#: A table of 2**15 slots by the leading bits finds a hash among sorted ones; it stays in a core's cache.
+_SLOT = np.uint64(49)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -36,7 +36,7 @@ def state(*parts, h=np.uint64(0)) -> np.ndarray:
 
 def mixed(*parts, h=np.uint64(0)) -> np.ndarray:
     """Uniform numbers in (0, 1) from whole-number keys, the same for a row in any batch."""
-    return ((state(*parts, h=h) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return ((state(*parts, h=h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Lattices:
@@ -119,7 +119,7 @@ class Lattices:
     def extend(self, more: Lattices) -> None:
         """Takes in the lattices of other words; the arrays are views of longer ones that leave room for more."""
         places, edges, words = len(self.row) - 1, len(self.start), len(self.number)
-        self.number.update((w, i + words) for w, i in more.number.items())
+        self.number.update(zip(more.number, range(words, words + len(more.number)), strict=True))
         more.row += edges
         for x in (more.first, more.last, more.start, more.end):
             x += places
@@ -181,7 +181,11 @@ class Vocabulary:
         self.kept: Lattices | None = None
         self.plain = np.zeros(n, dtype=bool)
         self.plain[normal] = True
-        self.blank = [x.replace(MARK, " ") for x in pieces]
+        #: What each piece adds to a text's bytes; None for pieces that only the library decodes.
+        self.raw = np.full(n, None, dtype=object)
+        self.raw[normal] = [pieces[i].replace(MARK, " ").encode() for i in normal]
+        for value, i in self.bytes.items():
+            self.raw[i] = bytes([value])
         self.dummy = self.sp.decode(self.sp.encode("a")) == "a" and self.sp.normalize("a") == MARK + "a"
         #: By length: hashes of all beginnings of pieces, and the piece's id where it ends there (else -1).
         self.by_size = {}
@@ -193,7 +197,7 @@ class Vocabulary:
             h *= _MIX[1]
             order = np.argsort(h)
             keys = np.append(h[order], np.uint64(2**64 - 1))
-            slots = np.searchsorted(keys, np.arange(1 << 18, dtype=np.uint64) << _SLOT).astype(np.int32)
+            slots = np.searchsorted(keys, np.arange(1 << 15, dtype=np.uint64) << _SLOT).astype(np.int32)
             self.by_size[size] = (keys, np.append(np.array(list(known.values()), dtype=np.int32)[order], -1), slots)
 
     def lattices(self, words: list[list[str]]) -> Lattices:
@@ -202,15 +206,18 @@ class Vocabulary:
             self.kept = Lattices([], self)
         new = set().union(*words).difference(self.kept.number)
         if new:
-            self.kept.extend(Lattices(sorted(new), self))
+            self.kept.extend(Lattices(list(new), self))
         return self.kept
 
     def text(self, ids: np.ndarray) -> str:
-        """What SentencePiece decodes the ids to; texts with ids of other than plain pieces are left to the library."""
-        if not len(ids) or ids.max() >= len(self.plain) or not self.plain[ids].all():
+        """What SentencePiece decodes the ids to; texts with control or unknown pieces, or bytes that are no UTF-8, are left to the library."""
+        if not len(ids) or ids.max() >= len(self.raw):
             return self.sp.decode(ids.tolist())
-        text = "".join([self.blank[i] for i in ids.tolist()])
-        return text.removeprefix(" ") if self.dummy else text
+        try:
+            text = b"".join(self.raw[ids].tolist()).decode()
+        except (TypeError, UnicodeDecodeError):
+            return self.sp.decode(ids.tolist())
+        return text.removeprefix(" ") if self.dummy and self.plain[ids[0]] else text
 
     def ids(self, marks: np.ndarray) -> np.ndarray:
         """Piece ids; a character without a piece (-code - 1) becomes the pieces of its bytes."""
