@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,21 @@ def mixed(*parts, h=np.uint64(0)) -> np.ndarray:
     return ((state(*parts, h=h) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class Numbers(dict):
+    """Words and their numbers; a word asked for the first time gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Lattices:
     """The lattices of distinct words, as one: edges sorted by their first place, with conditional probabilities.
 
     A worker keeps them, so a word's lattice is made once; with over KEPT_EDGES edges they are dropped before the next batch."""
 
     def __init__(self, words: list[str], vocab: Vocabulary):
-        self.number = {w: i for i, w in enumerate(words)}
+        self.words = len(words)
         self.rooms: dict[str, np.ndarray] = {}
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -84,11 +93,11 @@ class Lattices:
                 alone[live[whole]] = True
         other = np.flatnonzero(~alone)  # a character without a piece: its bytes
         code = codes[other].astype(np.int64)
-        start = [at[other], *start]
-        end = [at[other] + 1, *end]
-        piece = [np.where(code < 128, vocab.ascii[np.minimum(code, 127)], -code - 1).astype(np.int32), *piece]
+        start = [*start[::-1], at[other]]  # the longest pieces are the likeliest
+        end = [*end[::-1], at[other] + 1]
+        piece = [*piece[::-1], np.where(code < 128, vocab.ascii[np.minimum(code, 127)], -code - 1).astype(np.int32)]
         s, e, p = np.concatenate(start), np.concatenate(end), np.concatenate(piece)
-        order = np.argsort(s, kind="stable")  # each place's edges are in the order of their length already
+        order = np.argsort(s, kind="stable")  # each place's edges are in falling order of their length already
         self.start, self.end, self.piece = (x[order].astype(np.int32) for x in (s, e, p))
         weight = np.where(self.piece >= 0, vocab.weight[np.maximum(self.piece, 0)], vocab.byte_weight)
         n_places = len(places)
@@ -118,8 +127,8 @@ class Lattices:
 
     def extend(self, more: Lattices) -> None:
         """Takes in the lattices of other words; the arrays are views of longer ones that leave room for more."""
-        places, edges, words = len(self.row) - 1, len(self.start), len(self.number)
-        self.number.update(zip(more.number, range(words, words + len(more.number)), strict=True))
+        places, edges = len(self.row) - 1, len(self.start)
+        self.words += more.words
         more.row += edges
         for x in (more.first, more.last, more.start, more.end):
             x += places
@@ -200,14 +209,21 @@ class Vocabulary:
             slots = np.searchsorted(keys, np.arange(1 << 15, dtype=np.uint64) << _SLOT).astype(np.int32)
             self.by_size[size] = (keys, np.append(np.array(list(known.values()), dtype=np.int32)[order], -1), slots)
 
-    def lattices(self, words: list[list[str]]) -> Lattices:
-        """Lattices that hold these words, and others that the worker has met."""
+    def lattices(self, words: list[list[str]]) -> tuple[Lattices, list[np.ndarray]]:
+        """Lattices that hold these words, and others that the worker has met, and the words' numbers there."""
         if self.kept is None or len(self.kept.start) > KEPT_EDGES:
-            self.kept = Lattices([], self)
-        new = set().union(*words).difference(self.kept.number)
-        if new:
-            self.kept.extend(Lattices(list(new), self))
-        return self.kept
+            self.kept, self.number = Lattices([], self), Numbers()
+        found = [np.fromiter(map(self.number.__getitem__, ws), dtype=np.int32, count=len(ws)) for ws in words]
+        if len(self.number) > self.kept.words:
+            self.kept.extend(Lattices(list(islice(self.number, self.kept.words, None)), self))
+        return self.kept, found
+
+    def words(self, text: str | None) -> list[str]:
+        """The words of a text's normal form."""
+        whole = self.sp.normalize(text) if text else ""
+        if whole.startswith(MARK) and 2 * MARK not in whole and "\0" not in whole:
+            return whole.replace(MARK, "\0" + MARK).split("\0")[1:]
+        return _WORD.findall(whole)
 
     def text(self, ids: np.ndarray) -> str:
         """What SentencePiece decodes the ids to; texts with control or unknown pieces, or bytes that are no UTF-8, are left to the library."""
@@ -246,10 +262,8 @@ def top_k(texts: list[str | None], keys: list[int], vocab: Vocabulary, k: int, s
     next is walked to one segmentation, and each step of the walk leaves a set of the alternatives there, whose value is
     a Gumbel of their mass truncated at the value of the set. The walks of all texts of a batch run together.
     """
-    words = [_WORD.findall(vocab.sp.normalize(t)) if t else [] for t in texts]
-    lat = vocab.lattices(words)
+    lat, word_of = vocab.lattices([vocab.words(t) for t in texts])
     out: list[list] = [[] for _ in texts]
-    word_of = [np.fromiter(map(lat.number.__getitem__, ws), dtype=np.int32, count=len(ws)) for ws in words]
     row_key = np.array([x & ((1 << 64) - 1) for x in keys], dtype=np.uint64)
     value = -np.log(-np.log(mixed(np.uint64(seed), row_key, np.uint64(1 << 40))))
     # Of each text: the walked segmentations, as (edges, words, value, log-probabilities before each step, frontier).
@@ -300,20 +314,18 @@ def top_k(texts: list[str | None], keys: list[int], vocab: Vocabulary, k: int, s
             if path is not None:
                 taken[0] += np.exp(lat.logp[list(excluded)]).sum()
                 taken[0] = 1.0 if len(excluded) + 1 >= lat.row[lat.start[edges[step]] + 1] - lat.row[lat.start[edges[step]]] else taken[0]
-            with np.errstate(divide="ignore", over="ignore"):
-                mass = (total - lp)[new] + np.log(np.where(taken == 1.0, 0.0, np.maximum(1.0 - taken, 0.0)))
-                u = mixed(np.uint64(1 << 42), new, h=drawn[t])
-                front = -np.logaddexp(-val, np.log(-np.log(u)) - mass)
-            front[np.isneginf(mass)] = -np.inf
+            # A set's Gumbel before it is truncated at val, which keeps the order of a path's sets.
             frontier = np.full(len(edges), -np.inf)
-            frontier[new] = front
+            with np.errstate(divide="ignore"):
+                frontier[new] = (total - lp)[new] + np.log(np.maximum(1.0 - taken, 0.0) / -np.log(mixed(np.uint64(1 << 42), new, h=drawn[t])))
             gone = {step: (*excluded, int(edges[step]))} if path is not None else {}
             paths[t].append([edges, at_word, val, float(total[-1]) if len(total) else 0.0, frontier, gone])
             if path is not None:
                 paths[t][path][4][step] = -np.inf  # its rest belongs to the new path's step
-            best = max(range(len(paths[t])), key=lambda i: float(paths[t][i][4].max(initial=-np.inf)))
-            at = int(np.argmax(paths[t][best][4]))
-            threshold = float(paths[t][best][4][at])
+            ahead = [int(np.argmax(p[4])) for p in paths[t]]
+            tops = [-float(np.logaddexp(-p[2], -p[4][i])) for p, i in zip(paths[t], ahead, strict=True)]
+            best = int(np.argmax(tops))
+            at, threshold = ahead[best], tops[best]
             if np.isneginf(threshold):
                 paths[t].append(None)  # there is no other segmentation
             elif draw + 1 < k:
