@@ -233,6 +233,25 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_row_by_row(spark):
+    """A large group of near vectors in many small leaves: links are counted once each, and components are whole."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((30, 64))
+    x = np.concatenate([base, base, base[:1] + 0.08 * rng.standard_normal((120, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    low = np.arange(len(x))
+    for _ in x:
+        low = np.minimum(low, np.where(link, low, len(x)).min(axis=1))
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(df, leaf=16, block=20).collect()}
+    right = [got[i].n_links == n for i, n in enumerate(link.sum(axis=1).tolist())]
+    assert all(got[i].n_links <= n for i, n in enumerate(link.sum(axis=1).tolist()))
+    assert sum(right) >= 0.95 * len(x)
+    assert [got[i].component_id for i in range(len(x))] == low.tolist()
+
+
 def test_line_dedup(spark):
     common = "A line that many documents share, long enough"
     rows = [(i, f"{common.upper() if i % 2 else common} \nown line {i} of this one document, long enough too\n") for i in range(8)] + [(20, None), (21, ""), (22, common + "\n" + common), (None, common)]
