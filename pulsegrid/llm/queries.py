@@ -1,4 +1,4 @@
-"""The queries op1_... to op10_... on the driver's tables, and the SQL that DuckDB runs for them."""
+"""The queries op1_... to op13_... on the driver's tables, and the SQL that DuckDB runs for them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import _shared as S
-from pulsegrid.llm import exact_dedup, language_id, line_dedup, ngram_join, packing, records, segmentations, shard, tokens, vector_dedup
+from pulsegrid.llm import clustering, exact_dedup, language_id, line_dedup, ngram_join, packing, records, segmentations, shard, tokens, vector_dedup, warc, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.by_component(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return white.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = S.scratch(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    index = warc.write_index(spark, path)
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_binary_records, op3_exact_dedup, op4_best_fit_packing, op5_embedding_near_dedup, op6_sharding, op7_sampled_segmentations, op8_ngram_jaccard_join, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_binary_records, op3_exact_dedup, op4_best_fit_packing, op5_embedding_near_dedup, op6_sharding, op7_sampled_segmentations, op8_ngram_jaccard_join, op9_line_dedup, op10_token_counts, op11_embedding_whitening, op12_warc, op13_centroid_clustering)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -100,5 +116,42 @@ FROM d GROUP BY doc_id
 """
 
 
+#: Each base 32 digit is five of the 40 bits that ten hexadecimal digits hold.
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS top FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+         ((CAST('0x' || substr(h, CAST(1 + 10 * (g // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (g % 8) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM d
+"""
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Rounds as a chain of tables. Inner products of integers are exact in doubles here; a number's distance and place make one integer."""
+
+    def assigned(i: int) -> str:
+        d = "CAST(list_inner_product(v.x, v.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(v.x, c.x) AS BIGINT)"
+        return f"a{i} AS MATERIALIZED (SELECT v.row, min({d} * {k} + c.j) AS best FROM v, c{i} c GROUP BY v.row)"
+
+    def moved(i: int) -> str:
+        sums = f"SELECT best % {k} AS j, p, CAST(sum(CAST(v.x[p] AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN v USING (row), (SELECT unnest(range(1, {dims + 1})) AS p) GROUP BY ALL"
+        new = f"SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY p) AS x FROM ({sums}) GROUP BY j"
+        return f"c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN ({new}) m USING (j))"
+
+    good = f"len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}"
+    steps = [f"v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings WHERE {good})"]
+    steps.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS j, x FROM v QUALIFY j < {k})")
+    for i in range(rounds):
+        steps += [assigned(i), moved(i)]
+    steps.append(assigned(rounds))
+    digest = "sha256(array_to_string(list_transform(x, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ','))"
+    return f"""WITH {", ".join(steps)},
+r AS (SELECT vec_id, CAST(best % {k} AS INT) AS cluster, CAST(best // {k} AS BIGINT) AS distance FROM a{rounds} JOIN v USING (row))
+SELECT r.*, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       {digest} AS centroid_sha256 FROM r JOIN c{rounds} c ON c.j = r.cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op9_line_dedup": OP9_SQL, "op12_warc": OP12_SQL, "op13_centroid_clustering": _op13_sql()}
