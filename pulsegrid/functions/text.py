@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: a variable of a lambda costs no second evaluation."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is, whatever the engine's rules for other letters."""
     return F.translate(text, UPPER, LOWER)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame, what: str = "step") -> DataFrame:
+    """df as a table in the shared folder. Unlike a checkpoint it carries no constraints over, which grow from round to round."""
+    path = f"{folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by saved()."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
