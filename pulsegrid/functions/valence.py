@@ -98,5 +98,6 @@ def finance_sentiment(text: Column) -> Column:
     """(score, label) by valence; where no word of the lexicon stands in the text, the lexicon sentiment of words that are good or bad."""
     good, bad = [w for w, v in GENERAL.items() if v > 0], [w for w, v in GENERAL.items() if v < 0]
     plain = T.lexicon_score(T.words(text), good, bad, STRONGER)
-    v = valence(text)
-    return F.when(v != 0, F.struct(v.alias("score"), label(v).alias("label"))).otherwise(F.struct(F.round(plain, 4).alias("score"), T.label(plain).alias("label")))
+    told = T.let(valence(text), lambda v: F.struct(v.alias("score"), label(v).alias("label")))
+    other = T.let(plain, lambda p: F.struct(F.round(p, 4).alias("score"), T.label(p).alias("label")))
+    return T.let(told, lambda x: F.when(x["score"] != 0, x).otherwise(other))

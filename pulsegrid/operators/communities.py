@@ -20,15 +20,17 @@ def _moves(edges: DataFrame, state: DataFrame, total: int) -> DataFrame:
     """(node, to): for each node that gains by it the community to move to; of equally good ones the smallest name.
 
     A move of u from c to d raises modularity by 2 / total^2 of [total * (w(u,d) - w(u,c)) - k(u) * (K(d) - K(c) + k(u))], where
-    w are weights to members other than u, k is a node's and K a community's weight: whole numbers, compared exactly."""
-    tot = state.groupBy("comm").agg(F.sum("k").alias("tot"))
+    w are weights to members other than u, k is a node's and K a community's weight: whole numbers, compared exactly. A node that is
+    alone joins another that is alone only if that one's name is smaller, so that two don't change places."""
+    tot = state.groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
     near = edges.join(state.select(F.col("node").alias("v"), F.col("comm").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("w"))
-    near = near.join(tot.withColumnRenamed("comm", "to"), "to").join(state.select(F.col("node").alias("u"), "k", "comm"), "u")
+    near = near.join(tot.withColumnRenamed("comm", "to"), "to").join(state.join(tot.select("comm", F.col("size").alias("mine")), "comm").select(F.col("node").alias("u"), "k", "comm", "mine"), "u")
+    near = near.where((F.col("size") > 1) | (F.col("mine") > 1) | (F.col("to") <= F.col("comm")))
     own = F.col("to") == F.col("comm")
     rest = F.col("tot") - F.when(own, F.col("k")).otherwise(0)
     scored = near.withColumn("gain", F.lit(total).cast("decimal(19,0)") * _exact(F.col("w")) - _exact(F.col("k")) * _exact(rest))
     # A node with no other member of its own community beside it keeps the gain of leaving it empty-handed.
-    alone = state.join(tot, "comm").select(F.col("node").alias("u"), (-_exact(F.col("k")) * _exact(F.col("tot") - F.col("k"))).alias("bare"))
+    alone = state.join(tot.drop("size"), "comm").select(F.col("node").alias("u"), (-_exact(F.col("k")) * _exact(F.col("tot") - F.col("k"))).alias("bare"))
     best = scored.groupBy("u").agg(F.max_by(F.when(own, F.col("gain")), F.when(own, 1).otherwise(0)).alias("stay"), F.max(F.when(~own, F.col("gain"))).alias("top"))
     best = best.join(alone, "u").where(F.col("top") > F.coalesce("stay", "bare")).select("u", "top")
     picked = scored.where(~own).join(best, "u").where(F.col("gain") == F.col("top"))
@@ -44,13 +46,13 @@ def _quality(edges: DataFrame, state: DataFrame, total: int, loops: int) -> int:
     return total * (got.get(1, 0) + loops) - got.get(2, 0)
 
 
-def communities(edges: DataFrame, seed: int = 42, patience: int = 4) -> tuple[DataFrame, float]:
+def communities(edges: DataFrame, seed: int = 42, patience: int = 2, least: float = 1e-4) -> tuple[DataFrame, float]:
     """(a, b, weight) of an undirected graph -> ((node, community), modularity). A community is named by one of its nodes.
 
     Level by level. Every node starts alone. In a round half of the nodes (by crc32 of 'seed:level:pair of rounds:node', the even ones, then the odd) move at
     once, each to the neighbouring community that raises modularity most, of equal ones to the smallest name. A round that raises the
-    modularity of the whole stands, another is undone; after `patience` undone rounds running the level is done. Then
-    communities become nodes, weights within them loops, and the next level begins, until a level moves nothing. Weights are
+    modularity of the whole stands, another is undone; after `patience` rounds running that raise it by less than `least` the level
+    is done. Then communities become nodes, weights within them loops, and the next level begins, until a level moves nothing. Weights are
     whole multiples of 1e-6 (smaller ones vanish) and all comparisons exact, so the partition follows from the graph and the seed.
 
     Loops and weights of at most 0 are left out; parallel edges add up, in either direction. An empty graph has no communities
@@ -76,10 +78,9 @@ def communities(edges: DataFrame, seed: int = 42, patience: int = 4) -> tuple[Da
             after = saved(state.join(moves, "node", "left").select("node", "k", "loop", F.coalesce("to", "comm").alias("comm")))
             now = _quality(both, after, total, looped)
             turn += 1
+            idle = 0 if now - quality >= least * total * total else idle + 1
             if now > quality:
-                state, quality, idle, moved = after, now, 0, True
-            else:
-                idle += 1
+                state, quality, moved = after, now, True
         if not moved:
             break
         step = state.select(F.col("node").alias("comm"), F.col("comm").alias("to"))

@@ -19,7 +19,8 @@ def _draws(universe: DataFrame, draws: DataFrame, k: int, n: int, seed: int, sla
 
 def selection_null(universe: DataFrame, chosen: Column, draws: int = 1000, seed: int = 42, least: int = 5) -> DataFrame:
     """Is the chosen rows' mean net better than that of as many rows drawn from all without replacement? One row: actual, n, draws,
-    median, p95, percentile (share of draws with a smaller mean, in percent).
+    median, p95, percentile (share of draws with a mean that is smaller by more than
+    rounding, 1e-12, in percent).
 
     universe: id (a long, unique), net (null where there is no trade), and what `chosen` needs. A draw takes the rows of lowest
     xxhash64(seed, draw, id), ties by id; means are over rows with a net, and a mean of fewer than `least` is none, as is the
@@ -43,7 +44,7 @@ def selection_null(universe: DataFrame, chosen: Column, draws: int = 1000, seed:
     out = got.agg(means.alias("m"))
     size = F.size("m")
     at = lambda x: F.get(F.col("m"), F.floor(x).cast("int"))
-    lower = F.size(F.filter("m", lambda x: x < F.lit(actual)))
+    lower = F.size(F.filter("m", lambda x: x < F.lit(actual) - 1e-12))
     return out.select(r(F.lit(actual).cast("double"), 6).alias("actual"), F.lit(int(k)).cast("long").alias("n"), size.cast("long").alias("draws"), r(at(size / 2), 6).alias("median"), r(at(size * 0.95), 6).alias("p95"), F.when(F.lit(actual is not None), r(100.0 * lower / F.nullif(size, F.lit(0)), 2)).alias("percentile"))
 
 

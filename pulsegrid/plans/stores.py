@@ -159,9 +159,9 @@ def _finance(s, d):
 
 
 def _selection(s, d):
-    """Is the mean net of calls of few and sure voices better than that of as many calls at random?"""
+    """Is the mean net of the surest calls better than that of as many calls drawn from all?"""
     t = studies.trades(s, d)
-    return draws.selection_null(t.select(F.col("id").cast("long").alias("id"), "net", "side"), F.col("side") > 0)
+    return draws.selection_null(t.select(F.col("id").cast("long").alias("id"), "net", "sentiment"), F.col("sentiment") >= 0.95)
 
 
 def _sampled(s, d):

@@ -89,8 +89,7 @@ def load(folder: str | Path) -> tuple[list[Plugin], list[tuple[str, str]]]:
             spec = importlib.util.spec_from_file_location(f"pulsegrid_plugin_{file.stem}", file)
             module = importlib.util.module_from_spec(spec)
             spec.loader.exec_module(module)
-            kinds = [c for _, c in inspect.getmembers(module, inspect.isclass) if issubclass(c, Plugin) and c is not Plugin and c.__module__ == module.__name__]
-            kinds.sort(key=lambda c: inspect.getsourcelines(c)[1])
+            kinds = [c for c in vars(module).values() if inspect.isclass(c) and issubclass(c, Plugin) and c.__module__ == module.__name__]
             found += [p for p in (c() for c in kinds) if p.enabled]
         except Exception as e:  # a plug-in is foreign code: what it raises is reported, and the others are loaded
             failed.append((file.name, f"{type(e).__name__}: {e}"))

@@ -155,5 +155,5 @@ def into_index(stream: DataFrame, index: PhraseIndex, checkpoint: str) -> None:
 def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The files of a Parquet table, which may be one file, as a stream of all of its columns."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    # As a pattern, for a stream takes a plain path to be a folder.
-    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(f"{path}*")
+    # As a pattern that matches the path alone, for a stream takes a plain path to be a folder.
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(f"{path[:-1]}[{path[-1]}]")
