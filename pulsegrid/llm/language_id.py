@@ -120,17 +120,18 @@ class Model:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, bits: int) -> list:
-    """Of each language near `per_lang` labelled rows, chosen by a hash of the id over all rows, as n-gram shares: (lang, at, share).
-
-    The rows are counted first and each language gets its own threshold on the hash, so no language is gathered or sorted."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    """Of each language near `per_lang` distinct labelled pairs of id and text, chosen by a hash of both over all rows, as n-gram shares:
+    (lang, at, share).
+
+    The pairs are counted first and each language gets its own threshold on the hash, so no language is gathered or sorted, null and
+    repeated ids are as good as others, and copies of a row count once. No labelled text gives an empty list."""
+    key = F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), key.alias("key"))
+    counts = rows.select("lang", "key").distinct().groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    dice = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    shares = docs.sparkSession.createDataFrame([(r[0], min(1.0, per_lang / r[1])) for r in counts], "lang string, part double")
+    dice = F.pmod(F.xxhash64(F.lit(12), "key"), F.lit(1 << 30)) / float(1 << 30)
 
     def vectors(batches):
         for b in batches:
@@ -138,7 +139,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
                 got = [features(t, bits) for t in b.column(1)[i : i + 256].to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary()), b.column(2)[i : i + 256]], ["lang", "at", "share", "key"])
 
-    picked = rows.where(dice < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("key"))
+    picked = rows.join(F.broadcast(shares), "lang").where(dice < F.col("part")).select("lang", "t", "key").distinct()
     got = picked.mapInArrow(vectors, "lang string, at binary, share binary, key long").collect()
     return [(r.lang, np.frombuffer(r["at"], dtype=np.int32), np.frombuffer(r["share"], dtype=np.float32)) for r in sorted(got, key=lambda r: (r.lang, r.key))]
 
