@@ -73,7 +73,7 @@ class Knapsack:
         return out
 
 
-def fractional(counts: dict[int, int], limit: int, rounds: int = 160, draws: int = 64, step: float = 0.7, eps: float = 0.002, rest: float = 0.005, seed: int = 0) -> tuple[list[tuple[dict[int, int], float]], float]:
+def fractional(counts: dict[int, int], limit: int, rounds: int = 160, draws: int = 64, step: float = 0.7, eps: float = 1.0, rest: float = 0.005, seed: int = 0) -> tuple[list[tuple[dict[int, int], float]], float]:
     """A fractional solution of the configuration program, as ({length: times}, weight), and a lower bound on the number of sequences.
 
     The program asks for the least total weight of patterns that cover the count of every length. Each round prices a length by its
@@ -114,8 +114,9 @@ def fractional(counts: dict[int, int], limit: int, rounds: int = 160, draws: int
     return out, max(low, total / limit)
 
 
-def plan(counts: dict[int, int], limit: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: times}, copies) that hold exactly `counts` items of each length.
+def plan(counts: dict[int, int], limit: int) -> tuple[list[tuple[dict[int, int], int]], str]:
+    """Patterns ({length: times}, copies) that hold exactly `counts` items of each length, and what made them: "program", or "best fit" where
+    best-fit decreasing alone needs fewer sequences than the rounded program.
 
     The fractional solution is rounded: the weights of equal patterns add up, each pattern gets the whole copies in its weight and in what
     rounding has lost so far, but never more than the lengths have left. What no pattern took is packed best-fit decreasing
@@ -134,7 +135,9 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[dict[int, int], int]]
                 left[x] -= t * copies
     if min(left.values(), default=0) < 0:
         raise ValueError("more pieces were packed than there are")
-    return out + best_fit(left, limit)
+    out += best_fit(left, limit)
+    plain = best_fit(counts, limit)
+    return (plain, "best fit") if sum(k for _, k in plain) < sum(k for _, k in out) else (out, "program")
 
 
 def best_fit(counts: dict[int, int], limit: int) -> list[tuple[dict[int, int], int]]:
@@ -194,7 +197,7 @@ def pack(cut: DataFrame, limit: int = 2048, buckets: int | None = None) -> DataF
     counts = {int(r.length): int(r.n) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not 1 <= x <= limit for x in counts):
         raise ValueError("a piece is longer than a sequence, or empty")
-    table = runs(plan(counts, limit))
+    table = runs(plan(counts, limit)[0])
     buckets = buckets or 4 * S.partitions(spark)
     dealt = cut.withColumn("__b", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     sums = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("n"))
