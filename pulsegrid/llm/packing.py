@@ -73,7 +73,7 @@ class Knapsack:
         return out
 
 
-def fractional(counts: dict[int, int], limit: int, rounds: int = 160, draws: int = 64, step: float = 0.7, eps: float = 1.0, rest: float = 0.005, seed: int = 0) -> tuple[list[tuple[dict[int, int], float]], float]:
+def fractional(counts: dict[int, int], limit: int, rounds: int = 160, draws: int = 64, step: float = 0.7, eps: float = 0.3, rest: float = 0.005, seed: int = 0) -> tuple[list[tuple[dict[int, int], float]], float]:
     """A fractional solution of the configuration program, as ({length: times}, weight), and a lower bound on the number of sequences.
 
     The program asks for the least total weight of patterns that cover the count of every length. Each round prices a length by its
