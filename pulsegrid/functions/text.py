@@ -59,4 +59,4 @@ def contains(text: Column, query: str) -> Column:
 
 def normalised_key(text: Column, chars: int = 300) -> Column:
     """Key for duplicate posts: lower case, single blanks, the first characters."""
-    return F.substring(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), 1, chars)
+    return F.substring(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 1, chars)

@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import lexicon
 from pulsegrid.functions import text as T
 
 # Valences of trading slang.
@@ -37,7 +38,7 @@ def _map(of: dict[str, float]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in of.items()))
 
 
-def valence(text: Column, lexicon: dict[str, float] | None = None) -> Column:
+def valence(text: Column, valences: dict[str, float] | None = None) -> Column:
     """Score of a text from -1 to 1, rounded to four places; 0 without text or without a word of the lexicon.
 
     Tokens stand between white space, without the marks at their ends; case matters only as capitals. Each word of the lexicon counts
@@ -49,8 +50,8 @@ def valence(text: Column, lexicon: dict[str, float] | None = None) -> Column:
 
     Only words of the lexicon look at their surroundings, so a text costs one set lookup for each token.
     """
-    lexicon = {**GENERAL, **FINANCE} if lexicon is None else lexicon
-    scores = _map(lexicon)
+    valences = {**GENERAL, **FINANCE} if valences is None else valences
+    scores = _map(valences)
     boosts = _map({w: BOOST for w in STRONGER} | {w: -BOOST for w in WEAKER})
     whole = F.coalesce(text, F.lit(""))
     bare = F.regexp_replace(whole, r"(?<!\S)\p{Punct}+|\p{Punct}+(?!\S)", "")
@@ -70,14 +71,14 @@ def valence(text: Column, lexicon: dict[str, float] | None = None) -> Column:
             louder = F.when((boost != 0) & mixed & capital(F.get(tokens, i - back)), F.lit(CAPITALS)).otherwise(0.0)
             near = F.get(F.array(*map(F.lit, NEARER)), back - 1)
             turn = F.when(at.isin(NEGATIONS) | at.endswith("n't"), F.lit(TURN)).otherwise(1.0)
-            return F.when((i >= back) & ~at.isin(list(lexicon)), away(v, (boost + louder) * near) * turn).otherwise(v)
+            return F.when((i >= back) & ~at.isin(list(valences)), away(v, (boost + louder) * near) * turn).otherwise(v)
 
         alone = T.let(F.try_element_at(scores, F.get(low, i)), lambda v: away(v, F.when(mixed & capital(F.get(tokens, i)), F.lit(CAPITALS)).otherwise(0.0)))
         v = F.aggregate(F.array(*map(F.lit, (1, 2, 3))), alone, before)
         return v * F.when((but == 0) | (i == but - 1), 1.0).when(i < but - 1, 0.5).otherwise(1.5)
 
     def total(tokens: Column, low: Column) -> Column:
-        places = F.filter(F.transform(low, lambda w, i: F.when(w.isin(list(lexicon)), i).otherwise(-1)), lambda i: i >= 0)
+        places = F.filter(F.transform(low, lambda w, i: F.when(w.isin(list(valences)), i).otherwise(-1)), lambda i: i >= 0)
         loud = F.size(F.filter(tokens, capital))
         surroundings = F.struct(((loud > 0) & (loud < F.size(tokens))).alias("mixed"), F.array_position(low, "but").alias("but"))
         each = T.let(surroundings, lambda s: F.transform(places, lambda i: word(tokens, low, s["mixed"], s["but"], i)))
@@ -95,9 +96,8 @@ def label(score: Column, band: float = 0.05) -> Column:
 
 
 def finance_sentiment(text: Column) -> Column:
-    """(score, label) by valence; where no word of the lexicon stands in the text, the lexicon sentiment of words that are good or bad."""
-    good, bad = [w for w, v in GENERAL.items() if v > 0], [w for w, v in GENERAL.items() if v < 0]
-    plain = T.lexicon_score(T.words(text), good, bad, STRONGER)
+    """(score, label) by valence; where that is 0, as without a word of its lexicon, the plain lexicon sentiment and its label."""
+    plain = T.lexicon_score(T.words(text), lexicon.POSITIVE, lexicon.NEGATIVE, lexicon.INTENSIFIERS)
     told = T.let(valence(text), lambda v: F.struct(v.alias("score"), label(v).alias("label")))
     other = T.let(plain, lambda p: F.struct(F.round(p, 4).alias("score"), T.label(p).alias("label")))
     return T.let(told, lambda x: F.when(x["score"] != 0, x).otherwise(other))

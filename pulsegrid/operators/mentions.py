@@ -127,9 +127,9 @@ def prescience(m: DataFrame, least: int = 5) -> DataFrame:
 
 
 def cooccurrence(m: DataFrame, cap: int, support: int, lift: float) -> DataFrame:
-    """Pairs of tickers in a thread (author and day), with lift; threads of more than `cap` tickers are left out before pairing,
-    so no thread gives more than cap * (cap - 1) / 2 pairs."""
-    threads = m.select(F.concat_ws("|", "author", F.to_date("created_utc").cast("string")).alias("thread"), "ticker").distinct()
+    """(thread, ticker) rows -> pairs of tickers that share a thread, with lift, those that share most first, then by lift. Threads of more
+    than `cap` tickers are left out before pairing, so no thread gives more than cap * (cap - 1) / 2 pairs."""
+    threads = m.select("thread", "ticker").distinct()
     size = threads.groupBy("thread").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= cap)
     clean = threads.join(size.select("thread"), "thread", "left_semi")
     freq = clean.groupBy("ticker").agg(F.count(F.lit(1)).alias("f"))
@@ -138,4 +138,4 @@ def cooccurrence(m: DataFrame, cap: int, support: int, lift: float) -> DataFrame
     pairs = a.join(b, "thread").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support)
     out = pairs.join(freq.select(F.col("ticker").alias("a"), F.col("f").alias("fa")), "a").join(freq.select(F.col("ticker").alias("b"), F.col("f").alias("fb")), "b").crossJoin(F.broadcast(n))
     raw = F.col("c") * F.col("n") / (F.col("fa") * F.col("fb")).cast("double")
-    return out.where(raw >= lift).select("a", "b", "c", r(raw, 3).alias("lift"))
+    return out.where(raw >= lift).select("a", "b", "c", r(raw, 3).alias("lift")).orderBy(F.desc("c"), F.desc("lift"), "a", "b")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulsegrid.functions.numeric import r
+from pulsegrid.functions import text as T
+from pulsegrid.functions.numeric import r, ratio
 from pulsegrid.operators import graph
 
 
@@ -113,16 +114,19 @@ def coordination(rows: DataFrame, ages: DataFrame, seconds: int = 1800) -> DataF
     """Per ticker: mentions per author, share of the busiest hour, share of repeated texts, the largest group of authors linked by
     near mentions as a share of all, share of fresh accounts among known ages, and how many of the five marks it bears; two make it suspected.
 
-    rows: ticker, author, created_utc, text; ages: username, account_age_days."""
+    rows: ticker, author, created_utc, text (of the window that is meant); ages: username, account_age_days. Null authors count as mentions of
+    nobody: a ticker that has no others has 0 authors, and its mentions count as of one. Texts are equal by normalised_key; empty and null
+    ones are none."""
+    rows = rows.withColumn("text", F.nullif(T.normalised_key(F.col("text")), F.lit("")))
     by = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("author").alias("authors"))
-    hour = rows.groupBy("ticker", F.date_trunc("hour", "created_utc").alias("h")).agg(F.count(F.lit(1)).alias("c")).groupBy("ticker").agg(F.max("c").alias("peak"))
+    hour = rows.where("created_utc is not null").groupBy("ticker", F.date_trunc("hour", "created_utc").alias("h")).agg(F.count(F.lit(1)).alias("c")).groupBy("ticker").agg(F.max("c").alias("peak"))
     texts = rows.where("text is not null").groupBy("ticker", "text").agg(F.count(F.lit(1)).alias("c")).groupBy("ticker").agg(F.sum("c").alias("texts"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("same"))
     parts = graph.linked(near_pairs(rows, seconds)).groupBy("ticker", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("ticker").agg(F.max("c").alias("cluster"))
     known = rows.select("ticker", "author").distinct().join(ages.select(F.col("username").alias("author"), "account_age_days"), "author").where("account_age_days is not null")
     fresh = known.groupBy("ticker").agg(F.avg(F.when(F.col("account_age_days") < 30, 1.0).otherwise(0.0)).alias("fresh"))
-    x = by.join(hour, "ticker").join(texts, "ticker", "left").join(parts, "ticker", "left").join(fresh, "ticker", "left")
-    mpa, burst = F.col("n") / F.col("authors"), F.col("peak") / F.col("n")
-    dup, dense = F.coalesce(F.col("same") / F.col("texts"), F.lit(0.0)), F.coalesce(F.col("cluster") / F.col("authors"), F.lit(0.0))
+    x = by.join(hour, "ticker", "left").join(texts, "ticker", "left").join(parts, "ticker", "left").join(fresh, "ticker", "left")
+    mpa, burst = F.col("n") / F.greatest("authors", F.lit(1)), F.coalesce(F.col("peak") / F.col("n"), F.lit(0.0))
+    dup, dense = F.coalesce(ratio(F.col("same"), F.col("texts")), F.lit(0.0)), F.coalesce(ratio(F.col("cluster"), F.col("authors")), F.lit(0.0))
     marks = [mpa >= 5, (burst >= 0.5) & (F.col("n") >= 10), dup >= 0.2, (dense >= 0.5) & (F.col("authors") >= 4), F.coalesce((F.col("fresh") >= 0.4) & (F.col("authors") >= 4), F.lit(False))]
     score = sum((x.cast("int") for x in marks), F.lit(0))
     return x.select("ticker", "n", "authors", r(mpa, 1).alias("per_author"), r(burst, 2).alias("burst"), r(dup, 2).alias("duplicate"), r(dense, 2).alias("cluster"), r(F.col("fresh"), 2).alias("fresh"), score.alias("marks"), (score >= 2).alias("suspected"))

@@ -72,15 +72,48 @@ def running(rows: DataFrame, by: list[str], chunk: Column, order: list[str], val
     return out.withColumns({"running": F.col("__from") + F.col("__s"), "peak": F.greatest(F.col("__old"), F.col("__from") + F.col("__p"))}).drop("__chunk", "__s", "__p", "__from", "__old")
 
 
+def _parts(factor: Column) -> tuple[Column, Column]:
+    """A factor as the logarithm of its size, -10^6 for 0, and whether it turns the sign."""
+    return F.when(factor == 0, -1e6).otherwise(F.log(F.abs(factor))), (factor < 0).cast("int")
+
+
+def equity(rows: DataFrame, by: list[str], chunk: Column, order: list[str], factor: Column) -> DataFrame:
+    """Adds the running product of the factors as size (its logarithm) and negative, and peak, the logarithm of the greatest product so
+    far, 1 at first. Products are logarithms and signs, so long runs neither overflow nor vanish.
+
+    Chunks follow the order. Within a chunk a product is known up to the chunk's start, so the greatest one is kept for either sign
+    there; one row for each chunk goes through the window of a whole group and says which of the two it is."""
+    size, turn = _parts(factor)
+    rows = rows.withColumns({"__chunk": chunk, "__size": size, "__turn": turn})
+    inside = W.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"__s": F.sum("__size").over(inside), "__t": F.sum("__turn").over(inside) % 2})
+    rows = rows.withColumns({f"__top{i}": F.max(F.when(F.col("__t") == i, F.col("__s"))).over(inside) for i in (0, 1)})
+    last = rows.groupBy(*by, "__chunk").agg(F.sum("__size").alias("sum"), F.sum("__turn").alias("turns"), *[F.max(f"__top{i}").alias(f"top{i}") for i in (0, 1)])
+    w = W.partitionBy(*by).orderBy("__chunk")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    last = last.withColumns({"__from": F.coalesce(F.sum("sum").over(before), F.lit(0.0)), "__sign": F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2})
+    last = last.withColumn("top", F.when(F.col("__sign") == 0, F.col("top0")).otherwise(F.col("top1")) + F.col("__from"))
+    last = last.withColumn("__old", F.greatest(F.lit(0.0), F.max("top").over(before)))
+    out = rows.join(last.select(*by, "__chunk", "__from", "__sign", "__old"), [*by, "__chunk"])
+    own = F.when(F.col("__sign") == 0, F.col("__top0")).otherwise(F.col("__top1")) + F.col("__from")
+    out = out.withColumns({"size": F.col("__from") + F.col("__s"), "negative": (F.col("__sign") + F.col("__t")) % 2 == 1, "peak": F.greatest(F.col("__old"), own)})
+    return out.drop("__chunk", "__size", "__turn", "__s", "__t", "__top0", "__top1", "__from", "__sign", "__old")
+
+
 def ledger(trades: DataFrame, value: str, by: list[str], horizon: int, fraction: float = 0.10) -> DataFrame:
     """Trades (date, id, value) of each group: count, mean net and share of wins in percent, t, profit factor (null without
-    losses), yearly Sharpe, greatest drawdown and total of an equity that stakes a fixed fraction, mean win and loss."""
+    losses), yearly Sharpe, greatest drawdown and total of an equity that stakes a fixed fraction, mean win and loss.
+
+    A trade that loses more than the whole equity turns it negative, as the product of 1 + fraction * value does, and the next
+    such one turns it back; a drawdown then exceeds 100 percent."""
     v = F.col(value)
-    rows = running(trades.where(v.isNotNull()), by, F.date_trunc("month", "date"), ["date", "id"], F.log1p(fraction * v))
+    rows = equity(trades.where(v.isNotNull()), by, F.date_trunc("month", "date"), ["date", "id"], 1 + fraction * v)
+    size, turn = _parts(1 + fraction * v)
+    left = F.exp(F.col("size") - F.col("peak"))
     win, loss = F.when(v > 0, v), F.when(v <= 0, -v)
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("sd"), F.count(win).alias("wins"), F.sum(win).alias("won"), F.sum(loss).alias("lost"), F.avg(win).alias("aw"), F.avg(loss).alias("al"), F.max(1 - F.exp(F.col("running") - F.col("peak"))).alias("dd"), F.sum(F.log1p(fraction * v)).alias("eq")).where("n >= 2")
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("sd"), F.count(win).alias("wins"), F.sum(win).alias("won"), F.sum(loss).alias("lost"), F.avg(win).alias("aw"), F.avg(loss).alias("al"), F.max(F.when(F.col("negative"), 1 + left).otherwise(1 - left)).alias("dd"), (F.exp(F.sum(size)) * F.when(F.sum(turn) % 2 == 1, -1.0).otherwise(1.0)).alias("eq")).where("n >= 2")
     sd = F.coalesce(F.nullif(F.round("sd", 12), F.lit(0.0)), F.lit(1e-9))
-    return out.select(*by, "n", r(F.col("m") * 100, 4).alias("net"), r(100 * F.col("wins") / F.col("n"), 2).alias("win"), r(F.col("m") / (sd / F.sqrt("n")), 4).alias("t"), r(F.col("won") / F.nullif("lost", F.lit(0.0)), 4).alias("pf"), r(F.col("m") / sd * (252 / horizon) ** 0.5, 4).alias("sharpe"), r(F.col("dd") * 100, 4).alias("maxdd"), r((F.exp("eq") - 1) * 100, 3).alias("total"), r(F.coalesce("aw", F.lit(0.0)) * 100, 4).alias("avgwin"), r(F.coalesce("al", F.lit(0.0)) * 100, 4).alias("avgloss"))
+    return out.select(*by, "n", r(F.col("m") * 100, 4).alias("net"), r(100 * F.col("wins") / F.col("n"), 2).alias("win"), r(F.col("m") / (sd / F.sqrt("n")), 4).alias("t"), r(F.col("won") / F.nullif("lost", F.lit(0.0)), 4).alias("pf"), r(F.col("m") / sd * (252 / horizon) ** 0.5, 4).alias("sharpe"), r(F.col("dd") * 100, 4).alias("maxdd"), r((F.col("eq") - 1) * 100, 3).alias("total"), r(F.coalesce("aw", F.lit(0.0)) * 100, 4).alias("avgwin"), r(F.coalesce("al", F.lit(0.0)) * 100, 4).alias("avgloss"))
 
 
 def persistence(calls: DataFrame, least: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pulsegrid.functions import text as T
 from pulsegrid.operators import lookups as L
 from pulsegrid.operators import posts, writes
+from pulsegrid.plans import catalog
 from pulsegrid.sources import fixtures as S
 
 AS_OF = S.AS_OF
@@ -74,11 +75,12 @@ def _tiers(s, d):
 
 
 def _purged(s, d):
-    """Mentions of busy sources are found again in the source's text, or taken out and set aside."""
-    m = S.mentions(s, d).select("ticker", F.col("source_id").cast("long").alias("source_id"))
-    found = m.where("source_id % 3 <> 1").select("ticker", "source_id")
-    kept = m.join(found, ["ticker", "source_id"], "left_semi").withColumn("fate", F.lit("kept"))
-    return kept.unionByName(m.join(found, ["ticker", "source_id"], "left_anti").withColumn("fate", F.lit("purged"))).groupBy("ticker", "fate").agg(F.count(F.lit(1)).alias("n"))
+    """The tickers found in all texts by the old lists, and texts that are gone: taken out and set aside where the stricter lists of today find
+    them no more in the text that is there."""
+    p = catalog.capitals(S.posts(s, d))
+    facts = p.select("id", F.explode(T.tickers(F.col("text"), catalog._symbols(), ["THE"], ["IT"])).alias("ticker"))
+    kept, gone = writes.revalidated(facts, p.where("lang <> 'fr' or lang is null").select("id", "text"), "id", T.tickers(F.col("text"), catalog._symbols(), ["THE"], ["IT", "ON", "TH"]), "ticker")
+    return kept.withColumn("fate", F.lit("kept")).unionByName(gone.withColumn("fate", F.lit("purged"))).groupBy("ticker", "fate").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _job_log(s, d):
@@ -177,7 +179,12 @@ def oracle_sql() -> dict[str, str]:
         "clean_threads": v(f", t AS (SELECT DISTINCT thread, ticker FROM ({_THREADS}) WHERE thread IS NOT NULL) SELECT * FROM t WHERE thread IN (SELECT thread FROM t GROUP BY 1 HAVING count(*) <= 15)", "mentions", "comments"),
         "job_records": "SELECT o_orderkey AS job, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, CASE WHEN o_orderstatus <> 'O' THEN o_orderkey % 500 END AS seconds FROM orders",
         "rollup_rebuild": v("SELECT subreddit, ticker, CAST(created_utc AS DATE) AS date, count(*) AS mentions, round(avg(sentiment_score) + 1e-9, 4) AS avg_sentiment FROM mentions GROUP BY 1, 2, 3", "mentions"),
-        "purge_counts": v("SELECT ticker, CASE WHEN CAST(source_id AS BIGINT) % 3 = 1 THEN 'purged' ELSE 'kept' END AS fate, count(*) AS n FROM mentions GROUP BY 1, 2", "mentions"),
+        "purge_counts": v(f""", t AS (SELECT id, lang, CASE WHEN id % 3 = 0 THEN '$' ELSE '' END || translate(coalesce(selftext, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS x FROM posts),
+ c AS (SELECT id, lang, unnest(list_transform(list_filter(regexp_extract_all(x, '\\$[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '.[A-Z]{{1,5}}') AND w <> '$THE'), lambda w: w[2:])) AS ticker FROM t),
+ b AS (SELECT id, lang, unnest(list_filter(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ('IN', 'ON', 'OF', 'TH', 'RE'))) AS ticker FROM t),
+ f AS (SELECT * FROM c UNION SELECT * FROM b),
+ g AS (SELECT f.*, coalesce(lang, '') <> 'fr' AND ticker IN ('ON', 'TH') AND (id, ticker) NOT IN (SELECT (id, ticker) FROM c) AS purged FROM f)
+ SELECT ticker, CASE WHEN purged THEN 'purged' ELSE 'kept' END AS fate, count(*) AS n FROM g GROUP BY 1, 2""", "posts"),
         "latest_mention": v("SELECT ticker, source_id FROM mentions QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY created_utc DESC, CAST(source_id AS BIGINT)) = 1", "mentions"),
         "top_posts": v("SELECT id, score FROM posts ORDER BY score DESC, id LIMIT 10", "posts"),
         "recent_posts": v("SELECT id FROM posts ORDER BY created_utc DESC, id LIMIT 10", "posts"),

@@ -42,16 +42,20 @@ def _symbols():
     return ["IT", "IN", "ON", "OF", "TH", "RE"]
 
 
-def ticker_rows(p):
-    """The whole text in capitals, every third with a cash mark in front."""
+def capitals(p):
+    """The whole text in capitals, every third with a cash mark in front, as text."""
     text = F.concat(F.when(F.col("id") % 3 == 0, F.lit("$")).otherwise(F.lit("")), F.translate(F.coalesce("selftext", F.lit("")), T.LOWER, T.UPPER))
-    return p.select("id", F.array_join(T.tickers(text, _symbols(), ["THE"], ["IT"]), ",").alias("tickers"))
+    return p.withColumn("text", text)
+
+
+def ticker_rows(p):
+    return capitals(p).select("id", F.array_join(T.tickers(F.col("text"), _symbols(), ["THE"], ["IT"]), ",").alias("tickers"))
 
 
 def _merged(spark, d):
     p = S.posts(spark, d).select("id", "title", "score", "num_comments")
     old = p.where("id % 3 <> 0")
-    new = p.where("id % 2 = 0").select("id", F.lit("changed").alias("title"), (F.col("score") + 1000).alias("score"), "num_comments")
+    new = p.where("id % 2 = 0 or id % 3 = 0").select("id", F.lit("changed").alias("title"), (F.col("score") + 1000).alias("score"), "num_comments")
     return posts.merge(old, new, ["id"], ["score"])
 
 
@@ -188,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_keep_first": v("SELECT min(id) AS id FROM posts WHERE selftext IS NOT NULL GROUP BY selftext", "posts"),
         "job_stats": """SELECT o_orderpriority AS target, count(*) AS jobs, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed, count(*) FILTER (WHERE o_orderstatus = 'O') AS running,
  count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS failed FROM orders GROUP BY 1""",
-        "merge_upsert": v("SELECT id, CASE WHEN id % 3 = 0 THEN 'changed' ELSE title END AS title, CASE WHEN id % 2 = 0 THEN score + 1000 ELSE score END AS score, num_comments FROM posts WHERE id % 3 <> 0 OR id % 2 = 0", "posts"),
+        "merge_upsert": v("SELECT id, CASE WHEN id % 3 = 0 THEN 'changed' ELSE title END AS title, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN score + 1000 ELSE score END AS score, num_comments FROM posts", "posts"),
         "cosine_topk": f"SELECT vec_id, {_r('list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))', 6)} AS similarity FROM embeddings WHERE vec_id <> 0 ORDER BY 2 DESC, 1 LIMIT 10",
         "sma_trend": v(f""", w AS (SELECT ticker, date, {_r('close', 6)} AS c, row_number() OVER o AS n, {_r('avg(close) OVER (o ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)', 6)} AS slow, {_r('avg(close) OVER (o ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)', 6)} AS fast FROM prices_long WINDOW o AS (PARTITION BY ticker ORDER BY date))
  SELECT ticker, date, CASE WHEN n < 200 THEN 0 WHEN c > slow AND fast >= slow THEN 1 WHEN c < slow AND fast <= slow THEN -1 ELSE 0 END AS state FROM w""", "prices_long"),

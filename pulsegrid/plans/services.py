@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.numeric import r
@@ -23,8 +26,8 @@ _BARS = """SELECT 'P' || (l_partkey % 50) AS ticker, CAST(l_shipdate AS DATE) AS
 def _json_posts(spark, d):
     p = S.posts(spark, d)
     url = F.when(F.col("id") % 4 == 0, "https://i.redd.it/x").when(F.col("id") % 4 == 1, "https://h/x.PNG").otherwise("https://h/x")
-    line = F.to_json(F.struct(F.col("id").cast("string").alias("id"), "title", url.alias("url"), "score", (F.col("id") % 3 == 0).alias("is_self"), (F.col("id") % 11 == 0).alias("is_video"), (F.col("id") % 7 == 0).alias("is_gallery")))
-    return feeds.posts_from_json(p.select(line.alias("value"))).select("id", "score", "post_type", "has_media")
+    line = F.to_json(F.struct(F.col("id").cast("string").alias("id"), "title", url.alias("url"), "score", "selftext", (F.col("id") * 61.5).alias("created_utc"), (F.col("id") % 3 == 0).alias("is_self"), (F.col("id") % 11 == 0).alias("is_video"), (F.col("id") % 7 == 0).alias("is_gallery")))
+    return feeds.posts_from_json(p.select(line.alias("value"))).select("id", "score", "post_type", "has_media", F.sha2("selftext", 256).alias("selftext_sha256"), (F.unix_micros("created_utc") / 1e6).alias("seconds"))
 
 
 def _pipe(spark, d):
@@ -44,7 +47,7 @@ def _prices(spark, d):
 def _totals(spark, d):
     p = S.posts(spark, d)
     one = lambda x: x.groupBy("subreddit").agg(F.sum("score").alias("total"), F.max("created_utc").alias("seen"))
-    return writes.add_totals(one(p.where("id % 3 = 0")), one(p.where("id % 3 = 1")), ["subreddit"], ["total"], ["seen"]).select("subreddit", F.col("total").cast("long").alias("total"), F.date_format("seen", "yyyy-MM-dd HH:mm").alias("seen"))
+    return writes.add_totals(one(p.where("id % 3 = 0")), one(p.where("id % 3 > 0")), ["subreddit"], ["total"], ["seen"]).select("subreddit", F.col("total").cast("long").alias("total"), F.date_format("seen", "yyyy-MM-dd HH:mm").alias("seen"))
 
 
 def _updated(spark, d):
@@ -55,7 +58,10 @@ def _updated(spark, d):
 
 def _deleted(spark, d):
     c, m = S.comments(spark, d), S.table(spark, d, "labels")
-    return writes.cascade_delete(S.posts(spark, d), F.col("subreddit") == "src3", {"comments": (c, "post_id"), "labels": (m, "doc_id")})[1]
+    stay, gone = writes.cascade_delete(S.posts(spark, d), F.col("subreddit") == "src3", {"comments": (c, "post_id"), "labels": (m, "doc_id")})
+    keys = {"posts": "id", "comments": "post_id", "labels": "doc_id"}
+    left = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("left"), F.sum(keys[name]).cast("long").alias("ids")).select(F.lit(name).alias("name"), "left", "ids") for name, df in stay.items()])
+    return gone.join(left, "name")
 
 
 def _window(spark, d):
@@ -66,7 +72,7 @@ def _window(spark, d):
 
 def _closed(spark, d):
     o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"), F.col("o_totalprice").alias("net"))
-    new = o.where("id % 2 = 0").select("id", F.lit("closed").alias("status"), F.lit(0.0).alias("net"))
+    new = o.where("id % 2 = 0 or id % 3 = 0").select("id", F.lit("closed").alias("status"), F.lit(0.0).alias("net"))
     return writes.close_open(o.where("id % 3 > 0"), new, ["id"])
 
 
@@ -117,17 +123,17 @@ def oracle_sql() -> dict[str, str]:
     tier = "CASE WHEN per_author >= 3 AND mentions >= 10 THEN 1 WHEN mentions >= 10 THEN 2 ELSE 3 END"
     kind = "CASE WHEN id % 11 = 0 THEN 'video' WHEN id % 7 = 0 THEN 'gallery' WHEN id % 4 < 2 THEN 'image' WHEN id % 3 = 0 THEN 'text' ELSE 'link' END"
     return {
-        "json_posts": v(f", t AS (SELECT id, score, {kind} AS post_type FROM posts) SELECT CAST(id AS VARCHAR) AS id, score, post_type, post_type IN ('image', 'video', 'gallery') AS has_media FROM t", "posts"),
+        "json_posts": v(f", t AS (SELECT id, score, selftext, {kind} AS post_type FROM posts) SELECT CAST(id AS VARCHAR) AS id, score, post_type, post_type IN ('image', 'video', 'gallery') AS has_media, sha256(selftext) AS selftext_sha256, id * 61.5e0 AS seconds FROM t", "posts"),
         "pipe_short_volume": f"""WITH t AS (SELECT 'P' || (l_partkey % 50) AS ticker, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS short_volume, sum(l_quantity) AS total_volume FROM lineitem GROUP BY 1, 2)
  SELECT *, {_r('short_volume / total_volume', 4)} AS short_ratio FROM t""",
         "price_arrays": v(f"SELECT ticker, date, {_r('close', 6)} AS close FROM prices WHERE day(date) % 7 > 0", "prices"),
-        "additive_upsert": v("SELECT subreddit, CAST(sum(score) AS BIGINT) AS total, strftime(max(created_utc), '%Y-%m-%d %H:%M') AS seen FROM posts WHERE id % 3 < 2 GROUP BY 1", "posts"),
+        "additive_upsert": v("SELECT subreddit, CAST(sum(score) AS BIGINT) AS total, strftime(max(created_utc), '%Y-%m-%d %H:%M') AS seen FROM posts GROUP BY 1", "posts"),
         "point_update": v("SELECT id, CASE WHEN id % 2 = 0 THEN num_comments + 10 ELSE num_comments END AS num_comments, CASE WHEN id % 4 = 0 THEN -1 ELSE score END AS score FROM posts", "posts"),
-        "cascade_delete_counts": v(""", g AS (SELECT id FROM posts WHERE subreddit = 'src3') SELECT 'posts' AS name, count(*) AS deleted FROM g
- UNION ALL SELECT 'comments', count(*) FROM comments WHERE post_id IN (SELECT id FROM g) UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id IN (SELECT id FROM g)""", "posts", "comments"),
+        "cascade_delete_counts": v(""", g AS (SELECT id FROM posts WHERE subreddit = 'src3'), r AS (SELECT 'posts' AS name, id FROM posts UNION ALL SELECT 'comments', post_id FROM comments UNION ALL SELECT 'labels', doc_id FROM labels), m AS (SELECT *, id IN (SELECT id FROM g) AS gone FROM r)
+ SELECT name, count(*) FILTER (WHERE gone) AS deleted, count(*) FILTER (WHERE NOT gone) AS "left", CAST(sum(id) FILTER (WHERE NOT gone) AS BIGINT) AS ids FROM m GROUP BY 1""", "posts", "comments"),
         "window_replace": v("SELECT CAST(created_utc AS DATE) AS date, count(*) AS n FROM mentions WHERE CAST(created_utc AS DATE) < DATE '2024-01-15' OR score >= 20 GROUP BY 1", "mentions"),
         "guarded_close": """SELECT o_orderkey AS id, CASE WHEN hit OR o_orderstatus <> 'O' THEN 'closed' ELSE 'open' END AS status, CASE WHEN hit THEN 0 ELSE o_totalprice END AS net
- FROM (SELECT *, o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderstatus = 'O') AS hit FROM orders WHERE o_orderkey % 3 > 0 OR o_orderkey % 2 = 0)""",
+ FROM (SELECT *, o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 AND o_orderstatus = 'O' AS hit FROM orders)""",
         "conviction_tiers": f"SELECT ticker, date, mentions, per_author, {tier} AS tier FROM ({f}) WHERE per_author >= 2 AND mentions >= 5",
         "distribution_short": v(f""", ses AS (SELECT ticker, date, close, lag(close, 5) OVER (PARTITION BY ticker ORDER BY date) AS prv FROM prices), f AS ({f}),
  j AS (SELECT f.*, (SELECT arg_max(CASE WHEN prv > 0 THEN close / prv - 1 END, s.date) FROM ses s WHERE s.ticker = 'T' || substr(f.ticker, 2, 2) AND s.date <= f.date AND prv IS NOT NULL) AS ret FROM f WHERE per_author >= 2 AND mentions >= 10 AND sentiment >= 0.1 AND ticker <> 'C03')

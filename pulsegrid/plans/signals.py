@@ -73,7 +73,13 @@ def _credible(s, d):
 
 
 def _texts(s, d):
-    return S.mentions(s, d, True).withColumn("text", F.concat(F.lit("t"), (F.col("source_id").cast("long") % 300).cast("string")))
+    """The mentions of two weeks with the texts they stand in: of posts title and body, of comments the body."""
+    m = mentions.since(S.mentions(s, d, True), S.AS_OF, 14 * 24)
+    n = F.col("source_id").cast("long")
+    key = F.when(F.col("source_type") == "post", (n % 900).cast("string")).otherwise(F.concat_ws("_", (n % 150).cast("string"), (n % 7).cast("string")))
+    posted = S.posts(s, d).select(F.lit("post").alias("source_type"), F.col("id").cast("string").alias("key"), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("selftext", F.lit(""))).alias("text"))
+    said = S.comments(s, d).select(F.lit("comment").alias("source_type"), F.col("comment_id").alias("key"), F.col("body").alias("text"))
+    return m.withColumn("key", key).join(posted.unionByName(said), ["source_type", "key"], "left").drop("key")
 
 
 def _by_universe(s, d):
@@ -164,18 +170,21 @@ def oracle_sql() -> dict[str, str]:
  SELECT author, n, score, confidence, CASE WHEN score >= 0.4 AND confidence >= 0.5 THEN 'qualify_in' WHEN score <= -0.4 AND confidence >= 0.4 THEN 'qualify_out' ELSE 'neutral' END AS verdict,
  array_to_string(a, ',') AS in_flags, array_to_string(b, ',') AS out_flags FROM w""", "mentions", "prices", "posts", "authors"),
         "near_author_pairs": v(pairs.format(m="mentions", n=3600), "mentions"),
-        "coordination_detail": v(f""", t AS (SELECT *, 't' || (CAST(source_id AS BIGINT) % 300) AS text FROM mentions_conc), p AS ({pairs.format(m="mentions_conc", n=1800)}),
+        "coordination_detail": v(f""", x1 AS (SELECT 'post' AS source_type, CAST(id AS VARCHAR) AS key, coalesce(title, '') || ' ' || coalesce(selftext, '') AS text FROM posts UNION ALL SELECT 'comment', comment_id, body FROM comments),
+ x2 AS (SELECT *, CASE WHEN source_type = 'post' THEN CAST(CAST(source_id AS BIGINT) % 900 AS VARCHAR) ELSE (CAST(source_id AS BIGINT) % 150) || '_' || (CAST(source_id AS BIGINT) % 7) END AS key FROM mentions_conc
+ WHERE created_utc >= TIMESTAMP '{AS_OF}' - INTERVAL 336 HOURS AND created_utc < TIMESTAMP '{AS_OF}'),
+ t AS (SELECT x2.* EXCLUDE (key), nullif(substr(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 300), '') AS text FROM x2 LEFT JOIN x1 USING (source_type, key)), p AS ({pairs.format(m="t", n=1800)}),
  q AS (SELECT ticker, a, b FROM p UNION SELECT ticker, b, a FROM p UNION SELECT ticker, a, a FROM p UNION SELECT ticker, b, b FROM p),
  q2 AS (SELECT DISTINCT x.ticker, x.a, y.b FROM q x JOIN q y ON x.ticker = y.ticker AND x.b = y.a), q4 AS (SELECT DISTINCT x.ticker, x.a, y.b FROM q2 x JOIN q2 y ON x.ticker = y.ticker AND x.b = y.a),
  q8 AS (SELECT DISTINCT x.ticker, x.a, y.b FROM q4 x JOIN q4 y ON x.ticker = y.ticker AND x.b = y.a),
  k AS (SELECT ticker, max(c) AS cluster FROM (SELECT ticker, a, count(*) AS c FROM q8 GROUP BY 1, 2) GROUP BY 1),
  n AS (SELECT ticker, count(*) AS n, count(DISTINCT author) AS authors FROM t GROUP BY 1),
  h AS (SELECT ticker, max(c) AS peak FROM (SELECT ticker, date_trunc('hour', created_utc), count(*) AS c FROM t GROUP BY 1, 2) GROUP BY 1),
- d AS (SELECT ticker, sum(c) FILTER (WHERE c > 1) / sum(c) AS dup FROM (SELECT ticker, text, count(*) AS c FROM t GROUP BY 1, 2) GROUP BY 1),
+ d AS (SELECT ticker, sum(c) FILTER (WHERE c > 1) / sum(c) AS dup FROM (SELECT ticker, text, count(*) AS c FROM t WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
  g AS (SELECT ticker, avg(CASE WHEN account_age_days < 30 THEN 1.0e0 ELSE 0 END) AS fresh FROM (SELECT DISTINCT ticker, author FROM t) JOIN authors ON username = author WHERE account_age_days IS NOT NULL GROUP BY 1),
- x AS (SELECT n.ticker, n, authors, n / authors AS pa, peak / n AS burst, coalesce(dup, 0) AS dup, coalesce(cluster, 0) / authors AS dense, fresh FROM n JOIN h USING (ticker) JOIN d USING (ticker) LEFT JOIN k USING (ticker) LEFT JOIN g USING (ticker)),
+ x AS (SELECT n.ticker, n, authors, n / authors AS pa, peak / n AS burst, coalesce(dup, 0) AS dup, coalesce(cluster, 0) / authors AS dense, fresh FROM n JOIN h USING (ticker) LEFT JOIN d USING (ticker) LEFT JOIN k USING (ticker) LEFT JOIN g USING (ticker)),
  y AS (SELECT *, CAST(pa >= 5 AS INT) + CAST(burst >= 0.5 AND n >= 10 AS INT) + CAST(dup >= 0.2 AS INT) + CAST(dense >= 0.5 AND authors >= 4 AS INT) + CAST(coalesce(fresh >= 0.4, false) AND authors >= 4 AS INT) AS marks FROM x)
- SELECT ticker, n, authors, round(pa + 1e-9, 1) AS per_author, round(burst + 1e-9, 2) AS burst, round(dup + 1e-9, 2) AS duplicate, round(dense + 1e-9, 2) AS cluster, round(fresh + 1e-9, 2) AS fresh, marks, marks >= 2 AS suspected FROM y""", "mentions_conc", "authors"),
+ SELECT ticker, n, authors, round(pa + 1e-9, 1) AS per_author, round(burst + 1e-9, 2) AS burst, round(dup + 1e-9, 2) AS duplicate, round(dense + 1e-9, 2) AS cluster, round(fresh + 1e-9, 2) AS fresh, marks, marks >= 2 AS suspected FROM y""", "mentions_conc", "authors", "posts", "comments"),
         "momentum_ranked": v(f""", d AS (SELECT ticker, {seven} AS d, count(*) AS n, sum(sentiment_score) AS s FROM mentions GROUP BY 1, 2), l AS (SELECT max(d) AS last FROM d),
  g AS (SELECT ticker, CAST(sum(n) AS BIGINT) AS total, avg(n) AS mean, stddev_pop(n) AS sd, max(n) FILTER (WHERE d = last) AS latest, sum(s) / sum(n) AS sent FROM d, l GROUP BY 1 HAVING sum(n) >= 20)
  SELECT ticker, total, round(mean + 1e-9, 3) AS mean, latest, round((latest - mean) / nullif(sd, 0) + 1e-9, 3) AS z, round(sent + 1e-9, 4) AS avg_sentiment FROM g WHERE latest IS NOT NULL ORDER BY z DESC NULLS LAST, total DESC, ticker LIMIT 30""", "mentions"),

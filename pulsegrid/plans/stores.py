@@ -12,7 +12,7 @@ from pulsegrid.operators import communities, draws, index, lookups, posts
 from pulsegrid.operators.steps import folder
 from pulsegrid.plans import board, studies, whole
 from pulsegrid.sources import fixtures as S
-from pulsegrid.sources import markup, replies, tables
+from pulsegrid.sources import cursor, markup, replies, tables
 from pulsegrid.streaming import state
 
 ALERTS = ["tion of", "zzz", "The "]
@@ -170,6 +170,13 @@ def _sampled(s, d):
     return draws.sampled_days(e, known, 20)
 
 
+def _archive(s, d):
+    """All orders as an archive in days, read back from 1993 on by a cursor, three months to a task."""
+    o, path = S.table(s, d, "orders"), _place(s, "archive")
+    cursor.write_store(o.select(F.col("o_orderkey").cast("string").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created"), F.concat(F.lit("a"), (F.col("o_custkey") % 40).cast("string")).alias("author"), F.col("o_orderpriority").alias("body")), path, 1)
+    return cursor.read_archive(s, path, "1993-01-01", "1998-07-15", 3, 50)
+
+
 def _kept(s, d):
     c = S.comments(s, d).withColumn("created_utc", F.col("depth"))
     p = S.posts(s, d).select("id", F.when(F.col("id") % 11 == 0, 600).otherwise(F.col("num_comments")).alias("num_comments"))
@@ -205,6 +212,7 @@ QUERIES = {
     "selection_null": _selection,
     "sampled_days": _sampled,
     "kept_comments": _kept,
+    "archive_by_cursor": _archive,
     "plugin_chain": _plugged,
 }
 
@@ -253,6 +261,8 @@ def oracle_sql() -> dict[str, str]:
  c AS (SELECT c.*, mega FROM comments c JOIN t ON post_id = id WHERE mega OR id % 2 = 0 QUALIFY NOT mega OR row_number() OVER (PARTITION BY post_id ORDER BY depth DESC, comment_id DESC) <= 2),
  k AS (SELECT post_id, score FROM c WHERE body NOT IN ('', '[removed]', '[deleted]') AND (score >= CASE WHEN mega THEN 500 ELSE 300 END OR contains(body, 'la')))
  SELECT id AS post_id, count(post_id) AS kept, CAST(sum(score) AS BIGINT) AS score FROM t LEFT JOIN k ON id = post_id GROUP BY 1""", "posts", "comments"),
+        "archive_by_cursor": """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(epoch(o_orderdate) AS BIGINT) AS created, 'a' || (o_custkey % 40) AS author, o_orderpriority AS body
+ FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' AND o_orderdate < TIMESTAMP '1998-07-15'""",
         "plugin_chain": v(f""", p AS (SELECT *, '/r/' || (id - id % 3) AS permalink FROM posts QUALIFY row_number() OVER (PARTITION BY id - id % 3 ORDER BY id) = 1),
  w AS (SELECT id, unnest(list_filter(regexp_extract_all({words}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]+') AND length(w) >= 3)) AS word FROM p),
  c AS (SELECT id, word, count(*) AS n FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, word) <= 5)

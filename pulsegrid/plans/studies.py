@@ -106,7 +106,7 @@ QUERIES = {
     "strategy_slate": _slate,
     "directional_excess": lambda s, d: excess_calls(s, d).select("id", _r("ex")),
     "excess_over_drift": lambda s, d: studies.excess(returns(s, d), S.prices_long(s, d), H),
-    "trade_ledger": lambda s, d: studies.ledger(trades(s, d).withColumn("net", F.greatest(F.least("net", F.lit(0.5)), F.lit(-0.5))), "net", ["side"], H),
+    "trade_ledger": lambda s, d: studies.ledger(trades(s, d), "net", ["side"], H),
     "yearly_results": lambda s, d: market.study(trades(s, d).withColumn("year", F.year("date")), "net", H, ["year"]),
     "author_persistence": lambda s, d: studies.persistence(returns(s, d)),
     "clustered_by_date": lambda s, d: studies.clustered(trades(s, d), "net", ["side"]),
@@ -166,11 +166,11 @@ def oracle_sql() -> dict[str, str]:
         "directional_excess": v(" SELECT id, round(ex + 1e-9, 6) AS ex FROM exc"),
         "excess_over_drift": v(""", dr AS (SELECT ticker, avg(nxt / close - 1) AS drift FROM ses GROUP BY 1), o AS (SELECT ticker, count(*) AS n, avg(ret) AS m FROM rets WHERE ret IS NOT NULL GROUP BY 1)
  SELECT ticker, n, round(m + 1e-9, 6) AS mean, round(drift + 1e-9, 6) AS drift, round(m - drift + 1e-9, 6) AS excess FROM o JOIN dr USING (ticker)"""),
-        "trade_ledger": v(""", c AS (SELECT * REPLACE (greatest(least(net, 0.5e0), -0.5e0) AS net) FROM trades), e AS (SELECT *, exp(sum(ln(1 + 0.1e0 * net)) OVER (PARTITION BY side ORDER BY date, id)) AS eq FROM c),
+        "trade_ledger": v(""", e AS (SELECT *, product(1 + 0.1e0 * net) OVER (PARTITION BY side ORDER BY date, id) AS eq FROM trades),
  p AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY side ORDER BY date, id)) AS peak FROM e)
  SELECT side, count(*) AS n, round(avg(net) * 100 + 1e-9, 4) AS net, round(100 * avg(CASE WHEN net > 0 THEN 1.0e0 ELSE 0 END) + 1e-9, 2) AS win, round(avg(net) / (stddev_pop(net) / sqrt(count(*))) + 1e-9, 4) AS t,
  round(sum(net) FILTER (WHERE net > 0) / -sum(net) FILTER (WHERE net <= 0) + 1e-9, 4) AS pf, round(avg(net) / stddev_pop(net) * sqrt(50.4) + 1e-9, 4) AS sharpe, round(max((peak - eq) / peak) * 100 + 1e-9, 4) AS maxdd,
- round((exp(sum(ln(1 + 0.1e0 * net))) - 1) * 100 + 1e-9, 3) AS total, round(avg(net) FILTER (WHERE net > 0) * 100 + 1e-9, 4) AS avgwin, round(-avg(net) FILTER (WHERE net <= 0) * 100 + 1e-9, 4) AS avgloss FROM p GROUP BY 1"""),
+ round((product(1 + 0.1e0 * net) - 1) * 100 + 1e-9, 3) AS total, round(avg(net) FILTER (WHERE net > 0) * 100 + 1e-9, 4) AS avgwin, round(-avg(net) FILTER (WHERE net <= 0) * 100 + 1e-9, 4) AS avgloss FROM p GROUP BY 1"""),
         "yearly_results": v(f" SELECT year(date) AS year, {_STUDY}, round(avg(net) / stddev_pop(net) * sqrt(50.4) + 1e-9, 4) AS sharpe FROM trades GROUP BY 1 HAVING count(*) >= 2"),
         "author_persistence": v(""", c AS (SELECT author, ret, row_number() OVER (PARTITION BY author ORDER BY date, id) AS i, count(*) OVER (PARTITION BY author) AS n FROM rets WHERE ret IS NOT NULL),
  p AS (SELECT author, avg(ret) FILTER (WHERE i <= n // 2) AS p1, avg(ret) FILTER (WHERE i > n // 2) AS p2 FROM c WHERE n >= 20 GROUP BY 1),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import fulltext, graph, market, mentions, posts, trades
-from pulsegrid.plans import catalog, services
+from pulsegrid.operators import fulltext, graph, lookups, market, mentions, posts, trades
+from pulsegrid.plans import board, catalog, services
 from pulsegrid.sources import fixtures as S
 
 #: Draws of the null, as in the reference's random_null.
@@ -42,7 +42,7 @@ QUERIES = {
     "phrase_search": lambda s, d: fulltext.phrase_search(S.posts(s, d), ["title", "selftext"], '"of the"'),
     "reply_edges": lambda s, d: posts.reply_edges(S.comments(s, d), S.posts(s, d)),
     "reply_pagerank": lambda s, d: graph.pagerank(posts.reply_edges(S.comments(s, d), S.posts(s, d)), rounds=100, tolerance=1e-6),
-    "cooccurrence_lift": lambda s, d: mentions.cooccurrence(S.mentions(s, d), 15, 3, 1.3),
+    "cooccurrence_lift": lambda s, d: mentions.cooccurrence(lookups.threads(board._threaded(s, d), S.comments(s, d)), 15, 3, 1.3),
     "lead_lag": lambda s, d: graph.lead_lag(S.mentions(s, d), lags=5, least=0.2, min_mentions=10),
 }
 
@@ -89,11 +89,11 @@ def oracle_sql() -> dict[str, str]:
  SELECT id, {r('greatest(1e-6, ln((n - hits + 0.5e0) / (hits + 0.5e0))) * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * l / mean))', 6)} AS score FROM h, s WHERE f > 0 ORDER BY 2 DESC, 1 LIMIT 50""", "posts"),
         "reply_edges": v(""", a AS (SELECT 't1_' || comment_id AS parent_id, author FROM comments UNION ALL SELECT 't3_' || id, author FROM posts)
  SELECT c.author AS src, a.author AS dst, count(*) AS weight FROM comments c JOIN a USING (parent_id) WHERE c.author <> a.author GROUP BY 1, 2""", "comments", "posts"),
-        "cooccurrence_lift": v(f""", t AS (SELECT DISTINCT author, CAST(created_utc AS DATE) AS d, ticker FROM mentions),
- c AS (SELECT * FROM t WHERE (author, d) IN (SELECT (author, d) FROM t GROUP BY author, d HAVING count(*) <= 15)),
- q AS (SELECT ticker, count(*) AS f FROM c GROUP BY 1), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT author, d FROM c)),
- p AS (SELECT a.ticker AS a, b.ticker AS b, count(*) AS c FROM c a JOIN c b ON a.author = b.author AND a.d = b.d AND a.ticker < b.ticker GROUP BY 1, 2 HAVING count(*) >= 3)
- SELECT a, b, c, {r('c * n / CAST(x.f * y.f AS DOUBLE)', 3)} AS lift FROM p JOIN q x ON a = x.ticker JOIN q y ON b = y.ticker, n WHERE c * n / CAST(x.f * y.f AS DOUBLE) >= 1.3""", "mentions"),
+        "cooccurrence_lift": v(f""", t AS (SELECT DISTINCT thread, ticker FROM ({board._THREADS}) WHERE thread IS NOT NULL),
+ c AS (SELECT * FROM t WHERE thread IN (SELECT thread FROM t GROUP BY thread HAVING count(*) <= 15)),
+ q AS (SELECT ticker, count(*) AS f FROM c GROUP BY 1), n AS (SELECT count(DISTINCT thread) AS n FROM c),
+ p AS (SELECT a.ticker AS a, b.ticker AS b, count(*) AS c FROM c a JOIN c b ON a.thread = b.thread AND a.ticker < b.ticker GROUP BY 1, 2 HAVING count(*) >= 3)
+ SELECT a, b, c, {r('c * n / CAST(x.f * y.f AS DOUBLE)', 3)} AS lift FROM p JOIN q x ON a = x.ticker JOIN q y ON b = y.ticker, n WHERE c * n / CAST(x.f * y.f AS DOUBLE) >= 1.3""", "mentions", "comments"),
         "lead_lag": v(f""", d AS (SELECT ticker, CAST(created_utc AS DATE) AS date, count(*) AS x FROM mentions GROUP BY 1, 2), k AS (SELECT ticker FROM d GROUP BY 1 HAVING sum(x) >= 10),
  o AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM d)),
  g AS (SELECT k.ticker, ord, CAST(coalesce(x, 0) AS DOUBLE) AS x FROM k CROSS JOIN o LEFT JOIN d ON d.ticker = k.ticker AND d.date = o.date),

@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import lexicon
 from pulsegrid.functions import text as T
-from pulsegrid.functions import valence
 from pulsegrid.functions.numeric import r
 from pulsegrid.operators import posts as P
 
@@ -33,11 +33,8 @@ class SentimentTagger(Plugin):
     """Adds sentiment_score and sentiment_label to posts and comments."""
 
     name, description = "sentiment_tagger", "score and label of the lexicon sentiment"
-    good = [w for w, v in valence.GENERAL.items() if v > 0]
-    bad = [w for w, v in valence.GENERAL.items() if v < 0]
-
     def _tagged(self, rows: DataFrame, columns: list[str]) -> DataFrame:
-        score = T.lexicon_score(T.words(F.concat_ws(" ", *columns)), self.good, self.bad, valence.STRONGER)
+        score = T.lexicon_score(T.words(F.concat_ws(" ", *columns)), lexicon.POSITIVE, lexicon.NEGATIVE, lexicon.INTENSIFIERS)
         return rows.withColumn("__s", score).withColumns({"sentiment_score": r(F.col("__s"), 3), "sentiment_label": T.label(F.col("__s"))}).drop("__s")
 
     def process_posts(self, posts: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text as T
-from pulsegrid.operators import features, market, posts
+from pulsegrid.operators import features, market, posts, signals, studies
 
 D = dt.date
 
@@ -55,3 +56,26 @@ def test_tickers_and_lexicon(spark):
     df = spark.createDataFrame([("very good x",), ("good very",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(T.lexicon_score(w, ["good"], ["bad"], ["very"])).collect()]
     assert got == [1.0, 1.0, 0.0, 0.0]
+
+
+def test_ledger_of_losses_beyond_the_whole_equity(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}", i, float(x)) for i, x in enumerate(rng.choice([0.5, -0.4, 2.0, -12.0, -30.0, -10.0], 150, p=[0.4, 0.3, 0.2, 0.05, 0.04, 0.01]))]
+    rows += [("b", f"2024-01-{1 + i:02d}", i, x) for i, x in enumerate((-12.0, 0.1, -12.0, 0.1, 3.0))]
+    df = spark.createDataFrame(rows, "side string, date string, id long, net double").withColumn("date", F.to_date("date"))
+    for got in studies.ledger(df, "net", ["side"], 10).collect():
+        eq, peak, worst = 1.0, 1.0, 0.0
+        for x in (r[3] for r in rows if r[0] == got.side):
+            eq *= 1 + 0.1 * x
+            peak = max(peak, eq)
+            worst = max(worst, (peak - eq) / peak)
+        assert abs(got.maxdd - worst * 100) < 1e-3 * max(1, worst) and abs(got.total - (eq - 1) * 100) < 2e-3 * max(1, abs(eq))
+
+
+def test_coordination_of_nobody(spark):
+    rows = [("X", None, "2024-01-01 00:00:00", "Same  Text\n"), ("X", None, "2024-01-01 00:10:00", " same text"), ("Y", "u1", "2024-01-01 00:00:00", None), ("Y", None, None, "")]
+    df = spark.createDataFrame(rows, "ticker string, author string, at string, text string").select("ticker", "author", F.to_timestamp("at").alias("created_utc"), "text")
+    ages = spark.createDataFrame([("u1", 5.0)], "username string, account_age_days double")
+    got = {r.ticker: r for r in signals.coordination(df, ages).collect()}
+    assert (got["X"].authors, got["X"].per_author, got["X"].duplicate, got["X"].cluster) == (0, 2.0, 1.0, 0.0)
+    assert (got["Y"].authors, got["Y"].n, got["Y"].duplicate, got["Y"].fresh) == (1, 2, 0.0, 1.0)

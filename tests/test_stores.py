@@ -18,7 +18,7 @@ from pulsegrid.functions import valence
 from pulsegrid.operators import communities, draws, fulltext, index
 from pulsegrid.plans import stores
 from pulsegrid.sources import fixtures as S
-from pulsegrid.sources import markup, replies, tables
+from pulsegrid.sources import cursor, markup, replies, tables
 from pulsegrid.streaming import state
 from tests.parity import differences
 
@@ -358,6 +358,33 @@ def test_a_second_sample_adds_nothing(spark):
     assert [str(r.date) for r in draws.sampled_days(df, left, 100).collect()] == ["2024-01-02"]
 
 
+def test_cursor_stops_and_splits_alike(spark, tmp_path):
+    asked = []
+
+    def pages(rows):
+        def fetch(before, limit):
+            asked.append(before)
+            return sorted((r for r in rows if r["created"] < before), key=lambda r: -r["created"])[:limit]
+
+        return fetch
+
+    rows = [{"id": i, "created": 10 * i} for i in range(10)]
+    assert [r["id"] for r in cursor.walk(pages(rows), 1000, 0, 3)] == list(range(9, -1, -1)) and asked == [1000, 70, 40, 10]
+    asked.clear()
+    assert [r["id"] for r in cursor.walk(pages(rows), 1000, 45, 3)] == [9, 8, 7, 6, 5] and len(asked) == 2  # the cutoff
+    assert list(cursor.walk(lambda before, limit: [], 1000, 0, 3)) == []
+    stuck = [{"id": 1, "created": 2000}]
+    assert len(list(cursor.walk(lambda before, limit: stuck, 1000, 0, 3))) == 1  # nothing older than asked for: no progress
+    start = 1_672_531_200  # 2023-01-01
+    data = [(str(i), start + (i * 7919) % (365 * 86_400), "a", None) for i in range(800)] + [(f"t{i}", start + 5 * 86_400, "b", "tie") for i in range(40)]
+    cursor.write_store(spark.createDataFrame(data, "id string, created long, author string, body string"), str(tmp_path / "s"))
+    want = sorted(r[0] for r in data if r[1] < start + 334 * 86_400)
+    for each, parts in ((12, 1), (1, 11)):
+        got = cursor.read_archive(spark, str(tmp_path / "s"), "2023-01-01", "2023-12-01", each, 25)
+        assert got.rdd.getNumPartitions() == parts and sorted(r.id for r in got.collect()) == want
+    assert cursor.read_archive(spark, str(tmp_path / "s"), "2020-01-01", "2020-02-01").count() == 0
+
+
 class Loud(plugins.Plugin):
     name = "loud"
 

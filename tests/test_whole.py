@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text as T
-from pulsegrid.operators import fulltext, graph, mentions, posts
-from pulsegrid.plans import whole
+from pulsegrid.operators import fulltext, graph, lookups, mentions, posts
+from pulsegrid.plans import board, whole
 from pulsegrid.sources import fixtures as S
 from tests.parity import differences
 
@@ -113,12 +113,10 @@ def test_pagerank_settles(spark):
 
 
 def test_threads_of_up_to_fifteen_tickers_count(spark):
-    m = S.mentions(spark, SF).select("author", "created_utc", "ticker")
-    sizes = m.groupBy("author", F.to_date("created_utc")).agg(F.countDistinct("ticker").alias("k"))
-    assert sizes.where("k between 7 and 15").count() > 0
-    rows = [(f"u{i}", "2024-01-01 00:00:00", f"T{k}") for i in range(3) for k in range(15)] + [("v", "2024-01-01 00:00:00", f"X{k}") for k in range(16)]
-    df = spark.createDataFrame(rows, "author string, at string, ticker string").select("author", F.col("at").cast("timestamp").alias("created_utc"), "ticker")
-    assert mentions.cooccurrence(df, 15, 3, 1.0).count() == 15 * 14 // 2
+    m = lookups.threads(board._threaded(spark, SF), S.comments(spark, SF))
+    assert m.groupBy("thread").agg(F.countDistinct("ticker").alias("k")).where("k between 7 and 15").count() > 0
+    rows = [(f"u{i}", f"T{k}") for i in range(3) for k in range(15)] + [("v", f"X{k}") for k in range(16)]
+    assert mentions.cooccurrence(spark.createDataFrame(rows, "thread string, ticker string"), 15, 3, 1.0).count() == 15 * 14 // 2
 
 
 def test_lead_lag_takes_every_ticker_with_enough_mentions(spark):
