@@ -14,18 +14,15 @@ def _trailing(days: int):
 
 
 def feature_daily(m: DataFrame, authors: DataFrame, min_total: int = 20) -> DataFrame:
-    """One row per ticker and active day. Authors are summed first, so breadth, concentration and HHI come from one pass."""
-    busy = m.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_total).select("ticker")
-    rows = m.join(busy, "ticker", "left_semi").join(authors, F.col("author") == F.col("username"), "left")
-    by_author = rows.groupBy("ticker", F.to_date("created_utc").alias("date"), "author").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.sum("sentiment_score").alias("s"),
-        count_if(F.col("account_age_days") <= 365).alias("young"),
-        count_if(F.col("account_status").isin("deleted", "suspended")).alias("gone"),
-    )
+    """One row per ticker and active day of tickers with at least `min_total` mentions in all. Mentions are summed by author first, so
+    breadth, concentration and HHI come from one pass, the authors' table meets these sums only, and the totals come from the windows."""
+    by_author = m.groupBy("ticker", F.to_date("created_utc").alias("date"), "author").agg(F.count(F.lit(1)).alias("c"), F.sum("sentiment_score").alias("s"))
+    known = authors.select("username", (F.col("account_age_days") <= 365).alias("young"), F.col("account_status").isin("deleted", "suspended").alias("gone"))
+    by_author = by_author.join(known, F.col("author") == F.col("username"), "left")
     daily = by_author.groupBy("ticker", "date").agg(
-        F.sum("c").cast("long").alias("mentions"), F.count(F.lit(1)).alias("breadth"), F.max("c").alias("top"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum("s").alias("s"), F.sum("young").alias("young"), F.sum("gone").alias("gone")
-    )
+        F.sum("c").cast("long").alias("mentions"), F.count(F.lit(1)).alias("breadth"), F.max("c").alias("top"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum("s").alias("s"),
+        F.sum(F.when(F.col("young"), F.col("c")).otherwise(0)).alias("young"), F.sum(F.when(F.col("gone"), F.col("c")).otherwise(0)).alias("gone"),
+    )
     n = F.col("mentions").cast("double")
     daily = daily.withColumns({"day": F.date_diff("date", F.lit("1970-01-01").cast("date")), "sentiment": F.col("s") / n})
     w7, w14, all_days = _trailing(7), _trailing(14), W.partitionBy("ticker").orderBy("day")
@@ -35,12 +32,14 @@ def feature_daily(m: DataFrame, authors: DataFrame, min_total: int = 20) -> Data
             "z": ratio(n - F.avg("mentions").over(w14), r(F.stddev_pop("mentions").over(w14), 6)),
             "delta": F.col("sentiment") - F.avg("sentiment").over(w7),
             "first": F.min("date").over(W.partitionBy("ticker")),
+            "total": F.sum("mentions").over(W.partitionBy("ticker")),
         }
     )
+    f = f.withColumn("accel", F.col("vel") - F.lag("vel").over(all_days)).where(F.col("total") >= min_total)
     return f.select(
         "ticker", "date", "mentions", "breadth",
         r(n / F.col("breadth"), 4).alias("per_author"), r(F.col("top") / n, 4).alias("concentration"), r(F.col("squares") / (n * n), 4).alias("hhi"),
-        r(F.col("sentiment"), 4).alias("sentiment"), r(F.col("vel"), 4).alias("vel"), r(F.col("vel") - F.lag("vel").over(all_days), 4).alias("accel"),
+        r(F.col("sentiment"), 4).alias("sentiment"), r(F.col("vel"), 4).alias("vel"), r(F.col("accel"), 4).alias("accel"),
         r(F.col("z"), 4).alias("mentions_z"), r(F.col("delta"), 4).alias("sent_delta"), r(F.col("young") / n, 4).alias("young_frac"), r(F.col("gone") / n, 4).alias("gone_frac"),
         F.date_diff("date", "first").cast("long").alias("novelty_days"),
     )

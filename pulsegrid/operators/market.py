@@ -25,9 +25,8 @@ def as_of(events: DataFrame, series: DataFrame, columns: list[str], strictly_aft
     kept = [c for c in events.columns if c not in ("ticker", "date")]
     a = series.select("ticker", "date", keep.alias("s"), F.lit(0).alias("kind"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in kept])
     b = events.select("ticker", "date", F.lit(None).cast(a.schema["s"].dataType).alias("s"), F.lit(1).alias("kind"), *kept)
+    # Going back in time, the sessions met before an event are later; those of its own day come after it.
     w = W.partitionBy("ticker").orderBy(F.col("date").desc(), F.col("kind").desc()) if strictly_after else W.partitionBy("ticker").orderBy("date", "kind")
-    if strictly_after:  # going back in time, the sessions met before an event are later; those of its own day come after it
-        w = W.partitionBy("ticker").orderBy(F.col("date").desc(), F.col("kind").desc())
     found = F.last("s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     return a.unionByName(b).withColumn("found", found).where("kind = 1").select("ticker", "date", *kept, "found.*")
 
