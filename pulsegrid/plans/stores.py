@@ -12,7 +12,7 @@ from pulsegrid.operators import communities, draws, index, lookups, posts
 from pulsegrid.operators.steps import folder
 from pulsegrid.plans import board, studies, whole
 from pulsegrid.sources import fixtures as S
-from pulsegrid.sources import cursor, markup, replies, tables
+from pulsegrid.sources import cursor, files, markup, replies, tables
 from pulsegrid.streaming import state
 
 ALERTS = ["tion of", "zzz", "The "]
@@ -177,6 +177,45 @@ def _archive(s, d):
     return cursor.read_archive(s, path, "1993-01-01", "1998-07-15", 3, 50)
 
 
+def _folders(s, d):
+    """Posts in a folder of CSV for each community, one without the column of types; searched in all of them."""
+    root, p = _place(s, "csv"), S.posts(s, d).select("id", "subreddit", "title", "selftext", "score", "post_type", "author")
+    for name in (f"src{i}" for i in range(20)):
+        part = p.where(F.col("subreddit") == name).drop("subreddit")
+        (part.drop("post_type") if name == "src2" else part).write.options(**files.CSV).csv(f"{root}/{name}/posts.csv")
+    out = files.search(files.read_folders(s, root), "AN", min_score=20, max_score=80, limit=None)
+    return out.select(F.col("id").cast("long").alias("id"), "source", F.col("score").cast("long").alias("score"), "post_type", F.sha2("selftext", 256).alias("h"))
+
+
+def _appended(s, d):
+    """Posts added to a file in three overlapping steps."""
+    path, p = _place(s, "csv"), S.posts(s, d).select("id", "author", "score", "selftext")
+    for rule in ("score < 60", "score >= 30", "score is not null"):
+        files.append_csv(p.where(rule), path, "id")
+    got = s.read.options(**files.CSV).csv(path)
+    return got.select(F.col("id").cast("long").alias("id"), "author", F.col("score").cast("long").alias("score"), F.sha2("selftext", 256).alias("h"))
+
+
+def _exported(s, d):
+    """Tables with all columns as text are exported with their kinds; what is listed is what was written."""
+    out, p = _place(s, "export"), S.posts(s, d).select("id", "subreddit", F.col("score").cast("string").alias("score"), F.date_format("created_utc", "yyyy-MM-dd HH:mm:ss").alias("created_utc"), F.when(F.col("id") % 2 == 0, "true").alias("has_media"))
+    written = files.export({"posts": p, "comments": S.comments(s, d), "nothing": p.limit(0), "absent": None}, out, "20240131")
+    total = s.read.parquet(f"{out}/db_posts_20240131").agg(F.sum("score").cast("long").alias("score"), F.sum(F.col("has_media").cast("int")).cast("long").alias("media"), F.max("created_utc").cast("timestamp_ntz").alias("last"))
+    listed = files.exported(s, out).select(F.regexp_extract("name", "db_(.*)_20240131", 1).alias("name"), (F.col("bytes") > 0).alias("there"))
+    return written.select("name", "rows").join(listed, "name").crossJoin(F.broadcast(total))
+
+
+def _media(s, d):
+    n = F.col("doc_id")
+    url = F.when(n % 5 == 0, "https://i.redd.it/x.PNG?s=1").when(n % 5 == 1, "https://youtu.be/x").when(n % 5 == 2, "https://h/a.gif").otherwise("https://h/x")
+    video = F.struct(F.struct(F.concat(F.lit("https://v/"), n.cast("string"), F.lit("?a=1")).alias("fallback_url")).alias("reddit_video"))
+    preview = F.struct(F.when(n % 3 == 0, F.array(F.struct(F.struct(F.lit("https://p/1?x=1&amp;y=2").alias("url")).alias("source")))).alias("images"))
+    items = F.struct(F.array(F.struct(F.lit("m2").alias("media_id")), F.struct(F.lit("gone").alias("media_id")), F.struct(F.lit("m1").alias("media_id"))).alias("items"))
+    known = F.create_map(*[x for k in ("m1", "m2") for x in (F.lit(k), F.struct(F.struct(F.concat(F.lit(f"https://g/{k}?&amp;"), F.coalesce("source", F.lit("none"))).alias("u")).alias("s")))])
+    line = F.to_json(F.struct(n.cast("string").alias("id"), url.alias("url"), (n % 4 == 0).alias("is_video"), (n % 7 == 0).alias("is_gallery"), video.alias("media"), preview.alias("preview"), items.alias("gallery_data"), known.alias("media_metadata")))
+    return files.media_urls(S.table(s, d, "documents").select(line.alias("value"))).select("id", *[F.array_join(c, " ").alias(c) for c in ("images", "videos", "galleries")])
+
+
 def _kept(s, d):
     c = S.comments(s, d).withColumn("created_utc", F.col("depth"))
     p = S.posts(s, d).select("id", F.when(F.col("id") % 11 == 0, 600).otherwise(F.col("num_comments")).alias("num_comments"))
@@ -213,6 +252,10 @@ QUERIES = {
     "sampled_days": _sampled,
     "kept_comments": _kept,
     "archive_by_cursor": _archive,
+    "csv_folders_search": _folders,
+    "csv_append": _appended,
+    "parquet_export": _exported,
+    "media_urls": _media,
     "plugin_chain": _plugged,
 }
 
@@ -261,6 +304,14 @@ def oracle_sql() -> dict[str, str]:
  c AS (SELECT c.*, mega FROM comments c JOIN t ON post_id = id WHERE mega OR id % 2 = 0 QUALIFY NOT mega OR row_number() OVER (PARTITION BY post_id ORDER BY depth DESC, comment_id DESC) <= 2),
  k AS (SELECT post_id, score FROM c WHERE body NOT IN ('', '[removed]', '[deleted]') AND (score >= CASE WHEN mega THEN 500 ELSE 300 END OR contains(body, 'la')))
  SELECT id AS post_id, count(post_id) AS kept, CAST(sum(score) AS BIGINT) AS score FROM t LEFT JOIN k ON id = post_id GROUP BY 1""", "posts", "comments"),
+        "csv_folders_search": v("SELECT id, subreddit AS source, score, CASE WHEN subreddit <> 'src2' THEN post_type END AS post_type, sha256(selftext) AS h FROM posts WHERE score BETWEEN 20 AND 80 AND (contains(lower(title), 'an') OR contains(lower(selftext), 'an'))", "posts"),
+        "csv_append": v("SELECT id, author, score, sha256(selftext) AS h FROM posts", "posts"),
+        "parquet_export": v(""", t AS (SELECT CAST(sum(score) AS BIGINT) AS score, count(*) FILTER (WHERE id % 2 = 0) AS media, max(date_trunc('second', created_utc)) AS last FROM posts),
+ n AS (SELECT 'posts' AS name, count(*) AS rows FROM posts UNION ALL SELECT 'comments', count(*) FROM comments) SELECT n.*, true AS there, t.* FROM n, t""", "posts", "comments"),
+        "media_urls": """SELECT CAST(doc_id AS VARCHAR) AS id,
+ array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'https://i.redd.it/x.PNG?s=1' WHEN doc_id % 5 = 2 THEN 'https://h/a.gif' END, CASE WHEN doc_id % 5 = 0 THEN 'https://i.redd.it/x.PNG?s=1' END, CASE WHEN doc_id % 3 = 0 THEN 'https://p/1?x=1&y=2' END], lambda u: u IS NOT NULL), ' ') AS images,
+ array_to_string(list_filter([CASE WHEN doc_id % 4 = 0 THEN 'https://v/' || doc_id END, CASE WHEN doc_id % 5 = 1 THEN 'https://youtu.be/x' END], lambda u: u IS NOT NULL), ' ') AS videos,
+ CASE WHEN doc_id % 7 = 0 THEN 'https://g/m2?&' || coalesce(source, 'none') || ' https://g/m1?&' || coalesce(source, 'none') ELSE '' END AS galleries FROM documents""",
         "archive_by_cursor": """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(epoch(o_orderdate) AS BIGINT) AS created, 'a' || (o_custkey % 40) AS author, o_orderpriority AS body
  FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' AND o_orderdate < TIMESTAMP '1998-07-15'""",
         "plugin_chain": v(f""", p AS (SELECT *, '/r/' || (id - id % 3) AS permalink FROM posts QUALIFY row_number() OVER (PARTITION BY id - id % 3 ORDER BY id) = 1),

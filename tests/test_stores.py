@@ -18,7 +18,7 @@ from pulsegrid.functions import valence
 from pulsegrid.operators import communities, draws, fulltext, index
 from pulsegrid.plans import stores
 from pulsegrid.sources import fixtures as S
-from pulsegrid.sources import cursor, markup, replies, tables
+from pulsegrid.sources import cursor, files, markup, replies, tables
 from pulsegrid.streaming import state
 from tests.parity import differences
 
@@ -385,6 +385,32 @@ def test_cursor_stops_and_splits_alike(spark, tmp_path):
     assert cursor.read_archive(spark, str(tmp_path / "s"), "2020-01-01", "2020-02-01").count() == 0
 
 
+def test_folders_of_csv(spark, tmp_path):
+    assert files.read_folders(spark, str(tmp_path / "none")) is None
+    for name, text in (("a", 'id,title,score,created_utc\n1,"two\nlines, ""quoted""",5,2024-01-02\n2,x y,many,2024-02-01\n'), ("b", "id,title\n3,(x.y)\n"), ("empty", None)):
+        (tmp_path / "d" / name).mkdir(parents=True)
+        if text:
+            (tmp_path / "d" / name / "posts.csv").write_text(text)
+    rows = files.read_folders(spark, str(tmp_path / "d"))
+
+    def ids(**k):
+        return [r.id for r in files.search(rows, **k).collect()]
+
+    assert {(r.id, r.source, r.title) for r in rows.collect()} == {("1", "a", 'two\nlines, "quoted"'), ("2", "a", "x y"), ("3", "b", "(x.y)")}
+    assert ids()[0] == "1" and len(ids()) == 3 and len(ids(limit=2)) == 2 and ids(ascending=True)[-1] == "1"
+    assert ids(query="(X.Y)") == ["3"] and sorted(ids(query="X.Y", regex=True)) == ["2", "3"] and ids(query="x", column="title", author="nobody", post_type="t") != []
+    assert ids(min_score=1) == ["1"] and ids(max_score=4) == [] and sorted(ids(start="2024-01-15")) == ["2"] and ids(end="2024-01-15") == ["1"]
+    new = spark.createDataFrame([("k1", "b"), ("k1", "a"), (None, "z"), ("k2", 'say "hi"\nthere')], "k string, t string")
+    for _ in range(2):
+        files.append_csv(new, str(tmp_path / "out"), "k")
+    assert sorted((r.k, r.t) for r in spark.read.options(**files.CSV).csv(str(tmp_path / "out")).collect()) == [("k1", "a"), ("k2", 'say "hi"\nthere')]
+    assert files.exported(spark, str(tmp_path / "nowhere")).count() == 0
+    events = spark.createDataFrame([("s", -1, "B", "2024-01-02"), ("s", -1, "A", "2024-01-03"), ("s", -1, "A", "2024-01-03")], "strategy string, side int, ticker string, d string").withColumn("date", F.to_date("d"))
+    files.signal_dates(events, str(tmp_path / "sig"))
+    lines = [x for f in sorted((tmp_path / "sig").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("strategy")]
+    assert lines == ["s,-1,A,2024-01-03", "s,-1,B,2024-01-02"]
+
+
 class Loud(plugins.Plugin):
     name = "loud"
 
