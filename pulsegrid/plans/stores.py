@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import facade, plugins
 from pulsegrid.functions import valence
-from pulsegrid.operators import communities, draws, index, lookups, posts
+from pulsegrid.operators import communities, draws, features, index, lookups, macro, posts
 from pulsegrid.operators.steps import folder
 from pulsegrid.plans import board, studies, whole
 from pulsegrid.sources import fixtures as S
@@ -216,6 +216,23 @@ def _media(s, d):
     return files.media_urls(S.table(s, d, "documents").select(line.alias("value"))).select("id", *[F.array_join(c, " ").alias(c) for c in ("images", "videos", "galleries")])
 
 
+def _market(s, d):
+    """The market's days from the orders' calls, with their percentile over 90 days and the froth of days on which a ticker is called twice."""
+    c = studies.calls(s, d)
+    m = c.select("ticker", F.lit("post").alias("source_type"), "author", F.col("date").cast("timestamp_ntz").alias("created_utc"), F.col("sentiment").alias("sentiment_score"))
+    daily = features.aggregate_daily(m, S.authors(s, d)).select("date", "total_mentions", "tickers", "bull_frac", "bear_frac", "rrai_raw")
+    twice = c.groupBy("date", "ticker").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("date").agg(F.count(F.lit(1)).alias("froth"))
+    pct = features.trailing_percentile(daily, 90, 30, 3).select("date", "rrai_pct")
+    return macro.with_froth(daily, twice).join(pct, "date")
+
+
+def _capitulations(s, d):
+    o = S.table(s, d, "orders")
+    vix = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / (100.0 * F.count(F.lit(1))) / 9000, 6).alias("close")).where(F.dayofmonth("date") % 3 > 0)
+    volume = S.table(s, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("volume"))
+    return macro.capitulation_sets(_market(s, d), vix, volume, studies._spy(s, d))
+
+
 def _kept(s, d):
     c = S.comments(s, d).withColumn("created_utc", F.col("depth"))
     p = S.posts(s, d).select("id", F.when(F.col("id") % 11 == 0, 600).otherwise(F.col("num_comments")).alias("num_comments"))
@@ -252,6 +269,8 @@ QUERIES = {
     "sampled_days": _sampled,
     "kept_comments": _kept,
     "archive_by_cursor": _archive,
+    "macro_candidates": lambda s, d: macro.candidates(_market(s, d)),
+    "capitulation_sets": _capitulations,
     "csv_folders_search": _folders,
     "csv_append": _appended,
     "parquet_export": _exported,
@@ -272,7 +291,28 @@ def oracle_sql() -> dict[str, str]:
  o_orderkey % 5 <> 0 AS xml, o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
     status = "CASE WHEN value > 60 THEN 'suspended' WHEN value < 10 THEN 'deleted' ELSE 'active' END"
     words = whole._ASCII.format(x="coalesce(title, '') || ' ' || coalesce(selftext, '')")
+    days = f"""c AS ({studies._CALLS}), a AS (SELECT date, count(*) AS n, count(DISTINCT ticker) AS tickers, round(avg(CASE WHEN sentiment > 0.3 THEN 1.0e0 ELSE 0 END) + 1e-9, 4) AS bull,
+ round(avg(CASE WHEN sentiment < 0 THEN 1.0e0 ELSE 0 END) + 1e-9, 4) AS bear FROM c GROUP BY 1), b AS (SELECT *, round(bull - bear + 1e-9, 4) AS raw FROM a),
+ l AS (SELECT date, raw, list(raw) OVER (ORDER BY date ROWS 89 PRECEDING) AS seen FROM b WHERE n >= 3),
+ p AS (SELECT date, CASE WHEN len(seen) >= 30 THEN round(len(list_filter(seen, lambda x: x <= raw)) / CAST(len(seen) AS DOUBLE) + 1e-9, 4) END AS pct FROM l),
+ f AS (SELECT date, count(*) AS froth FROM (SELECT date, ticker FROM c GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
+ day AS (SELECT b.*, pct, coalesce(froth, 0) / CAST(tickers AS DOUBLE) AS share FROM b LEFT JOIN p USING (date) LEFT JOIN f USING (date))"""
+    rank = "CASE WHEN len(list({x}) OVER w) >= 30 THEN len(list_filter(list({x}) OVER w, lambda q: q <= {x})) / CAST(len(list({x}) OVER w) AS DOUBLE) END"
     return {
+        "macro_candidates": f"""WITH {days}, r AS (SELECT date, pct, raw - lag(raw, 5) OVER (ORDER BY date) AS chg, {rank.format(x="share")} AS rf, {rank.format(x="bull")} AS rb, {rank.format(x="bear")} AS rr
+ FROM day WHERE pct IS NOT NULL WINDOW w AS (ORDER BY date ROWS 89 PRECEDING)),
+ k AS (SELECT date, unnest([CASE WHEN pct <= 0.15 THEN 'capitulation_long' END, CASE WHEN pct >= 0.85 THEN 'euphoria_short' END, CASE WHEN chg > 0.08 THEN 'rrai_up_momentum_long' END, CASE WHEN chg > 0.08 THEN 'rrai_up_fade_short' END,
+ CASE WHEN chg < -0.08 THEN 'rrai_down_momentum_short' END, CASE WHEN chg < -0.08 THEN 'rrai_down_fade_long' END, CASE WHEN rf >= 0.85 THEN 'froth_high_short' END, CASE WHEN rf >= 0.85 THEN 'froth_high_long' END,
+ CASE WHEN rr >= 0.85 THEN 'bear_extreme_long' END, CASE WHEN rb >= 0.85 THEN 'bull_extreme_short' END]) AS name FROM r)
+ SELECT name, CASE WHEN name LIKE '%long' THEN 1 ELSE -1 END AS side, date FROM k WHERE name IS NOT NULL""",
+        "capitulation_sets": S.with_views(f""", {days}, x AS (SELECT date, close FROM (SELECT CAST(o_orderdate AS DATE) AS date, round(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (100.0e0 * count(*)) / 9000, 6) AS close FROM orders GROUP BY 1) WHERE day(date) % 3 > 0),
+ v AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1),
+ z AS (SELECT date, round(CASE WHEN row_number() OVER (ORDER BY date) <= 10 THEN 0 ELSE (n - avg(n) OVER w) / CASE WHEN round(stddev_pop(n) OVER w, 9) = 0 THEN 1 ELSE stddev_pop(n) OVER w END END + 1e-9, 6) AS z FROM v WINDOW w AS (ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+ y AS (SELECT date, avg(close) AS close FROM prices_long GROUP BY 1),
+ u AS (SELECT date, row_number() OVER (ORDER BY date) > 200 AND round(close + 1e-9, 6) > round(avg(close) OVER s + 1e-9, 6) AND round(avg(close) OVER g + 1e-9, 6) >= round(avg(close) OVER s + 1e-9, 6) AS up
+ FROM y WINDOW s AS (ORDER BY date ROWS 199 PRECEDING), g AS (ORDER BY date ROWS 49 PRECEDING)),
+ e AS (SELECT day.date, x.close AS vix, coalesce(z, 0) >= 0.5 AS fear, coalesce(up, false) AS up FROM day ASOF LEFT JOIN x ON day.date >= x.date ASOF LEFT JOIN z ON day.date >= z.date ASOF LEFT JOIN u ON day.date >= u.date WHERE pct <= 0.15),
+ k AS (SELECT date, unnest(['baseline', CASE WHEN coalesce(vix, 0) >= 18 THEN 'vixgated' END, CASE WHEN fear THEN 'fear' END, CASE WHEN up THEN 'trend' END, CASE WHEN up AND fear THEN 'trendfear' END]) AS name FROM e) SELECT name, date FROM k WHERE name IS NOT NULL""", "prices_long"),
         "indexed_phrase_search": phrase,
         "streamed_phrase_search": phrase,
         "streamed_alerts": v("""SELECT * FROM (SELECT id, array_to_string(list_filter(['tion of', 'zzz', 'the '], lambda k: contains(lower(title || ' ' || selftext), k)), ',') AS matched FROM posts) WHERE matched <> ''""", "posts"),
