@@ -28,15 +28,16 @@ def words(text: Column, shortest: int = 1) -> Column:
 
 def lexicon_score(tokens: Column, positive: list[str], negative: list[str], intensifiers: list[str], boost: float = 1.5) -> Column:
     """clamp(5 * (positive - negative) / tokens): each hit counts 1, or `boost` right after an intensifier; 0 without tokens."""
-    before = F.concat(F.array(F.lit("")), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))))
 
-    def one(w: Column, prev: Column) -> Column:
-        weight = F.when(prev.isin(intensifiers), F.lit(boost)).otherwise(F.lit(1.0))
-        return F.when(w.isin(positive), weight).when(w.isin(negative), -weight).otherwise(F.lit(0.0))
+    def scored(t: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            weight = F.when(F.get(t, i - 1).isin(intensifiers), F.lit(boost)).otherwise(F.lit(1.0))
+            return F.when(w.isin(positive), weight).when(w.isin(negative), -weight).otherwise(F.lit(0.0))
 
-    total = F.aggregate(F.zip_with(tokens, before, one), F.lit(0.0), lambda s, x: s + x)
-    raw = 5.0 * total / F.nullif(F.size(tokens).cast("double"), F.lit(0.0))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(raw, F.lit(0.0))))
+        total = F.aggregate(F.transform(t, one), F.lit(0.0), lambda s, x: s + x)
+        return 5.0 * total / F.nullif(F.size(t).cast("double"), F.lit(0.0))
+
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(let(tokens, scored), F.lit(0.0))))
 
 
 def label(score: Column, band: float = 0.1) -> Column:
