@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import _shared as S
+from pulsegrid.llm import tokens as T
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -136,6 +137,7 @@ def _requests(words: int, ranges: Ranges):
         return _packed(out)
 
     def run(batches):
+        T.release()
         ids, sets, held = [], [], 0
         for b in batches:
             for i in range(b.num_rows):
