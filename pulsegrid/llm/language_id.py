@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import tokens
+
 #: Families of some languages (ISO 639-1), fixed values; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -134,6 +136,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     dice = F.pmod(F.xxhash64(F.lit(12), "key"), F.lit(1 << 30)) / float(1 << 30)
 
     def vectors(batches):
+        tokens.release()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 got = [features(t, bits) for t in b.column(1)[i : i + 256].to_pylist()]
@@ -177,6 +180,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     names = docs.columns
 
     def run(batches):
+        tokens.release()
         m = shared.value
         for b in batches:
             for i in range(0, b.num_rows, 1024):
