@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ GROWTH = "id long, num_comments long, refreshes long, at timestamp"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _fold(status, checked, changed, rows: list[tuple]) -> tuple:
+def _fold(status, checked, changed, rows: Iterable[tuple]) -> tuple:
     """The state after (at, status) rows in the order of their times: checked always, changed where the status differs."""
     for at, new in sorted(rows):
         changed = at if new != status or changed is None else changed
@@ -30,39 +30,67 @@ def _fold(status, checked, changed, rows: list[tuple]) -> tuple:
 class StatusTransitions(StatefulProcessor):
     """Stamps each author's status. Rows that may still be overtaken by earlier ones wait in a list; a timer settles them when the
     watermark has passed them, so the stamps are those of the order of time, whatever the order of arrival. The state as it stands,
-    with the waiting rows, is given out at every change."""
+    with the waiting rows, is given out at every change. An author's rows of a batch and a status wait as one entry of the list, and an
+    author has one timer, at the newest waiting row: a call or an entry for each row would cost more than all else."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.settled = handle.getValueState("settled", "status string, checked long, changed long")
-        self.waiting = handle.getListState("waiting", "at long, status string")
+        self.waiting = handle.getListState("waiting", "status string, at array<long>")
+        self.timer = handle.getValueState("timer", "at long")
 
     def _held(self) -> tuple:
         return tuple(self.settled.get()) if self.settled.exists() else (None, None, None)
 
-    def _settle(self, watermark_ms: int) -> None:
-        rows = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = [r for r in rows if r[0] // 1000 <= watermark_ms]
-        if due:
-            self.settled.update(_fold(*self._held(), due))
+    def _wait(self, rows: set[tuple], more: bool) -> None:
+        """These (at, status) rows wait: besides what waits already, or instead of it."""
+        by: dict = {}
+        for at, status in rows:
+            by.setdefault(status, []).append(at)
+        if more:
+            self.waiting.appendList(list(by.items()))
+        elif by:
+            self.waiting.put(list(by.items()))
+        else:
             self.waiting.clear()
-            left = [r for r in rows if r[0] // 1000 > watermark_ms]
-            if left:
-                self.waiting.put(left)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(at), status) for part in rows for at, status in zip(part["at_us"], part["status"], strict=True)]
-        self.waiting.appendList(new)
-        self._settle(timerValues.getCurrentWatermarkInMs())
-        for at in {at // 1000 + 1 for at, _ in new}:
+    def _settle(self, watermark_ms: int, new: set[tuple] = frozenset()) -> tuple:
+        """The state with all rows, after those that the watermark has passed are settled."""
+        old = {(at, r[0]) for r in self.waiting.get() for at in r[1]} if self.waiting.exists() else set()
+        rows = old | new
+        due = {r for r in rows if r[0] // 1000 <= watermark_ms}
+        state, left = self._held(), rows - due
+        if due:
+            state = _fold(*state, due)
+            self.settled.update(state)
+            self._wait(left, False)
+        elif new - old:
+            self._wait(new - old, True)
+        self._wake(max(at for at, _ in left) // 1000 + 1 if left else None)
+        return _fold(*state, left)
+
+    def _wake(self, at: int | None) -> None:
+        """The author's one timer is at this time."""
+        set_to = self.timer.get()[0] if self.timer.exists() else None
+        if at == set_to:
+            return
+        if set_to is not None:
+            self.handle.deleteTimer(set_to)
+        if at is None:
+            self.timer.clear()
+        else:
             self.handle.registerTimer(at)
-        rows = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
-        status, checked, changed = _fold(*self._held(), rows)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = {(int(at), status) for part in rows for at, status in zip(part["at_us"], part["status"], strict=True)}
+        status, checked, changed = self._settle(timerValues.getCurrentWatermarkInMs(), new)
         yield pd.DataFrame({"username": [key[0]], "status": [status], "checked_us": [checked], "changed_us": [changed]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()  # it is gone by itself
         self._settle(timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame({"username": [], "status": [], "checked_us": [], "changed_us": []}).astype({"username": "str", "status": "str", "checked_us": "int64", "changed_us": "int64"})
+        return iter(())
 
     def close(self) -> None:
         pass

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -180,6 +181,70 @@ def test_timers_settle_and_forget():
     assert state._fold("b", 1, 1, [(2, "b")]) == ("b", 2, 1)
 
 
+class _State:
+    """A value or list of a key's state, as far as the processor uses it; counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.calls += 1
+        return iter(self.held) if isinstance(self.held, list) else self.held
+
+    def update(self, x):
+        self.held = tuple(x)
+
+    def put(self, x):
+        self.held = list(x)
+
+    def appendList(self, x):  # noqa: N802
+        self.held = (self.held or []) + list(x)
+
+    def clear(self):
+        self.held = None
+
+
+def test_an_author_has_one_timer_and_few_entries():
+    class Handle:
+        timers, states, registered = set(), {}, 0
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.states.setdefault(name, _State())
+
+        getListState = getValueState  # noqa: N815
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+            self.registered += 1
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    rnd, handle = random.Random(3), Handle()
+    p = state.StatusTransitions()
+    p.init(handle)
+    rows = [(1000 * i, rnd.choice("ab")) for i in range(1, 3001)]
+    late = rnd.sample(rows, 3000)
+    give = lambda part, ms: next(p.handleInputRows(("u",), iter([pd.DataFrame({"at_us": [a for a, _ in part], "status": [x for _, x in part]})]), Times(ms)))
+    give(late[:2000], 0)
+    assert handle.registered == 1 and len(handle.states["waiting"].held) <= 2
+    assert tuple(give(late[2000:] + late[:50], 0).iloc[0])[1:] == state._fold(None, None, None, rows)
+    assert len(handle.timers) == 1 and handle.registered <= 2 and len(handle.states["waiting"].held) <= 4
+    more = [(1000 * i, "c") for i in range(2500, 3500)]
+    assert tuple(give(more, 2499).iloc[0])[1:] == state._fold(None, None, None, rows + more)
+    assert handle.states["settled"].held[1] == 2_499_000 and handle.timers == {3500}
+    handle.timers.clear()
+    assert not list(p.handleExpiredTimer(("u",), Times(3500), None)) and not handle.timers
+    assert handle.states["settled"].held == state._fold(None, None, None, rows + more) and not handle.states["waiting"].exists()
+
+
 def test_growth_and_alerts_of_a_replayed_stream(spark, tmp_path):
     rnd = random.Random(2)
     rows = [(rnd.randrange(5), rnd.randrange(50), 1_700_000_000 + 7200 * i) for i in range(90)]
