@@ -101,12 +101,12 @@ def credibility(mentions: DataFrame, activity: DataFrame, authors: DataFrame, pr
 
 
 def near_pairs(rows: DataFrame, seconds: int = 1800) -> DataFrame:
-    """(ticker, a, b) of authors a < b who mention a ticker within so many seconds of each other. Only each author's neighbours in slots of
-    time are joined: a mention meets those of its own and the next slot."""
-    at = rows.select("ticker", "author", F.unix_timestamp("created_utc").alias("at")).where("author is not null").distinct()
-    at = at.withColumn("slot", F.floor(F.col("at") / seconds))
+    """(ticker, a, b) of authors a < b who mention a ticker within so many seconds of each other, to the microsecond. Only each author's
+    neighbours in slots of time are joined: a mention meets those of its own and the next slot."""
+    at = rows.select("ticker", "author", F.unix_micros(F.col("created_utc").cast("timestamp")).alias("at")).where("author is not null").distinct()
+    at = at.withColumn("slot", F.floor(F.col("at") / (seconds * 1_000_000)))
     left = at.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1))).select("ticker", "slot", F.col("author").alias("x"), F.col("at").alias("t"))
-    both = left.join(at, ["ticker", "slot"]).where((F.col("x") != F.col("author")) & (F.abs(F.col("at") - F.col("t")) <= seconds))
+    both = left.join(at, ["ticker", "slot"]).where((F.col("x") != F.col("author")) & (F.abs(F.col("at") - F.col("t")) <= seconds * 1_000_000))
     return both.select("ticker", F.least("x", "author").alias("a"), F.greatest("x", "author").alias("b")).distinct()
 
 

@@ -72,6 +72,14 @@ def test_ledger_of_losses_beyond_the_whole_equity(spark):
         assert abs(got.maxdd - worst * 100) < 1e-3 * max(1, worst) and abs(got.total - (eq - 1) * 100) < 2e-3 * max(1, abs(eq))
 
 
+def test_near_pairs_count_parts_of_a_second(spark):
+    rows = [("T", "a", "2024-01-01 00:00:00.400"), ("T", "b", "2024-01-01 01:00:00.900"), ("T", "c", "2024-01-01 01:00:00.400"), ("T", "d", "2024-01-01 02:00:00.900001")]
+    df = spark.createDataFrame(rows, "ticker string, author string, at string")
+    for kind in ("timestamp", "timestamp_ntz"):
+        got = signals.near_pairs(df.withColumn("created_utc", F.col("at").cast(kind)), 3600)
+        assert {tuple(r) for r in got.collect()} == {("T", "a", "c"), ("T", "b", "c")}
+
+
 def test_coordination_of_nobody(spark):
     rows = [("X", None, "2024-01-01 00:00:00", "Same  Text\n"), ("X", None, "2024-01-01 00:10:00", " same text"), ("Y", "u1", "2024-01-01 00:00:00", None), ("Y", None, None, "")]
     df = spark.createDataFrame(rows, "ticker string, author string, at string, text string").select("ticker", "author", F.to_timestamp("at").alias("created_utc"), "text")
