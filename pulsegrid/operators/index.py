@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pulsegrid.functions.numeric import r
-from pulsegrid.functions.text import ascii_lower
+from pulsegrid.functions.text import ascii_lower, let
+from pulsegrid.operators.steps import forget, saved
 
 
 def tokens(columns: list[str]) -> Column:
@@ -59,17 +61,26 @@ class PhraseIndex:
     def _read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self._place(self.generation, table))
 
-    def _save(self, postings: DataFrame, lengths: DataFrame, generation: int, mode: str) -> None:
-        """The lengths come last: a document counts as indexed only when its postings are there."""
-        part = F.pmod(F.xxhash64("id"), F.lit(self.parts))
-        dealt = postings.repartition(self.buckets * self.parts, "bucket", part).sortWithinPartitions("bucket", "term", "id")
-        dealt.write.mode(mode).partitionBy("bucket").parquet(self._place(generation, "postings"))
+    def _save(self, postings: DataFrame, lengths: DataFrame, generation: int, mode: str, repeated: bool = False) -> None:
+        """The lengths come last: a document counts as indexed only when its postings are there. With `repeated`, of rows with one term
+        and id one is written; they are in one partition and side by side in it already."""
+        dealt = postings.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(self.parts))).repartition(self.buckets * self.parts, "bucket", "part")
+        if repeated:
+            same = W.partitionBy("bucket", "term", "id", "part").orderBy(F.lit(0))
+            dealt = dealt.withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1).drop("__n")
+        dealt.sortWithinPartitions("bucket", "term", "id").drop("part").write.mode(mode).partitionBy("bucket").parquet(self._place(generation, "postings"))
         lengths.write.mode(mode).parquet(self._place(generation, "lengths"))
 
     def _entries(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """A document's words are sorted with their places, and each run of a word is cut out: its postings need no shuffle."""
         rows = docs.select(F.col(self.id_col).alias("id"), tokens(self.columns).alias("w"))
-        each = rows.select("id", F.posexplode("w").alias("at", "term"))
-        postings = each.groupBy("term", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+
+        def cut(s: Column) -> Column:
+            begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i).otherwise(-1)), lambda i: i >= 0)
+            return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i)["term"].alias("term"), F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i)["at"].alias("positions"))))
+
+        pairs = F.sort_array(F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+        postings = rows.select("id", F.inline(let(pairs, cut)))
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         return postings.select("term", "id", "positions", bucket.alias("bucket")), rows.select("id", F.size("w").alias("len"))
 
@@ -79,16 +90,25 @@ class PhraseIndex:
         self._save(*self._entries(docs), found[-1] + 1 if found else 0, "overwrite")
 
     def append(self, docs: DataFrame) -> None:
-        """Adds the documents that are not in the index yet; a batch that is given again adds nothing."""
-        new = docs.join(self._read("lengths").select(F.col("id").alias("__id")), F.col(self.id_col) == F.col("__id"), "left_anti")
-        self._save(*self._entries(new), self.generation, "append")
+        """Adds the documents that are not in the index yet; a batch that is given again adds nothing. Only ids meet the index; texts are
+        joined, by the ids that are new, if some of the batch are and some aren't."""
+        ids = docs.select(F.col(self.id_col).alias("__id"))
+        fresh = saved(ids.join(self._read("lengths").select(F.col("id").alias("__id")), "__id", "left_anti"), "fresh")
+        n = fresh.count()
+        if n:
+            new = docs if n == ids.count() else docs.join(fresh.distinct(), F.col(self.id_col) == F.col("__id"), "left_semi")
+            self._save(*self._entries(new), self.generation, "append")
+        forget(fresh)
 
     def compact(self) -> None:
         """A new generation with the same rows in as few files as build() writes. A batch that died between its postings and its
         lengths leaves postings without a length: they go, so that its repetition counts once."""
-        lengths = self._read("lengths")
-        postings = self._read("postings").join(lengths.select("id"), "id", "left_semi").dropDuplicates(["term", "id"])
-        self._save(postings.select("term", "id", "positions", "bucket"), lengths, self.generation + 1, "overwrite")
+        lengths, postings = self._read("lengths"), self._read("postings")
+        lost = saved(postings.select("id").distinct().join(lengths, "id", "left_anti"), "lost")
+        if not lost.isEmpty():
+            postings = postings.join(lost, "id", "left_anti")
+        self._save(postings.select("term", "id", "positions", "bucket"), lengths, self.generation + 1, "overwrite", True)
+        forget(lost)
 
     def vacuum(self) -> None:
         """Deletes all generations but the newest; not while others read them."""
@@ -97,9 +117,9 @@ class PhraseIndex:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def postings(self, words: list[str]) -> DataFrame:
-        """Rows of these terms, from their buckets; the buckets are literals, so that the scan is pruned."""
+        """Rows of these terms, from their buckets, with repeated ones; the buckets are literals, so that the scan is pruned."""
         rows = self.spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(self.buckets)).cast("int") for w in words]).first()
-        return self._read("postings").where(F.col("bucket").isin(sorted(set(rows))) & F.col("term").isin(words)).dropDuplicates(["term", "id"])
+        return self._read("postings").where(F.col("bucket").isin(sorted(set(rows))) & F.col("term").isin(words))
 
     def occurrences(self, phrase: str) -> DataFrame:
         """(id, f, len): the documents that hold the phrase and how often, without overlap, counted from the front.
@@ -114,7 +134,7 @@ class PhraseIndex:
         counts = {x.term: x.n for x in rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each word of the phrase
         rare = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
         names = {w: f"p{i}" for i, w in enumerate(rare)}
-        joined = reduce(lambda a, b: a.join(b, "id"), [rows.where(F.col("term") == w).select("id", F.col("positions").alias(names[w])) for w in rare])
+        joined = reduce(lambda a, b: a.join(b, "id"), [rows.where(F.col("term") == w).dropDuplicates(["id"]).select("id", F.col("positions").alias(names[w])) for w in rare])
         shifted = [_back(names[w], i) for i, w in enumerate(words)]
         starts = F.array_sort(reduce(F.array_intersect, shifted))
         n = len(words)

@@ -146,6 +146,28 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path):
     assert 1 not in {r.id for r in ix.search("a").collect()}
 
 
+def _shuffles(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") + df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_index_moves_postings_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b {i} a", "c") for i in range(20)], "id long, title string, selftext string")
+    ix = index.PhraseIndex(spark, str(tmp_path / "ix"), ["title", "selftext"], buckets=2, parts=2)
+    for part in ix._entries(docs):
+        assert _shuffles(part) == 0
+    assert {r.term: (list(r.positions), r.id) for r in ix._entries(docs.where("id = 7"))[0].collect()} == {"a": ([0, 3], 7), "b": ([1], 7), "7": ([2], 7), "c": ([4], 7)}
+    ix.build(docs.where("id < 10"))
+    given, real = [], index.PhraseIndex._entries
+    monkeypatch.setattr(index.PhraseIndex, "_entries", lambda self, d: given.append(d) or real(self, d))
+    ix.append(docs.where("id >= 10"))
+    ix.append(docs)
+    assert len(given) == 1 and _shuffles(given[0]) == 0
+    more = spark.createDataFrame([(i, "a b", "") for i in (3, 30, 31)], docs.schema)
+    ix.append(more)
+    ix.compact()
+    assert sorted((r.id, r.f) for r in ix.occurrences("a b").collect()) == [(i, 1) for i in [*range(20), 30, 31]]
+
+
 def _events(spark, path, seed):
     """Events of authors in files whose order isn't that of time, and which repeat some rows."""
     rnd = random.Random(seed)
