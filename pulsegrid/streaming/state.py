@@ -171,7 +171,8 @@ def into_index(stream: DataFrame, index: PhraseIndex, checkpoint: str) -> None:
     """Every batch's new documents are added to the index, which is built by the first."""
 
     def each(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates([index.id_col])
+        repeats = not batch.groupBy(index.id_col).count().where("count > 1").isEmpty()
+        rows = batch.dropDuplicates([index.id_col]) if repeats else batch  # which moves whole texts
         if index._generations():
             index.append(rows)
         else:
