@@ -48,12 +48,17 @@ def valence(text: Column, valences: dict[str, float] | None = None) -> Column:
     `TURN`. 3. Half of it before the first "but", half more behind it. Up to four exclamation marks add `MARK` each to the
     sum s, away from 0; two or three question marks `DOUBT` each, more of them `DOUBTS`. The result is s / sqrt(s * s + SPREAD).
 
-    Only words of the lexicon look at their surroundings, so a text costs one set lookup for each token.
+    Only words of the lexicon look at their surroundings, so a text costs one set lookup for each token. The text itself, which may be
+    an expression that costs more than all this, is worked out once.
     """
+    return T.let(F.coalesce(text, F.lit("")), lambda whole: _valence(whole, valences))
+
+
+def _valence(whole: Column, valences: dict[str, float] | None) -> Column:
+    """valence() of a text that is there."""
     valences = {**GENERAL, **FINANCE} if valences is None else valences
     scores = _map(valences)
     boosts = _map({w: BOOST for w in STRONGER} | {w: -BOOST for w in WEAKER})
-    whole = F.coalesce(text, F.lit(""))
     bare = F.regexp_replace(whole, r"(?<!\S)\p{Punct}+|\p{Punct}+(?!\S)", "")
     tokens = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
 
@@ -96,7 +101,11 @@ def label(score: Column, band: float = 0.05) -> Column:
 
 
 def finance_sentiment(text: Column) -> Column:
-    """(score, label) by valence; where that is 0, as without a word of its lexicon, the plain lexicon sentiment and its label."""
+    """(score, label) by valence; where that is 0, as without a word of its lexicon, the plain lexicon sentiment and its label. The text is worked out once."""
+    return T.let(text, _finance_sentiment)
+
+
+def _finance_sentiment(text: Column) -> Column:
     plain = T.lexicon_score(T.words(text), lexicon.POSITIVE, lexicon.NEGATIVE, lexicon.INTENSIFIERS)
     told = T.let(valence(text), lambda v: F.struct(v.alias("score"), label(v).alias("label")))
     other = T.let(plain, lambda p: F.struct(F.round(p, 4).alias("score"), T.label(p).alias("label")))

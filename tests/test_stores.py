@@ -396,6 +396,11 @@ def test_finance_sentiment(spark):
         assert abs(rows[r.id].score - score(r.t, lexicon)) < 2e-4 or score(r.t, lexicon) == 0
 
 
+def test_a_text_is_worked_out_once(spark):
+    df = spark.createDataFrame([("a moon!",)], "t string").select(valence.finance_sentiment(F.regexp_replace("t", "marker", "")).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("marker") == 1
+
+
 def hashed(*longs):
     h = 42
     for x in longs:
