@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pulsegrid.functions import text as T
 from pulsegrid.functions.numeric import r, ratio
 from pulsegrid.operators import graph
+from pulsegrid.operators.near import near_links, near_pairs  # noqa: F401
 
 
 def capitulation(percentiles: DataFrame, vix: DataFrame, low: float = 0.15, high: float = 0.85, least_vix: float = 18.0) -> DataFrame:
@@ -100,16 +101,6 @@ def credibility(mentions: DataFrame, activity: DataFrame, authors: DataFrame, pr
     return x.select("author", "n", "score", "confidence", verdict.alias("verdict"), names(IN_WEIGHTS).alias("in_flags"), names(OUT_WEIGHTS).alias("out_flags"))
 
 
-def near_pairs(rows: DataFrame, seconds: int = 1800) -> DataFrame:
-    """(ticker, a, b) of authors a < b who mention a ticker within so many seconds of each other, to the microsecond. Only each author's
-    neighbours in slots of time are joined: a mention meets those of its own and the next slot."""
-    at = rows.select("ticker", "author", F.unix_micros(F.col("created_utc").cast("timestamp")).alias("at")).where("author is not null").distinct()
-    at = at.withColumn("slot", F.floor(F.col("at") / (seconds * 1_000_000)))
-    left = at.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1))).select("ticker", "slot", F.col("author").alias("x"), F.col("at").alias("t"))
-    both = left.join(at, ["ticker", "slot"]).where((F.col("x") != F.col("author")) & (F.abs(F.col("at") - F.col("t")) <= seconds * 1_000_000))
-    return both.select("ticker", F.least("x", "author").alias("a"), F.greatest("x", "author").alias("b")).distinct()
-
-
 def coordination(rows: DataFrame, ages: DataFrame, seconds: int = 1800) -> DataFrame:
     """Per ticker: mentions per author, share of the busiest hour, share of repeated texts, the largest group of authors linked by
     near mentions as a share of all, share of fresh accounts among known ages, and how many of the five marks it bears; two make it suspected.
@@ -121,7 +112,7 @@ def coordination(rows: DataFrame, ages: DataFrame, seconds: int = 1800) -> DataF
     by = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("author").alias("authors"))
     hour = rows.where("created_utc is not null").groupBy("ticker", F.date_trunc("hour", "created_utc").alias("h")).agg(F.count(F.lit(1)).alias("c")).groupBy("ticker").agg(F.max("c").alias("peak"))
     texts = rows.where("text is not null").groupBy("ticker", "text").agg(F.count(F.lit(1)).alias("c")).groupBy("ticker").agg(F.sum("c").alias("texts"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("same"))
-    parts = graph.linked(near_pairs(rows, seconds)).groupBy("ticker", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("ticker").agg(F.max("c").alias("cluster"))
+    parts = graph.linked(near_links(rows, seconds)).groupBy("ticker", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("ticker").agg(F.max("c").alias("cluster"))
     known = rows.select("ticker", "author").distinct().join(ages.select(F.col("username").alias("author"), "account_age_days"), "author").where("account_age_days is not null")
     fresh = known.groupBy("ticker").agg(F.avg(F.when(F.col("account_age_days") < 30, 1.0).otherwise(0.0)).alias("fresh"))
     x = by.join(hour, "ticker", "left").join(texts, "ticker", "left").join(parts, "ticker", "left").join(fresh, "ticker", "left")

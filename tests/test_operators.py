@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text as T
@@ -80,6 +81,89 @@ def test_near_pairs_count_parts_of_a_second(spark):
         assert {tuple(r) for r in got.collect()} == {("T", "a", "c"), ("T", "b", "c")}
 
 
+def _near(rows, micros):
+    """All pairs, by a plain loop; names in the order of their bytes."""
+    known = [r for r in rows if None not in r]
+    return {(k, *sorted((x, y), key=str.encode)) for k, x, t in known for m, y, u in known if k == m and x != y and abs(t - u) <= micros}
+
+
+def _near_rows(n, authors, seed):
+    rng = np.random.default_rng(seed)
+    names = [f"{"ué_ZA~\u00ff\uff21\U0001f600"[i % 9]}{i}" for i in range(authors)]
+    pick = lambda of, some: None if rng.random() < 0.03 else of[int(rng.integers(some))]
+    # Before and after 1970, with many at the same moment and many exactly one window apart.
+    return [(pick(["T", "U", "V"], 3), pick(names, authors), None if rng.random() < 0.03 else int(rng.integers(-20, 20)) * 30_000_000 + int(rng.integers(0, 2))) for _ in range(n)]
+
+
+def _near_frame(spark, rows):
+    return spark.createDataFrame(rows, "ticker string, author string, at long").select("ticker", "author", F.timestamp_micros("at").alias("created_utc"))
+
+
+def _shuffled(df):
+    """Rows that the exchanges of a plan have written, after collect() without adaptive execution."""
+    def of(node):
+        own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+        return own + sum(of(node.children().apply(i)) for i in range(node.children().size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_near_pairs_by_ranges_of_authors(spark):
+    for n, authors, seed in ((0, 1, 1), (300, 40, 2), (300, 250, 3)):
+        rows = _near_rows(n, authors, seed)
+        want = _near(rows, 60_000_000)
+        assert n == 0 or len(want) > 500
+        for limits in ({}, {"mentions": 30}, {"pairs": 50}):
+            got = [tuple(r) for r in signals.near_pairs(_near_frame(spark, rows), 60, **limits).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_pairs_in_batches(spark, monkeypatch):
+    from pulsegrid.operators import near
+
+    rows = _near_rows(400, 60, 4)
+    run, names = near._neighbours(60_000_000), ["author", "at", "first"]
+    want = _near(rows, 60_000_000)
+    for batch in (1, 50, 10_000):
+        monkeypatch.setattr(near, "BATCH", batch)
+        got = []
+        for k in "TUV":
+            one = [(x, t, True) for m, x, t in rows if m == k and None not in (x, t)]
+            for b in run((pa.scalar(k), pa.scalar(0), pa.scalar(0)), iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*one)], names)])):
+                got += [(r["ticker"], r["a"], x) for r in b.to_pylist() for x in r["near"]]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_pairs_are_not_shuffled(spark):
+    rows = [("T", f"u{i}", i) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = signals.near_pairs(_near_frame(spark, rows), 60)
+        assert len(df.collect()) == 300 * 299 // 2
+        assert _shuffled(df) <= 2 * len(rows)
+        links = signals.near_links(_near_frame(spark, rows), 60)
+        assert len(links.collect()) == 299
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_near_links_connect_what_near_pairs_do(spark):
+    def parts(pairs):
+        part = {}
+        for k, a, b in pairs:
+            x, y = part.setdefault((k, a), {(k, a)}), part.setdefault((k, b), {(k, b)})
+            if x is not y:
+                x |= y
+                part |= dict.fromkeys(y, x)
+        return {frozenset(x) for x in part.values()}
+
+    for n, authors, seed, seconds in ((300, 250, 5, 60), (60, 50, 6, 30), (60, 50, 7, 1), (40, 8, 8, 30)):
+        rows = _near_rows(n, authors, seed)
+        want = _near(rows, seconds * 1_000_000)
+        got = {tuple(r) for r in signals.near_links(_near_frame(spark, rows), seconds).collect()}
+        assert got <= want and parts(got) == parts(want) and len(got) <= 2 * n
+
+
 def test_coordination_of_nobody(spark):
     rows = [("X", None, "2024-01-01 00:00:00", "Same  Text\n"), ("X", None, "2024-01-01 00:10:00", " same text"), ("Y", "u1", "2024-01-01 00:00:00", None), ("Y", None, None, "")]
     df = spark.createDataFrame(rows, "ticker string, author string, at string, text string").select("ticker", "author", F.to_timestamp("at").alias("created_utc"), "text")
